@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Fixed value: characters a file name may keep (letters, digits, dot, dash,
 # underscore, Hangul syllables and compatibility jamo).
@@ -19,7 +19,7 @@ WRONG_CODECS = ["cp437", "latin-1"]
 RIGHT_CODECS = ["utf-8", "cp949"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode composed form."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
@@ -54,7 +54,7 @@ def best_reading(text: str) -> str:
     return unicodedata.normalize("NFC", max(_readings(text), key=_hangul_weight))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_mojibake(texts: pd.Series) -> pd.Series:
     """Undo text that was decoded with the wrong single-byte codec."""
     return texts.map(best_reading, na_action="ignore")

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import EmptyData
 from ..functions.names import best_reading
@@ -105,7 +105,7 @@ def label_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("label").agg(F.count(F.lit(1)).alias("images"))
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _decodes(lines: pd.Series) -> pd.Series:
     """For each codec whether the bytes are valid in it."""
 
