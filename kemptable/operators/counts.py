@@ -6,7 +6,7 @@ a value that holds most of the rows costs no more than any other.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -16,6 +16,11 @@ from ..functions.values import VALUE_LIMIT, canonical_col, canonical_value, ref
 DEFAULT_TOP_K = 20
 DEFAULT_RARE_THRESHOLD = 3
 
+# Tags in front of values while several columns are counted together.
+MISSING, LISTED, OTHERS = "0", "1", "2"
+# The most cells read to find a bound for the smallest values.
+MOST_HEAD_CELLS = 50_000
+
 
 def value_counts(df: DataFrame, column: str, limit: int | None = VALUE_LIMIT) -> DataFrame:
     """(value, cnt) for the present values of one column."""
@@ -29,21 +34,55 @@ def value_counts(df: DataFrame, column: str, limit: int | None = VALUE_LIMIT) ->
 
 
 def value_counts_many(
-    df: DataFrame, columns: Sequence[str], limit: int | None = VALUE_LIMIT, keep_missing: bool = False
+    df: DataFrame,
+    columns: Sequence[str],
+    limit: int | None = VALUE_LIMIT,
+    keep_missing: bool = False,
+    ceilings: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """(column_name, value, cnt) for several columns from one scan.
+    """(column_name, value, cnt, listed) for several columns from one scan.
 
     Values are cut before they are shuffled. With ``keep_missing`` the rows
-    without a value are counted under a null value.
+    without a value are counted under a null value. ``ceilings`` gives columns
+    of which only the values up to a bound are wanted one by one: all larger
+    ones are counted together, as a null value that is not ``listed``, and so
+    never shuffled.
+    """
+    names, ceilings = require_columns(df, columns), ceilings or {}
+    texts = []
+    for i, name in enumerate(names):
+        value = canonical_col(df, name, limit)
+        tagged = F.concat(F.lit(LISTED), value)
+        if name in ceilings:
+            tagged = F.when(value > F.lit(ceilings[name]), F.lit(OTHERS)).otherwise(tagged)
+        texts.append((F.coalesce(tagged, F.lit(MISSING)) if keep_missing else tagged).alias(f"c{i}"))
+    wide = df.select(*texts)
+    pairs = [x for i, c in enumerate(names) for x in (F.lit(f"c{i}"), F.lit(c))]
+    long = wide.unpivot([], wide.columns, "slot", "tagged").filter(F.col("tagged").isNotNull())
+    counted = long.groupBy("slot", "tagged").agg(F.count(F.lit(1)).alias("cnt"))
+    listed = F.col("tagged").startswith(LISTED)
+    return counted.select(
+        F.element_at(F.create_map(*pairs), F.col("slot")).alias("column_name"),
+        F.when(listed, F.expr("substring(tagged, 2)")).alias("value"),
+        "cnt",
+        (F.col("tagged") != OTHERS).alias("listed"),
+    )
+
+
+def smallest_ceilings(df: DataFrame, columns: Sequence[str], n: int, limit: int | None = VALUE_LIMIT) -> dict[str, str]:
+    """Per column a bound below which its ``n`` smallest values surely lie.
+
+    The n-th smallest value of any few rows is such a bound. The rows read here
+    are limited by cells, whatever the size of the table.
     """
-    names = require_columns(df, columns)
-    texts = df.select(*[canonical_col(df, c, limit).alias(f"c{i}") for i, c in enumerate(names)])
-    label = F.element_at(F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(f"c{i}"), F.lit(c))]), F.col("slot"))
-    long = texts.unpivot([], texts.columns, "slot", "value")
-    if not keep_missing:
-        long = long.filter(F.col("value").isNotNull())
-    counted = long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    return counted.select(label.alias("column_name"), "value", "cnt")
+    rows = max(4 * n, MOST_HEAD_CELLS // max(1, len(columns)))
+    head = df.select(*[canonical_col(df, c, limit).alias(f"c{i}") for i, c in enumerate(columns)]).limit(rows).collect()
+    found = {}
+    for i, name in enumerate(columns):
+        values = sorted({row[i] for row in head if row[i] is not None})
+        if len(values) >= n:
+            found[name] = values[n - 1]
+    return found
 
 
 def unique_values(
@@ -137,8 +176,14 @@ def categorical_summary(
         return df.sparkSession.createDataFrame(
             [], "column_name string, nunique long, value string, cnt long, rank int"
         )
-    counted = value_counts_many(df, names)
-    # Reading ``cnt`` here keeps both branches on one shuffle of the value counts.
+    return categorical_from_counts(value_counts_many(df, names), top)
+
+
+def categorical_from_counts(counted: DataFrame, top: int) -> DataFrame:
+    """Distinct count, total and the ranked top values of each counted column.
+
+    Both branches read ``cnt`` and so share one shuffle of the value counts.
+    """
     distinct = counted.groupBy("column_name").agg(F.count_if(F.col("cnt") > 0).alias("nunique"))
     return (
         top_n_per_column(counted, top)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import require_columns
 from ..functions.values import ref
+from ..session import cut_lineage
 
 # Inputs up to this many rows use one plain window; longer ones are cut into
 # segments of about this many rows.
@@ -135,12 +136,13 @@ def verdict_transitions(
 def distinct_ranks(df: DataFrame, column: str, small: int = 1_000_000, pieces: int = 256) -> DataFrame:
     """(value, code): the distinct present values numbered from 0 in order.
 
-    A bounded number of values is ranked in one window. More are cut at values
+    The distinct values are written once and read by every step below. A
+    bounded number of them is ranked in one window. More are cut at values
     picked evenly by hash; each piece is ranked on its own and shifted by the
     sizes of the pieces before it.
     """
     (name,) = require_columns(df, [column])
-    values = df.select(ref(name).alias("value")).filter("value is not null").distinct()
+    values = cut_lineage(df.select(ref(name).alias("value")).filter("value is not null").distinct())
     if values.limit(small + 1).count() <= small:
         order = Window.orderBy("value")  # at most ``small`` rows
         return values.select("value", (F.row_number().over(order) - 1).cast("long").alias("code"))

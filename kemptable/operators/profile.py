@@ -19,7 +19,7 @@ from ..functions.values import (
     to_datetime,
     to_number,
 )
-from .counts import categorical_summary, smallest_n_per_column, value_counts_many
+from .counts import categorical_from_counts, smallest_ceilings, smallest_n_per_column, value_counts_many
 from .numeric import summary_stats
 
 DEFAULT_SAMPLES = 20
@@ -59,8 +59,9 @@ def column_profile(
 ) -> DataFrame:
     """Type, row count, missing rate and the smallest distinct values per column.
 
-    With samples the counts come out of the same value counts, so the table is
-    scanned once; ``samples=0`` needs no shuffle of values at all.
+    One scan gives counts and samples. A look at a few rows bounds the smallest
+    values first, so only values below the bound are shuffled; the result is
+    exact. ``samples=0`` needs no shuffle of values at all.
     """
     names = choose_columns(df, columns, max_columns)
     types = {c: df.schema[c].dataType.simpleString() for c in names}
@@ -83,7 +84,9 @@ def column_profile(
                 for i, c in enumerate(names)
             ],
         )
-    counted = value_counts_many(df, names, keep_missing=True)
+    counted = value_counts_many(
+        df, names, keep_missing=True, ceilings=smallest_ceilings(df, names, samples)
+    )
     return profile_from_counts(df, names, counted, samples)
 
 
@@ -92,12 +95,12 @@ def profile_from_counts(df: DataFrame, names: Sequence[str], counted: DataFrame,
     known = df.sparkSession.createDataFrame(
         [(c, df.schema[c].dataType.simpleString()) for c in names], "column_name string, dtype string"
     )
-    absent = F.col("value").isNull()
+    absent = F.col("value").isNull() & F.col("listed")
     totals = counted.groupBy("column_name").agg(
         F.sum("cnt").alias("total"), F.sum(F.when(absent, F.col("cnt")).otherwise(0)).alias("missing")
     )
     smallest = (
-        smallest_n_per_column(counted.filter(~absent), samples)
+        smallest_n_per_column(counted.filter("value is not null"), samples)
         .groupBy("column_name")
         .agg(F.array_sort(F.collect_list("value")).alias("samples"))  # at most ``samples`` each
     )
@@ -228,8 +231,8 @@ def describe_all(df: DataFrame, max_columns: int | None = None) -> DataFrame:
         )
     if others:
         counted = value_counts_many(df, others)
-        totals = counted.groupBy("column_name").agg(F.sum("cnt").alias("count"))
-        top = categorical_summary(df, others, top=1)
+        totals = counted.groupBy("column_name").agg(F.sum("cnt").alias("count"))  # same shuffle
+        top = categorical_from_counts(counted, 1)
         parts.append(
             top.join(totals, "column_name").select(
                 "column_name", "count", F.col("nunique").alias("unique"),

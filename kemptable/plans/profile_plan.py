@@ -28,6 +28,7 @@ from ..operators.counts import (
     mapping_coverage,
     mapping_keys,
     rare_values,
+    smallest_ceilings,
     top_k_or_default,
     top_n_per_column,
     unique_values,
@@ -169,7 +170,11 @@ def profile_plan(df: DataFrame, requests: Sequence[Mapping], small: int = SMALL_
     parts = [df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)]
     if counting:
         names = sorted({c for r in counting for c in r.columns}, key=df.columns.index)
-        counted = value_counts_many(df, names, keep_missing=True)
+        in_full = {c for r in counting if r.name in COUNT_BASED for c in r.columns}
+        sampled = [c for c in names if c not in in_full]
+        most = max([int(r.args.get("samples", DEFAULT_SAMPLES)) for r in counting if r.name == "column_profile"] or [0])
+        ceilings = smallest_ceilings(df, sampled, most) if sampled else {}
+        counted = value_counts_many(df, names, keep_missing=True, ceilings=ceilings)
         if len(counting) > 1:
             counted = cut_lineage(counted)  # every request below starts from it
         parts += [_label(r, _count_metrics(df, r, counted)) for r in counting]
@@ -307,7 +312,7 @@ def _items(table: DataFrame, metric: str, value: Column) -> DataFrame:
 def _count_metrics(df: DataFrame, request: Request, counted: DataFrame) -> DataFrame:
     args = request.args
     mine = counted.filter(F.col("column_name").isin(request.columns))
-    seen = mine.filter("value is not null")
+    seen = mine.filter("value is not null").drop("listed")
     cut = args.get("max_values_return")
     if request.name == "unique_values":
         totals = mine.agg(F.count("value").alias("unique_count"), F.sum("cnt").alias("rows_scanned"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import posixpath
 import zipfile
 from collections.abc import Sequence
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.columns import EmptyData
 from ..functions.names import best_reading
 from ..functions.values import extension, file_name, parent_name
-from .storage import normalize_uri
+from .storage import normalize_uri, open_seekable
 
 # Image extensions, table extensions in order of preference, and
 # files that only describe a data set.
@@ -193,44 +192,75 @@ def encoding_totals(audit: DataFrame) -> DataFrame:
 
 
 def zip_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of the archives below a folder, or of one archive."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", "*.[zZ][iI][pP]").load(normalize_uri(root)).select("path", "content")
+    """Paths of the archives below a folder, or of one archive."""
+    return _listing(spark, root, "*.[zZ][iI][pP]").select("path")
+
 
+def is_safe_member(name: str) -> bool:
+    """Whether a member stays inside the folder it is unpacked into."""
+    place = posixpath.normpath(name.replace("\\", "/"))
+    return not (place.startswith(("/", "../")) or place == ".." or place[1:2] == ":")
 
-def expand_zip(archives: DataFrame) -> DataFrame:
-    """(archive, member, is_safe, n_bytes, content) of a table (path, content).
 
-    Names are repaired and composed. A member whose path would leave the target
-    folder is flagged and its content left out; a broken archive gives one
-    unsafe row without a member. One archive is read by one task, member by
-    member, and handed on in batches of bounded size.
+def zip_members(archives: DataFrame) -> DataFrame:
+    """(archive, entry, member, is_safe, n_bytes) of a table with a ``path`` column.
+
+    Only the directory at the end of each archive is read. Names are repaired
+    and composed. A broken archive gives one unsafe row without a member.
     """
+
+    def look(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with open_seekable(path) as file, zipfile.ZipFile(file) as archive:
+                        rows = [
+                            (path, entry, name, is_safe_member(name), info.file_size)
+                            for entry, info in enumerate(archive.infolist())
+                            if (name := best_reading(info.filename)) and not info.is_dir()
+                        ]
+                except (zipfile.BadZipFile, OSError):
+                    rows = [(path, None, None, False, None)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["archive", "entry", "member", "is_safe", "n_bytes"])
+
+    return archives.select("path").mapInPandas(
+        look, "archive string, entry long, member string, is_safe boolean, n_bytes long"
+    )
+
+
+def expand_zip(archives: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(archive, member, is_safe, n_bytes, content) of a table with a ``path`` column.
+
+    Members are spread over ``tasks``, so one big archive is read by many of
+    them, each seeking to its own members. Unsafe members come without content
+    and nothing is written anywhere.
+    """
+    tasks = tasks or int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = ["archive", "member", "is_safe", "n_bytes", "content"]
 
-    def expand(batches):
+    def unpack(batches):
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, members in batch.groupby("archive", sort=False):
                 rows, held = [], 0
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for info in archive.infolist():
-                            if not info.filename or info.is_dir():
-                                continue
-                            name = best_reading(info.filename)
-                            place = posixpath.normpath(name.replace("\\", "/"))
-                            safe = not (place.startswith(("/", "../")) or place == ".." or place[1:2] == ":")
-                            body = archive.read(info) if safe else None
-                            rows.append((path, name, safe, info.file_size, body))
-                            held += len(body or b"")
+                wanted = members[members["is_safe"]]
+                for m in members[~members["is_safe"]].itertuples():
+                    rows.append((path, m.member, False, m.n_bytes, None))
+                if len(wanted):
+                    with open_seekable(path) as file, zipfile.ZipFile(file) as archive:
+                        listing = archive.infolist()
+                        for m in wanted.itertuples():
+                            body = archive.read(listing[int(m.entry)])
+                            rows.append((path, m.member, True, m.n_bytes, body))
+                            held += len(body)
                             if held >= MEMBER_BATCH_BYTES:
                                 yield pd.DataFrame(rows, columns=fields)
                                 rows, held = [], 0
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
-                    rows.append((path, None, False, None, None))
                 if rows:
                     yield pd.DataFrame(rows, columns=fields)
 
-    return archives.select("path", "content").mapInPandas(
-        expand, "archive string, member string, is_safe boolean, n_bytes long, content binary"
+    return (
+        zip_members(archives)
+        .repartition(tasks, "archive", "entry")
+        .mapInPandas(unpack, "archive string, member string, is_safe boolean, n_bytes long, content binary")
     )

@@ -45,3 +45,9 @@ def read_head(uri: str, size: int) -> bytes:
     filesystem, path = open_filesystem(uri)
     with filesystem.open_input_stream(path) as stream:
         return stream.read(size)
+
+
+def open_seekable(uri: str):
+    """A file that can be read from any position."""
+    filesystem, path = open_filesystem(uri)
+    return filesystem.open_input_file(path)

@@ -7,7 +7,7 @@ a batch is split there as it is in batch jobs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -15,7 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions.columns import require_columns
 from ..functions.values import canonical_col, number_col, ref
 from ..operators.ordered import SEGMENT_ROWS, with_previous
-from ..operators.quality import quarantine
+from ..operators.profile import column_quality_metrics
+from ..operators.quality import quality_flags, quarantine
 from ..session import scratch_path
 
 
@@ -86,16 +87,6 @@ def stream_profile(
     )
 
 
-def _read_if_written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table written before, or an empty one."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def stream_changes_only(
     stream: DataFrame,
     keys: Sequence[str],
@@ -108,9 +99,11 @@ def stream_changes_only(
     """Rows whose value differs from the last one of their key, to parquet.
 
     Each batch is compared within itself and, on the first row of a key, with
-    the last value kept from earlier batches. Output and state of a batch go to
-    folders named after it, so a batch that runs again replaces its own files.
-    Rows must not arrive out of order across batches. Start the returned writer.
+    the last value kept from earlier batches. A batch writes its output to a
+    folder named after it and reads the state of the batch before it, so a batch
+    that runs again replaces its own files; three state folders are used in
+    turn. Rows must not arrive out of order across batches. ``state`` belongs to
+    one query. Start the returned writer.
     """
     spark = stream.sparkSession
     state = state or scratch_path(spark, "state")
@@ -119,8 +112,11 @@ def stream_changes_only(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        before = _read_if_written(session, f"{state}/after={batch_id - 1}", schema)
-        marked = with_previous(batch, keys, order, [value], segment_rows)
+        if batch_id == 0:
+            before = session.createDataFrame([], schema)
+        else:
+            before = session.read.schema(schema).parquet(f"{state}/slot-{(batch_id - 1) % 3}")
+        marked = with_previous(batch, keys, order, [value], segment_rows).persist()
         first = marked.filter("step = 1")
         earlier = before.select(*[ref(k) for k in keys], ref(value).alias("_earlier"))
         known = first.join(earlier, list(keys), "left").filter(~ref(value).eqNullSafe(F.col("_earlier")))
@@ -134,7 +130,8 @@ def stream_changes_only(
         )
         before.unionByName(newest).groupBy(*[ref(k) for k in keys]).agg(
             F.max_by(ref(value), F.col("_seen")).alias(value), F.max("_seen").alias("_seen")
-        ).write.mode("overwrite").parquet(f"{state}/after={batch_id}")
+        ).write.mode("overwrite").parquet(f"{state}/slot-{batch_id % 3}")
+        marked.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint")
 
@@ -144,20 +141,26 @@ def stream_quality_gate(
     rules: Mapping[str, Column],
     output: str,
     rejected: str,
-    on_batch: Callable[[DataFrame, int], None] | None = None,
+    checked: Sequence[str] = (),
+    policy: DataFrame | None = None,
+    flags: str | None = None,
 ) -> DataStreamWriter:
     """Rows that keep every rule to ``output``, the others with reasons to ``rejected``.
 
-    Both sinks are written per batch under its number, so a repeated batch
-    replaces itself. ``on_batch`` sees the whole batch, to judge its metrics.
+    With ``flags`` the quality metrics of the ``checked`` columns are judged by
+    the policy for each batch and the flagged ones written there. All sinks are
+    written per batch under its number, so a repeated batch replaces itself.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read by up to three writes
         good, bad = quarantine(batch, rules)
         good.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
-        if on_batch:
-            on_batch(batch, batch_id)
+        if flags:
+            flagged = quality_flags(column_quality_metrics(batch, checked), policy)
+            flagged.write.mode("overwrite").parquet(f"{flags}/batch={batch_id}")
+        batch.unpersist()
 
     location = scratch_path(stream.sparkSession, "gate")
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", location)

@@ -1,15 +1,16 @@
 """Reader, sink and corpus queries on files that Spark writes from the tables."""
 
-import io
 import zipfile
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import files, sniff
 from ..sources.arrow import read_arrow
 from ..sources.sinks import publish, write_table
+from ..sources.storage import open_filesystem
 from ..sources.tables import read_table
 from .registry import query
 
@@ -90,24 +91,24 @@ def encoding_audit_documents(t):
     return files.encoding_totals(audit.filter("n_bytes > 0")).select("encoding", "n_bytes")
 
 
-@query(
-    "select doc_id, text, true as is_safe from documents"
-)
+@query("select doc_id, text, true as is_safe from documents")
 def expanded_archives(t):
-    """Texts packed one archive per document by Spark tasks, then unpacked."""
+    """Texts packed by Spark tasks, one archive per task, then unpacked."""
+    folder = scratch_path(t.spark, "archives")
 
     def pack(batches):
-        for batch in batches:
-            packed = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
-                    archive.writestr(f"{doc_id}.txt", text)
-                packed.append((f"{doc_id}.zip", held.getvalue()))
-            yield pd.DataFrame(packed, columns=["path", "content"])
-
-    archives = t.documents.select("doc_id", "text").mapInPandas(pack, "path string, content binary")
-    members = files.expand_zip(archives)
+        name = f"{folder}/part-{TaskContext.get().partitionId()}.zip"
+        filesystem, path = open_filesystem(name)
+        filesystem.create_dir(open_filesystem(folder)[1], recursive=True)
+        with filesystem.open_output_stream(path) as sink:
+            with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
+                for batch in batches:
+                    for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                        archive.writestr(f"{doc_id}.txt", text)
+        yield pd.DataFrame({"path": [name]})
+
+    t.documents.select("doc_id", "text").mapInPandas(pack, "path string").write.parquet(f"{folder}-written")
+    members = files.expand_zip(files.zip_files(t.spark, folder))
     return members.select(
         F.regexp_extract("member", r"^([0-9]+)\.txt$", 1).cast("long").alias("doc_id"),
         F.decode("content", "UTF-8").alias("text"),
