@@ -73,8 +73,8 @@ def drop_missing(df: DataFrame, name: str) -> DataFrame:
 
 
 def strip(column: Column) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    """Trim white space at both ends."""
+    return F.trim(column, F.lit(" \t\n\r\f\v"))
 
 
 def _float_text(column: Column) -> Column:

@@ -49,14 +49,16 @@ def value_counts_many(
     never shuffled.
     """
     names, ceilings = require_columns(df, columns), ceilings or {}
-    texts = []
+    # Texts are made in a projection of their own: the tags read them twice.
+    texts = df.select(*[canonical_col(df, c, limit).alias(f"c{i}") for i, c in enumerate(names)])
+    tags = []
     for i, name in enumerate(names):
-        value = canonical_col(df, name, limit)
+        value = F.col(f"c{i}")
         tagged = F.concat(F.lit(LISTED), value)
         if name in ceilings:
             tagged = F.when(value > F.lit(ceilings[name]), F.lit(OTHERS)).otherwise(tagged)
-        texts.append((F.coalesce(tagged, F.lit(MISSING)) if keep_missing else tagged).alias(f"c{i}"))
-    wide = df.select(*texts)
+        tags.append((F.coalesce(tagged, F.lit(MISSING)) if keep_missing else tagged).alias(f"c{i}"))
+    wide = texts.select(*tags)
     pairs = [x for i, c in enumerate(names) for x in (F.lit(f"c{i}"), F.lit(c))]
     long = wide.unpivot([], wide.columns, "slot", "tagged").filter(F.col("tagged").isNotNull())
     counted = long.groupBy("slot", "tagged").agg(F.count(F.lit(1)).alias("cnt"))

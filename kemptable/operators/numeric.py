@@ -198,8 +198,13 @@ def _narrow(df: DataFrame, values: Mapping[str, Column], wide: list[Bracket]) ->
 
 def _select(df: DataFrame, values: Mapping[str, Column], brackets: list[Bracket]) -> dict[tuple[str, int], float]:
     """Read the values at the wanted ranks out of the bracketed rows."""
+    found: dict[tuple[str, int], float] = {}
+    for b in brackets:
+        if b.low == b.high:  # one value fills the bracket
+            found[(b.column, b.low_rank)] = found[(b.column, b.high_rank)] = b.low
+    brackets = [b for b in brackets if b.low < b.high]
     if not brackets:
-        return {}
+        return found
     ranges: dict[tuple, list[Bracket]] = {}
     for b in brackets:
         ranges.setdefault((b.column, b.low, b.high, b.below), []).append(b)
@@ -210,7 +215,8 @@ def _select(df: DataFrame, values: Mapping[str, Column], brackets: list[Bracket]
         for rank in sorted({r - below for b in members for r in (b.low_rank, b.high_rank)}):
             picks.append((F.col("range") == i) & (F.col("upto") - F.col("cnt") <= rank) & (F.col("upto") > rank))
     counted = (
-        df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        df.filter(any_of([_within(values[b.column], b) for b in brackets]))
+        .select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy(F.col("e.range").alias("range"), F.col("e.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
@@ -221,7 +227,6 @@ def _select(df: DataFrame, values: Mapping[str, Column], brackets: list[Bracket]
         .select("range", "v", "upto", "cnt")
         .collect()  # at most two rows per wanted quantile
     )
-    found: dict[tuple[str, int], float] = {}
     for i, ((name, _, _, below), members) in enumerate(ranges.items()):
         for rank in {r for b in members for r in (b.low_rank, b.high_rank)}:
             for row in rows:

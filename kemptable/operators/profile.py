@@ -99,8 +99,10 @@ def profile_from_counts(df: DataFrame, names: Sequence[str], counted: DataFrame,
     totals = counted.groupBy("column_name").agg(
         F.sum("cnt").alias("total"), F.sum(F.when(absent, F.col("cnt")).otherwise(0)).alias("missing")
     )
+    # Reading ``cnt`` in this filter keeps both branches on one shuffle.
+    listed = counted.filter(F.when(F.col("cnt") > 0, F.col("value")).isNotNull())
     smallest = (
-        smallest_n_per_column(counted.filter("value is not null"), samples)
+        smallest_n_per_column(listed, samples)
         .groupBy("column_name")
         .agg(F.array_sort(F.collect_list("value")).alias("samples"))  # at most ``samples`` each
     )
