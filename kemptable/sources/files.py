@@ -44,7 +44,10 @@ def priority(ext: Column) -> Column:
 
 
 def file_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a folder with extension, size, kind and preference."""
+    """Every file below a folder with extension, size, kind and preference.
+
+    Spark lists the files; it leaves out empty and hidden ones (``.x``, ``_x``).
+    """
     ext = extension(F.col("path"))
     return _listing(spark, root).filter(~file_name(F.col("path")).isin(DESCRIPTION_FILES)).select(
         "path",
@@ -128,7 +131,7 @@ def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | N
     break never falls inside a character of these encodings, and a file is
     valid in one when every line is. Only lines that are not UTF-8 reach
     Python. The line reader drops a byte order mark; the three bytes missing
-    from the total give it away.
+    from the total give it away. Empty files are not listed by Spark.
     """
     roots = [path] if isinstance(path, str) else list(path)
     roots = [normalize_uri(p) for p in roots]
@@ -172,18 +175,7 @@ def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | N
     guess = F.when(F.col("ok0").isNull(), F.when(has_bom, "utf-8-sig").otherwise("utf-8"))
     for i, codec in enumerate(CODECS):
         guess = guess.when(F.col(f"ok{i}"), codec)
-    judged = files.select("path", guess.otherwise("unknown").alias("encoding"), has_bom.alias("has_bom"), "n_bytes")
-    empty = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)
-        .filter(F.col("length") == 0)
-        .select(
-            F.regexp_replace("path", "^file:/+", "file:///").alias("path"),
-            F.lit("utf-8").alias("encoding"),
-            F.lit(False).alias("has_bom"),
-            F.col("length").alias("n_bytes"),
-        )
-    )
-    return judged.unionByName(empty)
+    return files.select("path", guess.otherwise("unknown").alias("encoding"), has_bom.alias("has_bom"), "n_bytes")
 
 
 def encoding_totals(audit: DataFrame) -> DataFrame:
@@ -219,7 +211,7 @@ def zip_members(archives: DataFrame) -> DataFrame:
                             for entry, info in enumerate(archive.infolist())
                             if (name := best_reading(info.filename)) and not info.is_dir()
                         ]
-                except (zipfile.BadZipFile, OSError):
+                except (zipfile.BadZipFile, OSError, ValueError):
                     rows = [(path, None, None, False, None)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["archive", "entry", "member", "is_safe", "n_bytes"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
 import pyarrow.fs as pafs
@@ -23,7 +24,15 @@ def open_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def list_files(uri: str, extensions: tuple[str, ...] = ()) -> list[tuple[str, int]]:
-    """(uri, size) of the visible files below a folder, or of one file."""
+    """(uri, size) of the visible files below a folder, or of one file.
+
+    The last part of the path may be a pattern with ``*``.
+    """
+    folder, _, name = uri.rpartition("/")
+    if "*" in name:
+        home = open_filesystem(folder)[1].rstrip("/")
+        beside = [f for f in list_files(folder, extensions) if open_filesystem(f[0])[1].rpartition("/")[0] == home]
+        return [f for f in beside if fnmatch.fnmatchcase(f[0].rpartition("/")[2], name)]
     filesystem, path = open_filesystem(uri)
     info = filesystem.get_file_info(path)
     found = [info]
