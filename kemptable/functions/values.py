@@ -78,26 +78,31 @@ def strip(column: Column) -> Column:
 
 
 def _float_text(column: Column) -> Column:
-    """Shortest decimal text: plain from 1e-4 up to 1e16, else ``1e+16`` form."""
+    """Shortest decimal text: plain from 1e-4 up to 1e16, else ``1e+16`` form.
+
+    Spark's own text has the usual sizes right. The other sizes go through a
+    lambda, which keeps this long branch out of the generated method: methods
+    that grow too big are never compiled by the JVM.
+    """
+    size = F.abs(column)
     text = column.cast("string")
-    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
-    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    usual = (size < 1e7) & ((size >= 1e-3) | (size == 0))
+    return F.when(usual, text).when(column.isNotNull(), F.transform(F.array(text), _unusual_float_text)[0])
+
+
+def _unusual_float_text(text: Column) -> Column:
+    """From Spark's ``1.5E-7`` or ``Infinity`` to the shortest decimal text."""
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     digits = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits),
-    )
-    size = F.abs(column)
+    plain = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
     return (
-        F.when((size < 1e7) & ((size >= 1e-3) | (size == 0)), text)  # the usual case first
-        .when(text == "Infinity", "inf")
+        F.when(text == "Infinity", "inf")
         .when(text == "-Infinity", "-inf")
-        .when(exponent.isNull(), text)
-        .when((exponent >= -4) & (exponent < 16), plain)
-        .otherwise(scientific)
+        .when(exponent.between(-4, 15), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
+        .otherwise(F.concat(
+            mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.when(F.length(digits) < 2, "0").otherwise(""), digits
+        ))
     )
 
 

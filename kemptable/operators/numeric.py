@@ -18,7 +18,7 @@ from ..functions.values import any_of, number_col
 
 # Up to this many values, over all columns asked for, one task reads them directly;
 # a bracket is narrowed until it holds no more rows than this.
-SMALL_BRACKET = 3_000_000
+SMALL_BRACKET = 1_000_000
 # Relative rank error of the sketch is about 1 / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 

@@ -133,30 +133,26 @@ def verdict_transitions(
     )
 
 
-def distinct_ranks(df: DataFrame, column: str, small: int = 1_000_000, pieces: int = 256) -> DataFrame:
+def distinct_ranks(df: DataFrame, column: str, pieces: int | None = None) -> DataFrame:
     """(value, code): the distinct present values numbered from 0 in order.
 
-    The distinct values are written once and read by every step below. A
-    bounded number of them is ranked in one window. More are cut at values
-    picked evenly by hash; each piece is ranked on its own and shifted by the
-    sizes of the pieces before it.
+    The distinct values are range-partitioned and sorted, each is numbered
+    within its partition, and the sizes of the partitions before it are added.
+    The numbered values are written once, so a number can not change when a
+    task runs again.
     """
     (name,) = require_columns(df, [column])
-    values = cut_lineage(df.select(ref(name).alias("value")).filter("value is not null").distinct())
-    if values.limit(small + 1).count() <= small:
-        order = Window.orderBy("value")  # at most ``small`` rows
-        return values.select("value", (F.row_number().over(order) - 1).cast("long").alias("code"))
-    cuts = values.orderBy(F.xxhash64("value"), "value").limit(pieces)
-    marks = cuts.agg(F.array_sort(F.collect_list("value")).alias("marks"))  # ``pieces`` values
-    placed = values.crossJoin(F.broadcast(marks)).select(
-        "value", F.size(F.filter("marks", lambda m: m <= F.col("value"))).alias("piece")
+    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    values = df.select(ref(name).alias("value")).filter("value is not null").distinct()
+    placed = cut_lineage(
+        values.repartitionByRange(pieces, "value")
+        .sortWithinPartitions("value")
+        .select("value", F.spark_partition_id().alias("piece"), inside.alias("place"))
     )
-    sizes = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))  # ``pieces`` + 1 rows
+    sizes = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("piece").orderBy("value")
-    return (
-        placed.withColumn("place", F.row_number().over(inside) - 1)
-        .join(F.broadcast(shifts), "piece")
-        .select("value", (F.col("place") + F.col("shift")).cast("long").alias("code"))
+    return placed.join(F.broadcast(shifts), "piece").select(
+        "value", (F.col("place") + F.col("shift")).cast("long").alias("code")
     )

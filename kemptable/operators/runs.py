@@ -58,7 +58,7 @@ def trace_report(
     changed = (F.col("step") > 1) & ~ref(ok).eqNullSafe(F.col("prev").getField(ok))
     report = marked.groupBy(ref(run)).agg(
         F.count(F.lit(1)).alias("steps"),
-        F.count_if(ref(node) == repeat_node).alias("reflect_count"),
+        F.count_if(ref(node).cast("string") == repeat_node).alias("reflect_count"),
         F.count_if(changed).alias("verdict_changes"),
         F.min(ref(order[0])).alias("first_at"),
         F.max(ref(order[0])).alias("last_at"),

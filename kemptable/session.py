@@ -15,6 +15,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods above this size; on wide tables one big
+    # generated method would run interpreted, several small ones do not.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -78,8 +78,8 @@ def ordinal_priority(t):
 
 @query("select l_orderkey, l_linenumber, dense_rank() over (order by l_partkey) - 1 as l_partkey_code from lineitem")
 def ordinal_partkey_pieces(t):
-    """Ranks by the path many distinct values take: pieces, sizes, shifts."""
-    coded = transforms.ordinal_encode(t.lineitem, "l_partkey", small=100, pieces=16)
+    """Ranks of many distinct values, in more pieces than there are cores."""
+    coded = transforms.ordinal_encode(t.lineitem, "l_partkey", pieces=16)
     return coded.select("l_orderkey", "l_linenumber", "l_partkey_code")
 
 

@@ -55,7 +55,7 @@ def test_one_hot(spark):
         X.one_hot(df, "s", max_categories=1)
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 10, "pieces": 7}])
+@pytest.mark.parametrize("options", [{}, {"pieces": 1}, {"pieces": 7}])
 def test_ordinal(spark, options):
     df = spark.range(500).select(F.format_string("k%03d", F.col("id") % 100).alias("s")).unionByName(
         spark.createDataFrame([(None,)], "s string")
