@@ -167,7 +167,9 @@ def safe_string(column: Column) -> Column:
 def to_number(column: Column) -> Column:
     """Double from text, null where the text is not a number."""
     text = strip(column)
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    # The first character rules most other text out before the pattern runs.
+    may_be = F.substring(text, 1, 1).isin(*"0123456789+-.iI")
+    return F.when(may_be & text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def number_col(df: DataFrame, name: str) -> Column:
@@ -198,12 +200,14 @@ def to_verdict(column: Column) -> Column:
 def digit_shape(column: Column) -> Column:
     """Text with every digit as 9, fractions as ``.9`` and zone offsets as ``Z``.
 
-    Texts too long to be a date give null, so long texts cost nothing.
+    Texts too long to be a date, or not beginning with a digit, give null and
+    cost nothing.
     """
     text = strip(column)
+    may_be = (F.char_length(column) <= 64) & (text >= "0") & (text < ":")
     shape = F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), r"(?<=:99)\.9{1,6}", ".9")
     shape = F.regexp_replace(shape, r"(?<=:99)(\.9)?(Z|[+-]99:99)$", "$1Z")
-    return F.when(F.char_length(column) <= 64, shape)
+    return F.when(may_be, shape)
 
 
 def format_shape(fmt: str) -> str:

@@ -145,13 +145,9 @@ def top_k_or_default(top_k: object) -> int:
 def value_counts_topk(df: DataFrame, column: str, top_k: int = DEFAULT_TOP_K) -> DataFrame:
     """The most frequent values with their share of the present rows."""
     counted = value_counts(df, column)
-    total = counted.agg(F.sum("cnt").alias("total"))
+    total = counted.agg(F.sum("cnt")).scalar()
     top = counted.orderBy(F.desc("cnt"), "value").limit(top_k_or_default(top_k))
-    return (
-        top.crossJoin(F.broadcast(total))  # a one-row aggregate
-        .select("value", "cnt", F.round(F.col("cnt") / F.col("total"), 6).alias("ratio"))
-        .orderBy(F.desc("cnt"), "value")
-    )
+    return top.select("value", "cnt", F.round(F.col("cnt") / total, 6).alias("ratio"))
 
 
 def top_n_per_column(counted: DataFrame, n: int) -> DataFrame:

@@ -204,7 +204,6 @@ def placeholder_coverage(
     keys = [ref(k) for k in by]
     if policy is None:
         policy = quality_policy(metrics.sparkSession)
-    policy_keys = [k for k in by if k in policy.columns]
     per_column = (
         metrics.groupBy(*keys, "column_name")
         .agg(
@@ -213,10 +212,14 @@ def placeholder_coverage(
         )
         .filter("counted and not covered and column_name <> ''")
     )
-    listed = policy.groupBy(*[ref(k) for k in policy_keys]).agg(F.bool_or("ph_required").alias("some_required"))
     judged = _with_policy(per_column, policy, by)
-    judged = judged.join(listed, policy_keys, "left") if policy_keys else judged.crossJoin(listed)
-    some_required = F.coalesce(F.col("some_required"), F.lit(False))
+    policy_keys = [k for k in by if k in policy.columns]
+    if policy_keys:  # a policy per run
+        listed = policy.groupBy(*[ref(k) for k in policy_keys]).agg(F.bool_or("ph_required").alias("some_required"))
+        judged = judged.join(listed, policy_keys, "left")
+        some_required = F.coalesce(F.col("some_required"), F.lit(False))
+    else:
+        some_required = F.coalesce(policy.agg(F.bool_or("ph_required")).scalar(), F.lit(False))
     wanted = ~F.col("allowed") & ~F.col("ph_optional") & (~some_required | F.col("ph_required"))
     return judged.filter(wanted).select(*keys, "column_name")
 

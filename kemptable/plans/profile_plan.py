@@ -327,7 +327,7 @@ def _count_metrics(df: DataFrame, request: Request, counted: DataFrame) -> DataF
     if request.name == "value_counts_topk":
         totals = seen.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_nonnull"))
         top = seen.orderBy(F.desc("cnt"), "value").limit(top_k_or_default(args.get("top_k", 20)))
-        top = top.crossJoin(F.broadcast(totals)).withColumn("ratio", rate(F.col("cnt"), F.col("total_nonnull")))
+        top = top.withColumn("ratio", rate(F.col("cnt"), totals.scalar()))
         return _totals(totals).unionByName(_items(top, "top_value", F.to_json(F.struct("value", "cnt", "ratio"))))
     if request.name == "mapping_coverage":
         keys = mapping_keys(df, args["mapping_keys"]).withColumn("known", F.lit(True))

@@ -72,13 +72,13 @@ def placeholder_coverage_by_user(t):
 
 
 @query(
-    "select 'c_nationkey' as column_name, 'missing_mapping_count' as metric, "
-    "cast(count(distinct c_nationkey) as double) as value from customer where c_nationkey not in "
-    "(select n_nationkey from nation where n_regionkey < 3)"
+    "select 'doc_id' as column_name, 'missing_mapping_count' as metric, "
+    "cast(count(distinct doc_id) as double) as value from documents where doc_id not in (select doc_id from labels) "
+    "having count(*) > 0"
 )
-def mapping_gaps_nation(t):
-    keys = t.nation.filter("n_regionkey < 3").select("n_nationkey")
-    return quality.mapping_gaps(mapping_gap_metrics(t.customer, "c_nationkey", keys))
+def mapping_gaps_labels(t):
+    """Documents that the label table does not cover."""
+    return quality.mapping_gaps(mapping_gap_metrics(t.documents, "doc_id", t.labels.select("doc_id")))
 
 
 @query(

@@ -310,14 +310,25 @@ def mapping_coverage_segment(t):
     return counts.mapping_coverage(t.customer, "c_mktsegment", SEGMENTS)
 
 
+@query(
+    coverage_sql(
+        "select distinct cast(doc_id as varchar) as value from documents",
+        "select distinct cast(doc_id as varchar) as value from labels",
+    )
+)
+def mapping_coverage_labels(t):
+    """Keys from a table: documents without a label are missing."""
+    return counts.mapping_coverage(t.documents, "doc_id", t.labels.select("doc_id"))
+
+
 @query(
     coverage_sql(
         "select distinct cast(l_partkey as varchar) as value from lineitem",
-        "select distinct cast(p_partkey as varchar) as value from part where p_size <= 45",
+        "select distinct cast(p_partkey as varchar) as value from part",
     )
 )
 def mapping_coverage_parts(t):
-    return counts.mapping_coverage(t.lineitem, "l_partkey", t.part.filter("p_size <= 45").select("p_partkey"))
+    return counts.mapping_coverage(t.lineitem, "l_partkey", t.part.select("p_partkey"))
 
 
 @query(

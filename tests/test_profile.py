@@ -163,15 +163,33 @@ def test_quality_metrics(spark):
     ]
 
 
-def test_no_python_and_one_scan_in_profiles(orders):
-    for df in (
-        counts.value_counts_topk(orders, "o_orderpriority"),
-        counts.categorical_summary(orders),
-        profile.column_profile(orders),
-        profile.parseability(orders, "o_orderstatus"),
-        profile.missing_report(orders),
-    ):
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-        assert "Python" not in plan and "MapInPandas" not in plan
-        assert plan.count("FileScan") == 1, plan
+PROFILES = {
+    "topk": lambda df: counts.value_counts_topk(df, "o_orderpriority"),
+    "categorical": lambda df: counts.categorical_summary(df),
+    "profile": lambda df: profile.column_profile(df),
+    "counts": lambda df: profile.column_profile(df, samples=0),
+    "parse": lambda df: profile.parseability(df, "o_orderstatus"),
+    "missing": lambda df: profile.missing_report(df),
+    "quality": lambda df: profile.column_quality_metrics(df, df.columns),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PROFILES))
+def test_profiles_run_in_the_jvm(orders, name):
+    plan = PROFILES[name](orders)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(PROFILES))
+def test_profiles_read_the_table_once(spark, orders, name):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count_rows(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    total = orders.count()
+    PROFILES[name](orders.mapInArrow(count_rows, orders.schema)).collect()
+    # Samples first look at a few rows, which here are all there are.
+    assert seen.value == (2 * total if name == "profile" else total)
