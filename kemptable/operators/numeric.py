@@ -1,26 +1,34 @@
 """Numeric summaries: moments in one pass, exact quantiles without one big task.
 
 Spark's ``percentile`` keeps every distinct value of a column in a single task.
-Here each quantile is first bracketed by a fixed-size sketch; only the values
-inside the bracket are grouped, and rank counts below it keep the answer exact.
+On big tables each quantile is therefore bracketed by a fixed-size sketch taken
+along with the moments. A second pass counts the rows outside the brackets and
+the values inside; the counts show that a bracket holds its rank, which makes
+the answer exact.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import EmptyData, numeric_columns, require_columns
 from ..functions.values import any_of, number_col
-
-# Up to this many values, over all columns asked for, one task reads them directly;
-# a bracket is narrowed until it holds no more rows than this.
-SMALL_BRACKET = 3_000_000
-# Relative rank error of the sketch is about 1 / SKETCH_ACCURACY.
+from ..session import cut_lineage
+
+# Up to this many values, over all columns asked for, one task reads them directly.
+SMALL = 3_000_000
+# Distinct values inside the brackets that one task sorts.
+SORT_VALUES = 1_000_000
+# Relative rank error of the sketch is about 1 / SKETCH_ACCURACY; brackets are
+# this much wider on either side, and widened further should a check fail.
 SKETCH_ACCURACY = 10_000
+SLACK = 2.0 / SKETCH_ACCURACY
+WIDEN = 16
+
+QUARTILES = (0.25, 0.5, 0.75)
 
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("column_name", T.StringType()),
@@ -36,25 +44,12 @@ SUMMARY_SCHEMA = T.StructType([
 ])
 
 
-@dataclass
-class Bracket:
-    """Closed value range known to hold the ranks ``low_rank..high_rank``."""
-
-    column: str
-    low_rank: int
-    high_rank: int
-    low: float
-    high: float
-    below: int
-    inside: int
-    done: bool = False
-
-
-def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+def moments(df: DataFrame, columns: Sequence[str], points: Sequence[float] = ()) -> dict[str, dict]:
     """Count, missing, mean, sample deviation, minimum and maximum per column.
 
     One aggregation over the table; the collected row is as wide as the schema
-    and holds nothing that grows with the data.
+    and holds nothing that grows with the data. ``points`` adds the brackets of
+    these quantiles, for :func:`quantiles`.
     """
     if not columns:
         return {}
@@ -68,6 +63,8 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
             F.min(value).alias(f"min{i}"),
             F.max(value).alias(f"max{i}"),
         ]
+        if points:
+            aggregates.append(sketch(value, points).alias(f"cuts{i}"))
     row = df.agg(*aggregates).first()
     return {
         name: {
@@ -77,17 +74,25 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
             "std": row[f"std{i}"],
             "min": row[f"min{i}"],
             "max": row[f"max{i}"],
+            "cuts": row[f"cuts{i}"] if points else None,
         }
         for i, name in enumerate(columns)
     }
 
 
+def sketch(value: Column, points: Sequence[float], slack: float = SLACK) -> Column:
+    """The values a little before and after each quantile, by a sketch."""
+    around = [min(1.0, max(0.0, x)) for p in points for x in (p - slack, p + slack)]
+    return F.percentile_approx(value, around, SKETCH_ACCURACY)
+
+
 def quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
     known: Mapping[str, dict] | None = None,
-    small: int = SMALL_BRACKET,
+    small: int = SMALL,
     accuracy: int | None = None,
+    sort_values: int = SORT_VALUES,
 ) -> dict[tuple[str, float], float | None]:
     """Quantiles with linear interpolation, exact unless ``accuracy`` is given.
 
@@ -98,152 +103,179 @@ def quantiles(
     if not columns:
         return {}
     if accuracy is not None:
-        return _sketched(df, wanted, columns, accuracy)
+        row = df.agg(*[
+            F.percentile_approx(number_col(df, c), list(wanted[c]), accuracy).alias(f"q{i}")
+            for i, c in enumerate(columns)
+        ]).first()
+        return _by_point(wanted, {c: row[f"q{i}"] for i, c in enumerate(columns)})
     known = known or moments(df, columns)
-    result: dict[tuple[str, float], float | None] = {}
-    few = columns if sum(known[c]["count"] for c in columns) <= small else []
-    if few:
+    if sum(known[c]["count"] for c in columns) <= small:
         # The counts prove that the values fit one task.
         row = df.agg(*[
             F.percentile(number_col(df, c), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(f"q{i}")
-            for i, c in enumerate(few)
+            for i, c in enumerate(columns)
         ]).first()
-        for i, name in enumerate(few):
-            for j, p in enumerate(wanted[name]):
-                result[(name, p)] = row[f"q{i}"][j] if row[f"q{i}"] is not None else None
-    many = [c for c in columns if c not in few]
-    values = {c: number_col(df, c) for c in many}
-    brackets: dict[tuple, Bracket] = {}
-    for name in many:
-        for p in wanted[name]:
-            ranks = _ranks(known[name]["count"], p)
-            brackets[(name, *ranks)] = Bracket(
-                name, *ranks, known[name]["min"], known[name]["max"], 0, known[name]["count"]
-            )
-    while True:
-        wide = [b for b in brackets.values() if not b.done and b.inside > small and b.low < b.high]
-        if not wide:
-            break
-        _narrow(df, values, wide)
-    at_rank = _select(df, values, list(brackets.values()))
-    for name in many:
+        return _by_point(wanted, {c: row[f"q{i}"] for i, c in enumerate(columns)})
+    ranks = {
+        (c, rank)
+        for c in columns if known[c]["count"]
+        for p in wanted[c]
+        for rank in _ranks(known[c]["count"], p)
+    }
+    found: dict[tuple[str, int], float] = {}
+    slack, cuts = SLACK, {c: known[c].get("cuts") for c in columns}
+    while ranks - set(found):
+        open_columns = sorted({c for c, _ in ranks - set(found)})
+        unknown = [c for c in open_columns if not cuts[c]]
+        if unknown:
+            row = df.agg(*[sketch(number_col(df, c), wanted[c], slack).alias(f"q{i}") for i, c in enumerate(unknown)]).first()
+            cuts.update({c: row[f"q{i}"] for i, c in enumerate(unknown)})
+        brackets = {c: _merge(cuts[c]) for c in open_columns}
+        found.update(_read_ranks(df, brackets, ranks - set(found), sort_values))
+        slack, cuts = slack * WIDEN, dict.fromkeys(columns)  # only for ranks a bracket missed
+    result: dict[tuple[str, float], float | None] = {}
+    for name in columns:
+        count = known[name]["count"]
         for p in wanted[name]:
-            ranks = _ranks(known[name]["count"], p)
-            low, high = at_rank[(name, ranks[0])], at_rank[(name, ranks[1])]
-            share = p * (known[name]["count"] - 1) - ranks[0]
+            if not count:
+                result[(name, p)] = None
+                continue
+            low_rank, high_rank = _ranks(count, p)
+            low, high = found[(name, low_rank)], found[(name, high_rank)]
+            share = p * (count - 1) - low_rank
             result[(name, p)] = low if low == high else low + (high - low) * share
     return result
 
 
+def _by_point(wanted, answers):
+    return {(c, p): (values[i] if values is not None else None) for c, values in answers.items() for i, p in enumerate(wanted[c])}
+
+
 def _ranks(count: int, p: float) -> tuple[int, int]:
     """Zero-based ranks of the two values the quantile lies between."""
     position = p * (count - 1)
     return math.floor(position), math.ceil(position)
 
 
-def _sketched(df, wanted, columns, accuracy):
-    row = df.agg(*[
-        F.percentile_approx(number_col(df, c), list(wanted[c]), accuracy).alias(f"q{i}")
-        for i, c in enumerate(columns)
-    ]).first()
-    return {
-        (c, p): (row[f"q{i}"][j] if row[f"q{i}"] is not None else None)
-        for i, c in enumerate(columns)
-        for j, p in enumerate(wanted[c])
-    }
+def _merge(cuts: Sequence[float]) -> list[tuple[float, float]]:
+    """Brackets in ascending order, overlapping ones as one."""
+    merged: list[list[float]] = []
+    for low, high in sorted(zip(cuts[::2], cuts[1::2])):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(high, merged[-1][1])
+        else:
+            merged.append([low, high])
+    return [(low, high) for low, high in merged]
 
 
-def _within(value: Column, b: Bracket) -> Column:
-    return value.between(F.lit(b.low), F.lit(b.high))
+def _read_ranks(
+    df: DataFrame, brackets: Mapping[str, list], ranks: set[tuple[str, int]], sort_values: int
+) -> dict[tuple[str, int], float]:
+    """The values at those ranks that lie inside a bracket; one pass over the data.
 
+    The brackets cut the axis of a column into regions: even ones lie between
+    brackets and are only counted, odd ones are brackets and counted by value.
+    """
+    columns = list(brackets)
+    wide = df.select(*[number_col(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    long = wide.unpivot([], wide.columns, "slot", "v").filter("v is not null")
+    region = F.lit(None).cast("int")
+    for i, name in enumerate(columns):
+        place = F.lit(2 * len(brackets[name]))
+        for k, (low, high) in reversed(list(enumerate(brackets[name]))):
+            place = F.when(F.col("v") < low, 2 * k).when(F.col("v") <= high, 2 * k + 1).otherwise(place)
+        region = F.when(F.col("slot") == f"c{i}", place).otherwise(region)
+    placed = long.select("slot", "v", region.alias("region"))
+    inside = F.when(F.col("region") % 2 == 1, F.col("v"))
+    counted = cut_lineage(placed.groupBy("slot", "region", inside.alias("v")).agg(F.count(F.lit(1)).alias("cnt")))
+    totals = {
+        (r["slot"], r["region"]): (r["rows"], r["distinct"])
+        for r in counted.groupBy("slot", "region")
+        .agg(F.sum("cnt").alias("rows"), F.count(F.lit(1)).alias("distinct"))
+        .collect()  # one row per region
+    }
+    found: dict[tuple[str, int], float] = {}
+    sought: dict[tuple[str, int], dict[int, tuple[str, int]]] = {}
+    for i, name in enumerate(columns):
+        start = 0
+        for k in range(2 * len(brackets[name]) + 1):
+            rows, _ = totals.get((f"c{i}", k), (0, 0))
+            for rank in (r for c, r in ranks if c == name and start <= r < start + rows and k % 2 == 1):
+                low, high = brackets[name][k // 2]
+                if low == high:  # one value fills the bracket
+                    found[(name, rank)] = low
+                else:
+                    sought.setdefault((f"c{i}", k), {})[rank - start] = (name, rank)
+            start += rows
+    if sought:
+        held = sum(totals[key][1] for key in sought)
+        found.update(_select(counted, sought, max(1, math.ceil(held / sort_values))))
+    return found
 
-def _narrow(df: DataFrame, values: Mapping[str, Column], wide: list[Bracket]) -> None:
-    """Shrink every wide bracket with a sketch, then check it by exact counts.
 
-    Two passes over the named columns. Only numbers per bracket come back.
+def _select(counted: DataFrame, sought: Mapping, pieces: int) -> dict[tuple[str, int], float]:
+    """The values at given places of regions, from counts by value.
+
+    With several pieces the values are range-partitioned first and the sizes of
+    the pieces tell which one holds a place, so no task sorts a whole region.
     """
-    inside = df.filter(any_of([_within(values[b.column], b) for b in wide]))
-    slack = 2.0 / SKETCH_ACCURACY
-    shares: dict[tuple, list[float]] = {}  # brackets over one range share a sketch
-    for b in wide:
-        low_p = max(0.0, (b.low_rank - b.below) / b.inside - slack)
-        high_p = min(1.0, (b.high_rank - b.below + 1) / b.inside + slack)
-        shares.setdefault((b.column, b.low, b.high), []).extend([low_p, high_p])
-    row = inside.agg(*[
-        F.percentile_approx(
-            F.when(values[c].between(F.lit(low), F.lit(high)), values[c]), points, SKETCH_ACCURACY
-        ).alias(f"g{i}")
-        for i, ((c, low, high), points) in enumerate(shares.items())
-    ]).first()
-    cuts = {key: iter(row[f"g{i}"]) for i, key in enumerate(shares)}
-    guess = [(next(cuts[key]), next(cuts[key])) for key in [(b.column, b.low, b.high) for b in wide]]
-    counts = []
-    for i, b in enumerate(wide):
-        value, (low, high) = values[b.column], guess[i]
-        counts += [
-            F.count_if(_within(value, b) & (value < F.lit(low))).alias(f"b{i}"),
-            F.count_if(value.between(F.lit(low), F.lit(high))).alias(f"i{i}"),
-        ]
-    count = inside.agg(*counts).first()
-    for i, b in enumerate(wide):
-        low, high = guess[i]
-        below, within = b.below + count[f"b{i}"], count[f"i{i}"]
-        holds = below <= b.low_rank and b.high_rank < below + within
-        # A bracket that no longer shrinks holds few distinct values or one the
-        # sketch cannot split; grouping it by value is exact either way.
-        b.done = not holds or within > b.inside // 2
-        if holds:
-            b.low, b.high, b.below, b.inside = low, high, below, within
-
-
-def _select(df: DataFrame, values: Mapping[str, Column], brackets: list[Bracket]) -> dict[tuple[str, int], float]:
-    """Read the values at the wanted ranks out of the bracketed rows."""
-    found: dict[tuple[str, int], float] = {}
-    for b in brackets:
-        if b.low == b.high:  # one value fills the bracket
-            found[(b.column, b.low_rank)] = found[(b.column, b.high_rank)] = b.low
-    brackets = [b for b in brackets if b.low < b.high]
-    if not brackets:
-        return found
-    ranges: dict[tuple, list[Bracket]] = {}
-    for b in brackets:
-        ranges.setdefault((b.column, b.low, b.high, b.below), []).append(b)
-    entries, picks = [], []
-    for i, ((name, low, high, below), members) in enumerate(ranges.items()):
-        value = values[name]
-        entries.append(F.when(value.between(F.lit(low), F.lit(high)), F.struct(F.lit(i).alias("range"), value.alias("v"))))
-        for rank in sorted({r - below for b in members for r in (b.low_rank, b.high_rank)}):
-            picks.append((F.col("range") == i) & (F.col("upto") - F.col("cnt") <= rank) & (F.col("upto") > rank))
-    counted = (
-        df.filter(any_of([_within(values[b.column], b) for b in brackets]))
-        .select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy(F.col("e.range").alias("range"), F.col("e.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    order = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = counted.filter(any_of([(F.col("slot") == s) & (F.col("region") == r) for s, r in sought]))
+    before: dict[tuple, int] = {}
+    if pieces > 1:
+        mine = cut_lineage(
+            mine.repartitionByRange(pieces, "slot", "region", "v").withColumn("piece", F.spark_partition_id())
+        )
+        sizes = mine.groupBy("slot", "region", "piece").agg(F.sum("cnt").alias("rows")).collect()  # pieces + regions
+        start: dict[tuple, int] = {}
+        for r in sorted(sizes, key=lambda r: r["piece"]):
+            key = (r["slot"], r["region"])
+            before[(*key, r["piece"])] = start.get(key, 0)
+            start[key] = start.get(key, 0) + r["rows"]
+        ends = {k: b + next(r["rows"] for r in sizes if (r["slot"], r["region"], r["piece"]) == k) for k, b in before.items()}
+    else:
+        mine = mine.withColumn("piece", F.lit(0))
+        before = {(*key, 0): 0 for key in sought}
+        ends = {key: math.inf for key in before}
+    picks = {
+        (slot, region, piece, place - first): target
+        for (slot, region, piece), first in before.items()
+        for place, target in sought[(slot, region)].items()
+        if first <= place < ends[(slot, region, piece)]
+    }
+    order = Window.partitionBy("slot", "region", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = [
+        (F.col("slot") == s) & (F.col("region") == r) & (F.col("piece") == p)
+        & (F.col("upto") - F.col("cnt") <= place) & (F.col("upto") > place)
+        for s, r, p, place in picks
+    ]
+    pieces_hit = any_of([(F.col("slot") == s) & (F.col("region") == r) & (F.col("piece") == p) for s, r, p, _ in picks])
     rows = (
-        counted.withColumn("upto", F.sum("cnt").over(order))
-        .filter(any_of(picks))
-        .select("range", "v", "upto", "cnt")
-        .collect()  # at most two rows per wanted quantile
+        mine.filter(pieces_hit)
+        .withColumn("upto", F.sum("cnt").over(order))
+        .filter(any_of(wanted))
+        .collect()  # at most one row per wanted rank
     )
-    for i, ((name, _, _, below), members) in enumerate(ranges.items()):
-        for rank in {r for b in members for r in (b.low_rank, b.high_rank)}:
-            for row in rows:
-                if row["range"] == i and row["upto"] - row["cnt"] <= rank - below < row["upto"]:
-                    found[(name, rank)] = row["v"]
-    return found
+    return {
+        target: row["v"]
+        for (slot, region, piece, place), target in picks.items()
+        for row in rows
+        if (row["slot"], row["region"], row["piece"]) == (slot, region, piece)
+        and row["upto"] - row["cnt"] <= place < row["upto"]
+    }
 
 
 def summary_stats(
-    df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None, small: int = SMALL
 ) -> DataFrame:
     """One row per numeric column; text columns that are named are coerced."""
     names = require_columns(df, columns) if columns else numeric_columns(df)
     if not names:
         raise EmptyData("the table has no numeric column")
-    known = moments(df, names)
-    cuts = quantiles(df, {c: [0.25, 0.5, 0.75] for c in names}, known=known, accuracy=accuracy)
+    # Counting rows reads no column of a file; big tables get their sketch
+    # along with the moments.
+    big = accuracy is None and df.count() * len(names) > small
+    known = moments(df, names, QUARTILES if big else ())
+    cuts = quantiles(df, {c: QUARTILES for c in names}, known=known, small=small, accuracy=accuracy)
     return summary_rows(df, names, known, cuts)
 
 

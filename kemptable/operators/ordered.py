@@ -38,7 +38,8 @@ def order_position(df: DataFrame, name: str) -> Column:
     elif not isinstance(dtype, T.NumericType):
         head = F.rpad(F.hex(F.substring(F.encode(column.cast("string"), "UTF-8"), 1, 6)), 12, "0")
         column = F.conv(head, 16, 10)
-    return F.coalesce(column.cast("double"), F.lit(float("-inf")))
+    position = column.cast("double")
+    return F.when(position.isNull(), float("-inf")).when(F.isnan(position), float("inf")).otherwise(position)
 
 
 def _segmented(df: DataFrame, first: str, rows: int, segment_rows: int) -> DataFrame:

@@ -35,7 +35,7 @@ from ..operators.counts import (
     value_counts_many,
     value_counts_topk,
 )
-from ..operators.numeric import SMALL_BRACKET, quantiles, summary_stats
+from ..operators.numeric import QUARTILES, SMALL, quantiles, sketch, summary_stats
 from ..operators.profile import (
     DEFAULT_SAMPLES,
     PARSERS,
@@ -50,7 +50,6 @@ from ..session import cut_lineage
 from ..sources.files import encoding_audit
 
 REPORT_SCHEMA = "request_id long, name string, args_json string, metric string, value string, error string"
-QUARTILES = [0.25, 0.5, 0.75]
 
 # The profile operators by name, with the arguments a request may set.
 PROFILERS: dict[str, Callable[..., DataFrame]] = {
@@ -156,7 +155,7 @@ def _needs_counts(request: Request) -> bool:
     return request.name in COUNT_BASED
 
 
-def profile_plan(df: DataFrame, requests: Sequence[Mapping], small: int = SMALL_BRACKET) -> DataFrame:
+def profile_plan(df: DataFrame, requests: Sequence[Mapping], small: int = SMALL) -> DataFrame:
     """Run all requests; one report row per metric, errors as rows of their own."""
     planned = plan_requests(df, requests)
     working = [r for r in planned if r.error is None]
@@ -221,6 +220,8 @@ def _one_pass(df: DataFrame, requests: Sequence[Request], small: int) -> dict:
         aggregates += [f(v).alias(f"{label}{i}") for label, f in _MOMENTS.items()]
         if direct:
             aggregates.append(F.percentile(v, F.array(*map(F.lit, QUARTILES))).alias(f"q{i}"))
+        else:
+            aggregates.append(sketch(v, QUARTILES).alias(f"q{i}"))
     for i, name in enumerate(counts):
         inputs.append(present_col(df, name).isNotNull().alias(f"here{i}"))
         aggregates.append(F.count_if(F.col(f"here{i}")).alias(f"here{i}"))
@@ -235,7 +236,7 @@ def _one_pass(df: DataFrame, requests: Sequence[Request], small: int) -> dict:
         if direct:
             facts["quartiles", name] = row[f"q{i}"] or [None] * 3
     if stats and not direct:
-        known = {c: facts["stats", c] for c in stats}
+        known = {c: facts["stats", c] | {"cuts": row[f"q{i}"]} for i, c in enumerate(stats)}
         cuts = quantiles(df, {c: QUARTILES for c in stats}, known=known, small=small)
         for name in stats:
             facts["quartiles", name] = [cuts[(name, p)] for p in QUARTILES]

@@ -114,9 +114,7 @@ def summary_lineitem(t):
 @query(summary_sql(LINE_NUMBERS, "lineitem"))
 def summary_lineitem_brackets(t):
     """The same numbers by the path big tables take: sketch, count, select."""
-    known = numeric.moments(t.lineitem, LINE_NUMBERS)
-    cuts = numeric.quantiles(t.lineitem, {c: [0.25, 0.5, 0.75] for c in LINE_NUMBERS}, known=known, small=1000)
-    table = numeric.summary_rows(t.lineitem, LINE_NUMBERS, known, cuts)
+    table = numeric.summary_stats(t.lineitem, LINE_NUMBERS, small=1000)
     return rounded(table, ["mean", "q1", "median", "q3"])
 
 
