@@ -56,9 +56,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a reduced table to the shared folder so later jobs start from it."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write a reduced table to the shared folder so later jobs start from it.
+
+    Parquet rather than a checkpoint: later jobs read only the columns and
+    rows they need.
+    """
+    path = scratch_path(df.sparkSession, "reduced")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

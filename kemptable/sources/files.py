@@ -109,19 +109,16 @@ def label_counts(manifest: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _decodes(lines: pd.Series) -> pd.Series:
-    """For each codec whether the bytes are valid in it."""
+    """For each codec whether the bytes are valid in it; nulls are passed over."""
 
-    def check(raw):
-        answers = []
-        for codec in CODECS:
-            try:
-                bytes(raw).decode(codec)
-                answers.append(True)
-            except UnicodeDecodeError:
-                answers.append(False)
-        return answers
+    def valid(raw, codec):
+        try:
+            bytes(raw).decode(codec)
+            return True
+        except UnicodeDecodeError:
+            return False
 
-    return lines.map(check)
+    return lines.map(lambda raw: [valid(raw, codec) for codec in CODECS], na_action="ignore")
 
 
 def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
@@ -129,8 +126,8 @@ def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | N
 
     Files are read as lines, so a huge file is split over many tasks: a line
     break never falls inside a character of these encodings, and a file is
-    valid in one when every line is. Only lines that are not UTF-8 reach
-    Python. The line reader drops a byte order mark; the three bytes missing
+    valid in one when every line is. Only the bytes of lines that are not UTF-8
+    are handed to Python. The line reader drops a byte order mark; the three bytes missing
     from the total give it away. Empty files are not listed by Spark.
     """
     roots = [path] if isinstance(path, str) else list(path)
@@ -144,16 +141,12 @@ def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | N
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("n_bytes"),
-            "value",
-            F.is_valid_utf8("value").alias("utf8"),
+            F.octet_length("value").alias("size"),
+            F.when(~F.is_valid_utf8("value"), F.col("value").cast("binary")).alias("odd"),
         )
     )
-    good = lines.filter("utf8").groupBy("path", "n_bytes").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value")).alias("bytes")
-    )
-    bad = (
-        lines.filter("not utf8")
-        .select("path", "n_bytes", F.octet_length("value").alias("size"), _decodes(F.col("value").cast("binary")).alias("ok"))
+    files = (
+        lines.select("path", "n_bytes", "size", _decodes("odd").alias("ok"))
         .groupBy("path", "n_bytes")
         .agg(
             F.count(F.lit(1)).alias("lines"),
@@ -161,15 +154,6 @@ def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | N
             *[F.bool_and(F.col("ok")[i]).alias(f"ok{i}") for i in range(len(CODECS))],
         )
     )
-    files = (
-        good.unionByName(bad, allowMissingColumns=True)
-        .groupBy("path", "n_bytes")
-        .agg(
-            F.sum("lines").alias("lines"),
-            F.sum("bytes").alias("bytes"),
-            *[F.bool_and(f"ok{i}").alias(f"ok{i}") for i in range(len(CODECS))],
-        )
-    )
     # One separator per line, except after a last line without one.
     has_bom = F.col("n_bytes") - F.col("bytes") - F.col("lines") >= 2
     guess = F.when(F.col("ok0").isNull(), F.when(has_bom, "utf-8-sig").otherwise("utf-8"))

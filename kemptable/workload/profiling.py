@@ -398,7 +398,10 @@ def normalized_names(t):
     return normalize_columns(t.nation.select(F.col("n_nationkey").alias(' "key" '), F.col("n_name").alias("'name")))
 
 
-@query()
+@query(
+    "select '<dict keys=[event_id, user_id]>' as pair, '<dict keys=[' || event_type || ']>' as one, "
+    "'<bytes len=' || octet_length(encode(props)) || '>' as raw from events"
+)
 def container_placeholders(t):
     """Value text of nested and binary cells."""
     nested = t.events.select(
