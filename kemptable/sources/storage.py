@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import io
 import re
 
 import pyarrow.fs as pafs
@@ -56,7 +57,38 @@ def read_head(uri: str, size: int) -> bytes:
         return stream.read(size)
 
 
-def open_seekable(uri: str):
+class _Positioned(io.RawIOBase):
+    """An Arrow file as a Python one: seeking before the start is an OSError."""
+
+    def __init__(self, file):
+        self._file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._file.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        start = {io.SEEK_SET: 0, io.SEEK_CUR: self._file.tell(), io.SEEK_END: self._file.size()}[whence]
+        if start + offset < 0:
+            raise OSError("position before the start of the file")
+        return self._file.seek(start + offset)
+
+    def readinto(self, buffer) -> int:
+        data = self._file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self._file.close()
+        super().close()
+
+
+def open_seekable(uri: str) -> io.BufferedReader:
     """A file that can be read from any position."""
     filesystem, path = open_filesystem(uri)
-    return filesystem.open_input_file(path)
+    return io.BufferedReader(_Positioned(filesystem.open_input_file(path)), 1024 * 1024)

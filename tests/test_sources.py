@@ -219,6 +219,8 @@ def test_archives(spark, folder):
         archive.writestr("dir/../in.csv", "y")
         archive.writestr("한글.csv".encode("utf-8").decode("cp437"), "k")
     put(folder, "broken.zip", b"no archive")
+    with zipfile.ZipFile(folder / "empty.zip", "w"):
+        pass
     got = files.expand_zip(files.zip_files(spark, str(folder)), tasks=3)
     found = {r["member"]: (r["is_safe"], r["content"] and bytes(r["content"])) for r in got.collect()}
     assert found == {
