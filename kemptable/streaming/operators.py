@@ -101,8 +101,8 @@ def stream_changes_only(
     Each batch is compared within itself and, on the first row of a key, with
     the last value kept from earlier batches. A batch writes its output to a
     folder named after it and reads the state of the batch before it, so a batch
-    that runs again replaces its own files; three state folders are used in
-    turn. Rows must not arrive out of order across batches. ``state`` belongs to
+    that runs again replaces its own files. The state is one row per key; three
+    folders hold it in turn. Rows must not arrive out of order across batches. ``state`` belongs to
     one query. Start the returned writer.
     """
     spark = stream.sparkSession
@@ -118,8 +118,9 @@ def stream_changes_only(
             before = session.read.schema(schema).parquet(f"{state}/slot-{(batch_id - 1) % 3}")
         marked = with_previous(batch, keys, order, [value], segment_rows).persist()
         first = marked.filter("step = 1")
-        earlier = before.select(*[ref(k) for k in keys], ref(value).alias("_earlier"))
-        known = first.join(earlier, list(keys), "left").filter(~ref(value).eqNullSafe(F.col("_earlier")))
+        earlier = before.select(*[ref(k).alias(f"_key{i}") for i, k in enumerate(keys)], ref(value).alias("_earlier"))
+        same_key = [ref(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+        known = first.join(earlier, same_key, "left").filter(~ref(value).eqNullSafe(F.col("_earlier")))
         later = marked.filter((F.col("step") > 1) & ~ref(value).eqNullSafe(F.col("prev").getField(value)))
         columns = [ref(c) for c in batch.columns]
         known.select(*columns).unionByName(later.select(*columns)).write.mode("overwrite").parquet(
@@ -144,12 +145,14 @@ def stream_quality_gate(
     checked: Sequence[str] = (),
     policy: DataFrame | None = None,
     flags: str | None = None,
+    checkpoint: str | None = None,
 ) -> DataStreamWriter:
     """Rows that keep every rule to ``output``, the others with reasons to ``rejected``.
 
     With ``flags`` the quality metrics of the ``checked`` columns are judged by
     the policy for each batch and the flagged ones written there. All sinks are
     written per batch under its number, so a repeated batch replaces itself.
+    Give the same ``checkpoint`` to go on after a restart.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -162,5 +165,5 @@ def stream_quality_gate(
             flagged.write.mode("overwrite").parquet(f"{flags}/batch={batch_id}")
         batch.unpersist()
 
-    location = scratch_path(stream.sparkSession, "gate")
+    location = checkpoint or scratch_path(stream.sparkSession, "gate")
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", location)

@@ -106,7 +106,7 @@ def in_batches(spark, folder, pieces):
 
 def test_changes_are_followed_across_batches(spark, folder):
     events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn(
-        "user_id", F.when(F.col("event_id") % 3 > 0, F.lit(7)).otherwise(F.col("user_id"))  # a hot key
+        "user_id", F.when(F.col("event_id") % 3 > 0, F.lit(7)).when(F.col("user_id") > 9, F.col("user_id"))  # a hot key, null keys
     )
     days = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-20"), ("2024-01-20", "2025-01-01")]
     stream = in_batches(spark, folder, [events.filter(F.col("ts").between(a, F.expr(f"timestamp_ntz'{b}' - interval 1 microsecond"))) for a, b in days])

@@ -12,7 +12,7 @@ from kemptable.functions.columns import EmptyData, InvalidArgs
 from kemptable.sources import files, sniff, storage
 from kemptable.sources.arrow import read_arrow, write_arrow
 from kemptable.sources.sinks import output_format, publish, write_table
-from kemptable.sources.tables import bounded, preview, read_table, row_limited, sample_head
+from kemptable.sources.tables import bounded, preview, read_table, row_limited, sample_head, sample_rows
 from kemptable.sources.text import null_tokens, read_delimited
 
 BAD_LINES = 'a,b\n1,2\n3\n4,5,6\n4,5,\n7,NA\n"x,y",""\n"p,q"\n4,5,6,7\n'
@@ -246,6 +246,7 @@ def test_small_views(spark):
     assert sample_head(df, path="x.csv").count() == 30 and sample_head(df, path="x.json").count() == 100
     assert bounded(df, 7).count() == 7 and bounded(df, None).count() == 100
     assert row_limited(df, 99).first()[0] is True and row_limited(df, 100).first()[0] is False
+    assert 0 < sample_rows(df, 0.5).count() < 100
     with pytest.raises(InvalidArgs):
         bounded(df, 0)
 
