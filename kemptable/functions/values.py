@@ -47,24 +47,36 @@ DATETIME_FORMATS = [
 ]
 
 
+def quoted(name: str) -> str:
+    """A column name as an SQL identifier, dots and spaces included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_string(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ref(name: str) -> Column:
-    """Reference a column by its exact name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Reference a column by its exact name."""
+    return F.col(quoted(name))
 
 
 def is_number_type(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
-def present(column: Column, dtype: T.DataType) -> Column:
-    """The value, with NaN turned into null: both count as missing."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column)
-    return column
+def present_sql(df: DataFrame, name: str) -> str:
+    """SQL for the value, with NaN turned into null: both count as missing."""
+    c = quoted(name)
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return f"case when not isnan({c}) then {c} end"
+    return c
 
 
 def present_col(df: DataFrame, name: str) -> Column:
-    return present(ref(name), df.schema[name].dataType)
+    """The value, with NaN turned into null."""
+    return F.expr(present_sql(df, name))
 
 
 def drop_missing(df: DataFrame, name: str) -> DataFrame:
@@ -77,64 +89,66 @@ def strip(column: Column) -> Column:
     return F.trim(column, F.lit(" \t\n\r\f\v"))
 
 
-def _float_text(column: Column) -> Column:
-    """Shortest decimal text: plain from 1e-4 up to 1e16, else ``1e+16`` form.
+def strip_sql(text: str) -> str:
+    """SQL that trims white space at both ends."""
+    return f"trim(both ' \\t\\n\\r\\u000c\\u000b' from {text})"
+
+
+# Shortest decimal text of a float: plain from 1e-4 up to 1e16, else ``1e+16``.
+# Spark's own text has the usual sizes right. The others go through a lambda,
+# which keeps the long branch out of the generated method: the JVM never
+# compiles methods that grow too big.
+FLOAT_TEXT = """
+case when abs({c}) < 1e7D and (abs({c}) >= 1e-3D or {c} = 0) then cast({c} as string)
+when {c} is not null and not isnan({c}) then transform(array(cast({c} as string)), t -> case
+  when t = 'Infinity' then 'inf'
+  when t = '-Infinity' then '-inf'
+  when try_cast(substring_index(t, 'E', -1) as int) between -4 and 15 then regexp_replace(
+    rtrim('0', cast(try_cast(t as decimal(38, 21)) as string)), '[.]$', '.0')
+  else concat(
+    regexp_replace(substring_index(t, 'E', 1), '[.]0$', ''),
+    case when contains(t, 'E-') then 'e-' else 'e+' end,
+    lpad(ltrim('-', substring_index(t, 'E', -1)),
+      greatest(2, length(ltrim('-', substring_index(t, 'E', -1)))), '0'))
+  end)[0] end
+"""
 
-    Spark's own text has the usual sizes right. The other sizes go through a
-    lambda, which keeps this long branch out of the generated method: methods
-    that grow too big are never compiled by the JVM.
-    """
-    size = F.abs(column)
-    text = column.cast("string")
-    usual = (size < 1e7) & ((size >= 1e-3) | (size == 0))
-    return F.when(usual, text).when(column.isNotNull(), F.transform(F.array(text), _unusual_float_text)[0])
-
-
-def _unusual_float_text(text: Column) -> Column:
-    """From Spark's ``1.5E-7`` or ``Infinity`` to the shortest decimal text."""
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    digits = F.abs(exponent).cast("string")
-    plain = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
-    return (
-        F.when(text == "Infinity", "inf")
-        .when(text == "-Infinity", "-inf")
-        .when(exponent.between(-4, 15), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
-        .otherwise(F.concat(
-            mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.when(F.length(digits) < 2, "0").otherwise(""), digits
-        ))
-    )
 
+def text_sql(name: str, dtype: T.DataType) -> str:
+    """SQL for the whole text form of a column; null for a missing value.
 
-def text_value(column: Column, dtype: T.DataType) -> Column:
-    """The whole text form of a value; null for a missing one."""
+    One text per column rather than a tree of column objects: wide tables need
+    thousands of them.
+    """
+    c = quoted(name)
     if isinstance(dtype, T.StringType):
-        return column
+        return c
     if isinstance(dtype, T.BooleanType):
-        return F.when(column, "True").when(~column, "False")
+        return f"case when {c} then 'True' when not {c} then 'False' end"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return _float_text(present(column, dtype))
+        return FLOAT_TEXT.format(c=c)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        text = column.cast("string")
-        return F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
+        text = f"cast({c} as string)"
+        return f"case when contains({text}, '.') then rpad({text}, 26, '0') else {text} end"
     if isinstance(dtype, T.BinaryType):
-        return F.concat(F.lit("<bytes len="), F.octet_length(column).cast("string"), F.lit(">"))
+        return f"concat('<bytes len=', octet_length({c}), '>')"
     if isinstance(dtype, T.ArrayType):
-        size = F.when(column.isNotNull(), F.size(column))
-        return F.concat(F.lit("<list len="), size.cast("string"), F.lit(">"))
+        return f"case when {c} is not null then concat('<list len=', size({c}), '>') end"
     if isinstance(dtype, T.MapType):
-        keys = F.map_keys(column)
-        return _key_preview(keys, F.when(column.isNotNull(), F.size(keys)))
+        keys, size = f"map_keys({c})", f"size({c})"
+        shown = f"array_join(transform(slice({keys}, 1, 5), k -> cast(k as string)), ', ')"
+        more = f"case when {size} > 5 then concat(', …(+', {size} - 5, ')') else '' end"
+        return f"case when {c} is not null then concat('<dict keys=[', {shown}, {more}, ']>') end"
     if isinstance(dtype, T.StructType):
-        keys = F.array(*[F.lit(n) for n in dtype.names]) if dtype.names else F.array().cast("array<string>")
-        return F.when(column.isNotNull(), _key_preview(keys, F.lit(len(dtype.names))))
-    return column.cast("string")
+        more = f", …(+{len(dtype.names) - 5})" if len(dtype.names) > 5 else ""
+        text = f"<dict keys=[{', '.join(dtype.names[:5])}{more}]>"
+        return f"case when {c} is not null then {sql_string(text)} end"
+    return f"cast({c} as string)"
 
 
-def _key_preview(keys: Column, size: Column) -> Column:
-    shown = F.array_join(F.transform(F.slice(keys, 1, 5), lambda k: k.cast("string")), ", ")
-    more = F.when(size > 5, F.concat(F.lit(", …(+"), (size - 5).cast("string"), F.lit(")"))).otherwise("")
-    return F.when(size.isNotNull(), F.concat(F.lit("<dict keys=["), shown, more, F.lit("]>")))
+def text_value(name: str, dtype: T.DataType) -> Column:
+    """The whole text form of a column's values; null for a missing one."""
+    return F.expr(text_sql(name, dtype))
 
 
 def truncate_text(column: Column, limit: int, marker: str = "…") -> Column:
@@ -143,20 +157,22 @@ def truncate_text(column: Column, limit: int, marker: str = "…") -> Column:
     return F.when(F.char_length(column) > limit, cut).otherwise(column)
 
 
-def canonical_value(column: Column, dtype: T.DataType, limit: int | None = VALUE_LIMIT) -> Column:
+def canonical_value(name: str, dtype: T.DataType, limit: int | None = VALUE_LIMIT) -> Column:
     """Text that identifies a value in counts and distinct lists.
 
     Values that agree in their first ``limit`` characters count as one value;
     ``limit=None`` compares whole values.
     """
-    text = text_value(column, dtype)
+    text = text_sql(name, dtype)
     if limit is None or not isinstance(dtype, (T.StringType, T.MapType, T.StructType)):
-        return text
-    return truncate_text(text, limit)
+        return F.expr(text)
+    return F.expr(
+        f"case when char_length({text}) > {limit} then concat(substring({text}, 1, {limit}), '…') else {text} end"
+    )
 
 
 def canonical_col(df: DataFrame, name: str, limit: int | None = VALUE_LIMIT) -> Column:
-    return canonical_value(ref(name), df.schema[name].dataType, limit)
+    return canonical_value(name, df.schema[name].dataType, limit)
 
 
 def safe_string(column: Column) -> Column:
@@ -176,10 +192,10 @@ def number_col(df: DataFrame, name: str) -> Column:
     """The column as double; text that is no number and NaN become null."""
     dtype = df.schema[name].dataType
     if is_number_type(dtype):
-        return present(ref(name), dtype).cast("double")
+        return present_col(df, name).cast("double")
     if isinstance(dtype, T.BooleanType):
         return ref(name).cast("double")
-    return present(to_number(text_value(ref(name), dtype)), T.DoubleType())
+    return to_number(text_value(name, dtype))
 
 
 def is_bool_token(column: Column) -> Column:
@@ -251,6 +267,11 @@ def extension(column: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(column), r".\.([^.]+)$", 1))
 
 
+def rate_sql(part: str, whole: str, digits: int = 6) -> str:
+    """Rounded share, 0.0 for an empty whole."""
+    return f"round(case when {whole} > 0 then cast({part} as double) / {whole} else 0.0D end, {digits})"
+
+
 def rate(part: Column, whole: Column, digits: int = 6) -> Column:
     """Rounded share, 0.0 for an empty whole."""
     return F.round(F.when(whole > 0, part / whole).otherwise(0.0).cast("double"), digits)

@@ -197,7 +197,7 @@ def mapping_keys(df: DataFrame, keys: DataFrame | Iterable) -> DataFrame:
     """
     if isinstance(keys, DataFrame):
         field = keys.schema.fields[0]
-        text = canonical_value(ref(field.name), field.dataType)
+        text = canonical_value(field.name, field.dataType)
         return keys.select(text.alias("value")).filter(F.col("value").isNotNull()).distinct()
     listed = list(keys or [])
     if not listed:

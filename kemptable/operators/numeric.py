@@ -28,6 +28,8 @@ SKETCH_ACCURACY = 10_000
 SLACK = 2.0 / SKETCH_ACCURACY
 WIDEN = 16
 
+COLUMN_GROUP = 16
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 SUMMARY_SCHEMA = T.StructType([
@@ -53,19 +55,16 @@ def moments(df: DataFrame, columns: Sequence[str], points: Sequence[float] = ())
     """
     if not columns:
         return {}
-    aggregates = [F.count(F.lit(1)).alias("rows")]
+    values = df.select(*[number_col(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    aggregates = [F.expr("count(1) as rows")]
     for i, name in enumerate(columns):
-        value = number_col(df, name)
         aggregates += [
-            F.count(value).alias(f"n{i}"),
-            F.avg(value).alias(f"mean{i}"),
-            F.stddev_samp(value).alias(f"std{i}"),
-            F.min(value).alias(f"min{i}"),
-            F.max(value).alias(f"max{i}"),
+            F.expr(f"{function}(v{i}) as {label}{i}")
+            for label, function in [("n", "count"), ("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")]
         ]
         if points:
-            aggregates.append(sketch(value, points).alias(f"cuts{i}"))
-    row = df.agg(*aggregates).first()
+            aggregates.append(sketch(F.col(f"v{i}"), points).alias(f"cuts{i}"))
+    row = values.agg(*aggregates).first()
     return {
         name: {
             "count": row[f"n{i}"],
@@ -130,8 +129,11 @@ def quantiles(
         if unknown:
             row = df.agg(*[sketch(number_col(df, c), wanted[c], slack).alias(f"q{i}") for i, c in enumerate(unknown)]).first()
             cuts.update({c: row[f"q{i}"] for i, c in enumerate(unknown)})
-        brackets = {c: _merge(cuts[c]) for c in open_columns}
-        found.update(_read_ranks(df, brackets, ranks - set(found), sort_values))
+        # Groups of columns keep the generated code small; on columnar files each
+        # group reads its own columns only.
+        for first in range(0, len(open_columns), COLUMN_GROUP):
+            brackets = {c: _merge(cuts[c]) for c in open_columns[first : first + COLUMN_GROUP]}
+            found.update(_read_ranks(df, brackets, ranks - set(found), sort_values))
         slack, cuts = slack * WIDEN, dict.fromkeys(columns)  # only for ranks a bracket missed
     result: dict[tuple[str, float], float | None] = {}
     for name in columns:

@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.columns import InvalidArgs, choose_columns, require_columns
 from ..functions.values import (
     DATETIME_FORMATS,
+    digit_shape,
     is_bool_token,
     present_col,
+    present_sql,
     rate,
+    rate_sql,
     ref,
-    digit_shape,
-    strip,
+    sql_string,
+    strip_sql,
+    text_sql,
     text_value,
     to_datetime,
     to_number,
@@ -26,27 +30,31 @@ DEFAULT_SAMPLES = 20
 PARSERS = ("datetime", "numeric", "bool")
 
 
-def long_rows(wide: DataFrame, rows: Sequence[Mapping[str, Column]], keys: Sequence[str] = ()) -> DataFrame:
-    """Turn each aggregated row into several; ``rows`` lists their columns."""
-    entry = F.explode(F.array(*[F.struct(*[c.alias(n) for n, c in r.items()]) for r in rows])).alias("entry")
-    return wide.select(*[ref(k) for k in keys], entry).select(*[ref(k) for k in keys], "entry.*")
+def long_rows(wide: DataFrame, rows: Sequence[Mapping[str, str]], keys: Sequence[str] = ()) -> DataFrame:
+    """Turn each aggregated row into several; ``rows`` holds SQL per column."""
+    structs = [
+        "named_struct(" + ", ".join(f"{sql_string(n)}, {text}" for n, text in row.items()) + ")" for row in rows
+    ]
+    return wide.select(*[ref(k) for k in keys], F.expr(f"inline(array({', '.join(structs)}))"))
+
+
+def _present_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row: ``rows`` and the present values ``n0``, ``n1``, … per column."""
+    counts = [F.expr(f"count({present_sql(df, c)}) as n{i}") for i, c in enumerate(names)]
+    return df.agg(F.expr("count(1) as rows"), *counts)
 
 
 def missing_report(df: DataFrame, top: int | None = 20, columns: Sequence[str] | None = None) -> DataFrame:
     """Columns that miss values, most missing first."""
     names = choose_columns(df, columns)
-    wide = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(present_col(df, c)).alias(f"n{i}") for i, c in enumerate(names)],
-    )
-    missing = [F.col("rows") - F.col(f"n{i}") for i in range(len(names))]
-    report = long_rows(
-        wide,
-        [
-            {"column_name": F.lit(c), "missing": missing[i], "missing_rate": rate(missing[i], F.col("rows"))}
-            for i, c in enumerate(names)
-        ],
-    )
+    report = long_rows(_present_counts(df, names), [
+        {
+            "column_name": sql_string(c),
+            "missing": f"rows - n{i}",
+            "missing_rate": rate_sql(f"(rows - n{i})", "rows"),
+        }
+        for i, c in enumerate(names)
+    ])
     report = report.filter(F.col("missing") > 0).orderBy(F.desc("missing"), "column_name")
     return report.limit(top) if top else report
 
@@ -66,24 +74,17 @@ def column_profile(
     names = choose_columns(df, columns, max_columns)
     types = {c: df.schema[c].dataType.simpleString() for c in names}
     if samples <= 0:
-        wide = df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count(present_col(df, c)).alias(f"n{i}") for i, c in enumerate(names)],
-        )
-        return long_rows(
-            wide,
-            [
-                {
-                    "column_name": F.lit(c),
-                    "dtype": F.lit(types[c]),
-                    "total": F.col("rows"),
-                    "missing": F.col("rows") - F.col(f"n{i}"),
-                    "missing_rate": rate(F.col("rows") - F.col(f"n{i}"), F.col("rows")),
-                    "samples": F.array().cast("array<string>"),
-                }
-                for i, c in enumerate(names)
-            ],
-        )
+        return long_rows(_present_counts(df, names), [
+            {
+                "column_name": sql_string(c),
+                "dtype": sql_string(types[c]),
+                "total": "rows",
+                "missing": f"rows - n{i}",
+                "missing_rate": rate_sql(f"(rows - n{i})", "rows"),
+                "samples": "cast(array() as array<string>)",
+            }
+            for i, c in enumerate(names)
+        ])
     counted = value_counts_many(
         df, names, keep_missing=True, ceilings=smallest_ceilings(df, names, samples)
     )
@@ -124,7 +125,7 @@ def profile_from_counts(df: DataFrame, names: Sequence[str], counted: DataFrame,
 def parse_inputs(df: DataFrame, column: str, tag: str = "") -> list[Column]:
     """Text and digit shape of a column, projected once for all parsers."""
     dtype = df.schema[column].dataType
-    text = text_value(ref(column), dtype)
+    text = text_value(column, dtype)
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         shape = F.lit(None).cast("string")
     else:
@@ -180,7 +181,7 @@ def parseability(
 def parse_samples(df: DataFrame, column: str, n: int = 50) -> DataFrame:
     """The first present values, as text."""
     (name,) = require_columns(df, [column])
-    text = text_value(ref(name), df.schema[name].dataType)
+    text = text_value(name, df.schema[name].dataType)
     return df.select(text.alias("value")).filter(F.col("value").isNotNull()).limit(n)
 
 
@@ -199,20 +200,17 @@ def column_quality_metrics(
     placeholders = placeholders or {}
     aggregates, rows = [], []
     for i, c in enumerate(names):
-        value = present_col(df, c)
-        text = text_value(ref(c), df.schema[c].dataType)
-        tests = [("missing", value.isNull()), ("empty", F.coalesce(strip(text) == "", F.lit(False)))]
+        text = text_sql(c, df.schema[c].dataType)
+        tests = {"missing": f"({present_sql(df, c)}) is null", "empty": f"coalesce(({strip_sql(text)}) = '', false)"}
         if c in placeholders:
-            tests.append(("placeholder", F.coalesce(text.isin([str(p) for p in placeholders[c]]), F.lit(False))))
-        for metric, test in tests:
-            aggregates.append(F.count_if(test).alias(f"{metric}{i}"))
+            given = ", ".join(sql_string(str(p)) for p in placeholders[c])
+            tests["placeholder"] = f"coalesce(({text}) in ({given}), false)" if given else "false"
+        for metric, test in tests.items():
+            aggregates.append(F.expr(f"count_if({test}) as {metric}{i}"))
             rows.append({
-                "column_name": F.lit(c),
-                "metric": F.lit(metric),
-                "value": F.col(f"{metric}{i}").cast("double"),
+                "column_name": sql_string(c), "metric": sql_string(metric), "value": f"cast({metric}{i} as double)"
             })
-    keys = [ref(k) for k in by]
-    wide = df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
+    wide = df.groupBy(*[ref(k) for k in by]).agg(*aggregates) if by else df.agg(*aggregates)
     return long_rows(wide, rows, by)
 
 

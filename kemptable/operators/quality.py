@@ -238,7 +238,7 @@ def requirement_verdict(required: DataFrame, reported: DataFrame, by: Sequence[s
     """
     keys = [*by, "id"]
     dtype = reported.schema["ok_raw"].dataType
-    ok = to_verdict(text_value(ref("ok_raw"), dtype))
+    ok = to_verdict(text_value("ok_raw", dtype))
     judged = reported.groupBy(*[ref(k) for k in keys]).agg(
         F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok")
     )
@@ -345,7 +345,7 @@ def observe_quality(
     observation = Observation(name)
     counts = [F.count(F.lit(1)).alias("rows")]
     for column in columns:
-        text = text_value(ref(column), df.schema[column].dataType)
+        text = text_value(column, df.schema[column].dataType)
         counts.append(F.count_if(present_col(df, column).isNull()).alias(f"{column}_missing"))
         counts.append(F.count_if(F.coalesce(strip(text) == "", F.lit(False))).alias(f"{column}_empty"))
     return df.observe(observation, *counts), observation

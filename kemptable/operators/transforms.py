@@ -16,6 +16,7 @@ from ..functions.values import (
     present_col,
     ref,
     safe_string,
+    sql_string,
     strip,
     text_value,
     to_datetime,
@@ -160,7 +161,7 @@ def cast_column(df: DataFrame, name: str, target: str) -> Column:
     """
     dtype = df.schema[name].dataType
     if target.startswith("timestamp:"):
-        text = text_value(ref(name), dtype)
+        text = text_value(name, dtype)
         return to_datetime(text, target.split(":", 1)[1], digit_shape(text))
     if isinstance(dtype, T.StringType):
         if target in ("double", "float"):
@@ -169,7 +170,7 @@ def cast_column(df: DataFrame, name: str, target: str) -> Column:
             return F.when(strip(ref(name)).rlike(r"^[+-]?[0-9]+$"), strip(ref(name)).try_cast(target))
         return strip(ref(name)).try_cast(target) if target != "string" else ref(name)
     if target == "string":
-        return text_value(ref(name), dtype)
+        return text_value(name, dtype)
     return ref(name).try_cast(target)
 
 
@@ -187,7 +188,7 @@ def cast_failures(df: DataFrame, spec: Mapping[str, str]) -> DataFrame:
         for i, (c, target) in enumerate(names.items())
     ]
     return long_rows(df.agg(*lost), [
-        {"column_name": F.lit(c), "metric": F.lit("cast_failed"), "value": F.col(f"n{i}").cast("double")}
+        {"column_name": sql_string(c), "metric": "'cast_failed'", "value": f"cast(n{i} as double)"}
         for i, c in enumerate(names)
     ])
 
@@ -224,7 +225,7 @@ def mapping_table(df: DataFrame, mapping: DataFrame | Mapping) -> DataFrame:
     if isinstance(mapping, DataFrame):
         key, value = mapping.schema.fields[:2]
         return (
-            mapping.select(canonical_value(ref(key.name), key.dataType).alias("key"), ref(value.name).alias("mapped"))
+            mapping.select(canonical_value(key.name, key.dataType).alias("key"), ref(value.name).alias("mapped"))
             .filter("key is not null")
             .groupBy("key")
             .agg(F.max("mapped").alias("mapped"))

@@ -29,7 +29,7 @@ def flat_cells(df: DataFrame) -> DataFrame:
     """Nested and binary cells as text, for formats that hold only flat cells."""
     nested = (T.StructType, T.ArrayType, T.MapType, T.BinaryType)
     return df.withColumns({
-        f.name: text_value(ref(f.name), f.dataType) for f in df.schema.fields if isinstance(f.dataType, nested)
+        f.name: text_value(f.name, f.dataType) for f in df.schema.fields if isinstance(f.dataType, nested)
     }) if any(isinstance(f.dataType, nested) for f in df.schema.fields) else df
 
 
