@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontaminate import contamination, contamination_digest
 from .mixing import mixed_sources
 from .tokens import token_counts
 from .topk import top_matches
@@ -87,6 +88,39 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_sources(table(spark, folder, "documents"), weights)
 
 
+@query("""
+with docs as (
+  select row_number() over () as k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+starts as (
+  select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i
+  from items where len(w) > 0),
+windows as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from starts),
+places as (
+  select k, n, w, unnest(range(1, len(w) - n + 2)) as i
+  from docs, (select distinct n from windows) where len(w) >= n),
+hits as (
+  select p.k, p.i, p.n, x.item_id
+  from (select k, i, n, array_to_string(w[i:i + n - 1], ' ') as g from places) p join windows x using (n, g)),
+marked as (select k, count(distinct j) as n_hit from (select k, unnest(range(i, i + n)) as j from hits) group by k),
+found as (
+  select k, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct k, cast(item_id as varchar) as item from hits where item_id is not null) group by k)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from docs left join marked using (k) left join found using (k)
+""")
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in ten-word passages of the benchmark."""
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return contamination_digest(found)
+
+
 @query("""
 with whole as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
