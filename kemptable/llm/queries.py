@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
 from .decontaminate import contamination, contamination_digest
 from .mixing import mixed_sources
 from .tokens import token_counts
 from .topk import top_matches
+from .warc import archived_pages, read_archives, write_archives
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -50,6 +52,24 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     )
 
 
+@query("""
+with payloads as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+firsts as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first
+  from payloads)
+select page_id, payload_bytes, payload_digest,
+  case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when first is not null and page_id is distinct from first then first end as refers_to
+from firsts
+""")
+def op2_archive_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all pages as WARC records, then read the archives back."""
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, folder, "pages"), path)
+    return archived_pages(read_archives(spark, path))
+
+
 @query("""
 with words as (
   select d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
