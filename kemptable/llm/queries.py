@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from .decontaminate import contamination, contamination_digest
+from .license_texts import known_texts
+from .licenses import COPYRIGHT_LINE, GAPS, SPELLINGS, license_scan
 from .mixing import mixed_sources
 from .tokens import token_counts
 from .topk import top_matches
@@ -45,6 +47,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    """The licence scan with the same patterns; the catalogue is a list of values."""
+    line = f"trim(regexp_replace(regexp_replace(lower(x), {quoted(COPYRIGHT_LINE)}, ''), {quoted(GAPS)}, ' ', 'g'))"
+
+    def lines(text: str) -> str:
+        cut = f"string_split_regex(coalesce({text}, ''), '[\\r\\n]+')"
+        return f"list_filter(list_transform({cut}, lambda x: {line}), lambda x: x <> '')"
+
+    def digest(text: str) -> str:
+        for pattern, replacement in SPELLINGS:
+            put = replacement.replace("{1}", "\\1").replace("{2}", "\\2")
+            text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(put)}, 'g')"
+        return f"sha256({text})"
+
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(known_texts()))
+    return f"""
+with catalogue as (
+  select {digest("array_to_string(lines, ' ')")} as digest, arg_min(license, place) as license
+  from (select place, license, {lines("text")} as lines from (values {values}) v(place, license, text)) group by 1),
+docs as (select row_number() over () as k, doc_id, {lines("text")} as lines from documents),
+whole as (select k, doc_id, {digest("array_to_string(lines, ' ')")} as text_digest from docs),
+notices as (
+  select k, count(*) as n, string_agg(distinct license, ',' order by license) as names
+  from (select k, {digest("line")} as digest from (select k, unnest(lines) as line from docs)) join catalogue using (digest)
+  group by k)
+select doc_id, text_digest, c.license, coalesce(n, 0) as n_notices, coalesce(names, '') as notices
+from whole left join catalogue c on c.digest = text_digest left join notices using (k)
+"""
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """Weights of labelled documents: 1 for good quality, a quarter for bad."""
     return labels.filter(F.col("quality").isNotNull()).select(
@@ -70,6 +106,12 @@ def op2_archive_pages(spark: SparkSession, folder: str) -> DataFrame:
     return archived_pages(read_archives(spark, path))
 
 
+@query(_license_sql())
+def op5_license_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and lines that are known licence texts."""
+    return license_scan(table(spark, folder, "documents"))
+
+
 @query("""
 with words as (
   select d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
