@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from .decontaminate import contamination, contamination_digest
+from .langid import languages
 from .license_texts import known_texts
 from .licenses import COPYRIGHT_LINE, GAPS, SPELLINGS, license_scan
 from .mixing import mixed_sources
@@ -88,6 +89,12 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     )
 
 
+@query()
+def op1_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the labelled ones."""
+    return languages(table(spark, folder, "documents"))
+
+
 @query("""
 with payloads as (
   select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
