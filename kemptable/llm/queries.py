@@ -16,6 +16,7 @@ from .langid import languages
 from .license_texts import known_texts
 from .licenses import COPYRIGHT_LINE, GAPS, SPELLINGS, license_scan
 from .mixing import mixed_sources
+from .pii import personal_digest, personal_spans
 from .tokens import token_counts
 from .topk import top_matches
 from .warc import archived_pages, read_archives, write_archives
@@ -113,6 +114,12 @@ def op2_archive_pages(spark: SparkSession, folder: str) -> DataFrame:
     return archived_pages(read_archives(spark, path))
 
 
+@query()
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, and the terms that disclose it."""
+    return personal_digest(personal_spans(table(spark, folder, "documents")))
+
+
 @query(_license_sql())
 def op5_license_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and lines that are known licence texts."""
