@@ -17,6 +17,7 @@ from .license_texts import known_texts
 from .licenses import COPYRIGHT_LINE, GAPS, SPELLINGS, license_scan
 from .mixing import mixed_sources
 from .pii import personal_digest, personal_spans
+from .secrets import secret_digest, secret_spans
 from .tokens import token_counts
 from .topk import top_matches
 from .warc import archived_pages, read_archives, write_archives
@@ -216,6 +217,12 @@ def op8_top_matches(spark: SparkSession, folder: str) -> DataFrame:
     return top_matches(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+@query()
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, by patterns and by tests of randomness."""
+    return secret_digest(secret_spans(table(spark, folder, "documents")))
+
+
 @query()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the word-end vocabulary."""
