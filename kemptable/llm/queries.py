@@ -16,6 +16,7 @@ from .langid import languages
 from .license_texts import known_texts
 from .licenses import COPYRIGHT_LINE, GAPS, SPELLINGS, license_scan
 from .mixing import mixed_sources
+from .neardup import near_duplicates
 from .pii import personal_digest, personal_spans
 from .secrets import secret_digest, secret_spans
 from .tokens import token_counts
@@ -115,6 +116,30 @@ def op2_archive_pages(spark: SparkSession, folder: str) -> DataFrame:
     return archived_pages(read_archives(spark, path))
 
 
+@query("""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+  from words),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+rare as (select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as common
+  from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
+    and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
+links as (select x, y from rare where 100 * common >= 85 * (nx + ny - common)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select doc_id as x, doc_id as root from words union select e.x, r.root from reach r join edges e on e.y = r.x)
+select s.doc_id, len(s) as n_shingles, root as component_id, s.doc_id = root as kept
+from sets s join (select x, min(root) as root from reach group by x) r on r.x = s.doc_id
+""")
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share 85 percent of their three-word shingles."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query()
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document, and the terms that disclose it."""
