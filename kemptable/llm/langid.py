@@ -181,7 +181,7 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return found.tolist(), score
 
 
-def _label(sent):
+def _label(sent, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
@@ -190,9 +190,10 @@ def _label(sent):
                 found, score = predict(model, texts)
                 languages += found
                 scores += score.tolist()
-            rest = [c for c in batch.schema.names if c != "text"]
-            columns = [batch.column(c) for c in rest] + [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*rest, "lang_pred", "score"])
+            made = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in columns], *made], [*columns, "lang_pred", "score"]
+            )
 
     return run
 
@@ -202,20 +203,33 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def languages(documents: DataFrame, model: Model | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``documents``.
+def learned(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model of the rows that have an id and a language and are not held out."""
+    rows = documents.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    return fit(rows, F.col("doc_id").cast("string"), sample_rows)
+
+
+def languages(
+    documents: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ("doc_id",), keep_text: bool = False
+) -> DataFrame:
+    """row, lang_pred, score for every row of ``documents``.
 
-    Without a ``model`` one is fitted on the rows that are not held out and have
-    a language. Null texts and texts without a letter are ``und`` with score 0,
-    and so is everything where nothing could be learned; with one language all
-    other texts are of it. A row without id is not held out but not learned from
-    either. Whole texts are read, repeated rows each; an empty table gives no
-    rows; other columns are not read.
+    ``row`` is a struct of the columns ``keep``, so their names clash with none;
+    ``keep_text`` adds the text. Without a ``model`` one is learned from the
+    table. Null texts and texts without a letter are ``und`` with score 0, and
+    so is everything where nothing could be learned; with one language all other
+    texts are of it. Whole texts are read, repeated rows each; an empty table
+    gives no rows; other columns are not read.
     """
-    if model is None:
-        learned = documents.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-        model = fit(learned, F.col("doc_id").cast("string"), sample_rows)
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select("doc_id", held_out().alias("held_out"), "text")
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_label(sent), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    sent = documents.sparkSession.sparkContext.broadcast(learned(documents) if model is None else model)
+    rows = documents.select(F.struct(*[documents[c] for c in keep]).alias("row"), "text")
+    columns = ["row", *(["text"] if keep_text else [])]
+    schema = rows.select(*columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return rows.mapInArrow(_label(sent, columns), schema)
+
+
+def language_digest(documents: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row; a row without id is not held out, nor learned from."""
+    rows = documents.withColumn("_held_out", held_out())
+    found = languages(rows, learned(documents), ("doc_id", "_held_out"))
+    return found.select("row.doc_id", F.col("row._held_out").alias("held_out"), "lang_pred", "score")

@@ -96,9 +96,11 @@ def mixed_sources(
     share: float = 1.5,
     most: float = 2.0,
     weights=WEIGHTS,
+    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``documents``.
+    """row, size, source_size, target, taken for every row of ``documents``.
 
+    ``row`` is a struct of the columns ``keep``, so their names clash with none.
     ``quality`` (doc_id, quality) gives document weights above 0; documents that
     it lacks weigh 0.5, the largest weight of an id counts. Null texts have size
     0 and are never taken; a null source is a source of its own, ordered last.
@@ -107,7 +109,9 @@ def mixed_sources(
     budget ends counts if at least half of it fits. A table without words gets
     targets of 0. Other columns are not read. Same input, same answer.
     """
-    docs = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5("text").alias("digest"))
+    row = F.struct(*[documents[c] for c in keep]).alias("row")
+    size, digest = n_words(F.col("text")).alias("size"), F.md5("text").alias("digest")
+    docs = documents.select(row, "doc_id", "source", size, digest)
     if quality is None:
         docs = docs.withColumn("weight", F.lit(0.5))
     else:
@@ -119,7 +123,7 @@ def mixed_sources(
     place = (F.lit(1.0) - F.exp(-F.col("key"))) * RANGES
     docs = docs.withColumn("range_1", F.least(F.floor(place), F.lit(RANGES - 1)))
     docs = docs.withColumn("range_2", F.least(F.floor((place - F.col("range_1")) * RANGES), F.lit(RANGES - 1)))
-    docs = cut_lineage(docs.select("doc_id", "source", "source_key", "size", "key", "digest", "range_1", "range_2"))
+    docs = cut_lineage(docs.select("row", "source", "source_key", "size", "key", "digest", "range_1", "range_2"))
 
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
@@ -149,4 +153,4 @@ def mixed_sources(
     until = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     edge = placed.filter(at_edge).withColumn("more", until - F.col("size") / 2 <= F.col("rest"))
     taken = F.col("size") * (F.col("epochs") + F.col("more").cast("long"))
-    return clear.unionByName(edge).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return clear.unionByName(edge).select("row", "size", "source_size", "target", taken.alias("taken"))

@@ -202,23 +202,8 @@ def _candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
     return compared.filter("similar").select("a", "b").unionByName(inner.select("a", "b"))
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``documents``.
-
-    Two documents are linked if 100 * intersection >= percent * union of their
-    sets of distinct ``width``-word shingles (ASCII lower case, words between
-    white space; with fewer words the whole sequence is one shingle). Null,
-    empty and wordless texts have no shingles and no links. ``component_id`` is
-    the least doc_id that links reach, null ids aside; ``kept`` is true where it
-    is the row's own. A row without id gets its component's id, and null (then
-    it is kept) where no row of the component has one. Rows that repeat an id
-    are documents of their own. An empty table gives no rows; other columns are
-    not read.
-
-    A link is missed only if no band of the sketches agrees, less than once in
-    100,000 pairs that are just similar enough. Groups of near copies are not
-    expanded into pairs.
-    """
+def _resolved(documents: DataFrame, percent: int, width: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, root (of the component), component_id, kept for every row."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = cut_lineage(rows.mapInArrow(
@@ -254,9 +239,46 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3) ->
     placed = nodes.select("node", "least_id").join(roots, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = placed.join(ids, "root").select("node", "component_id")
-    known = found.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
+    classes = placed.join(ids, "root").select("node", "root", "component_id")
+    known = found.select("doc_id", "text_key", "n_shingles", "node").join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return known.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    kept = F.col("doc_id").eqNullSafe(component).alias("kept")
+    return known.select("doc_id", "text_key", "n_shingles", "root", component.alias("component_id"), kept)
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``documents``.
+
+    Two documents are linked if 100 * intersection >= percent * union of their
+    sets of distinct ``width``-word shingles (ASCII lower case, words between
+    white space; with fewer words the whole sequence is one shingle). Null,
+    empty and wordless texts have no shingles and no links. ``component_id`` is
+    the least doc_id that links reach, null ids aside; ``kept`` is true where it
+    is the row's own. A row without id gets its component's id, and null (then
+    it is kept) where no row of the component has one. Rows that repeat an id
+    are documents of their own. An empty table gives no rows; other columns are
+    not read.
+
+    A link is missed only if no band of the sketches agrees, less than once in
+    100,000 pairs that are just similar enough. Groups of near copies are not
+    expanded into pairs.
+    """
+    return _resolved(documents, percent, width).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def distinct_documents(documents: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+    """The rows of ``documents`` that are kept: one of each component, all its columns as they are.
+
+    Of rows that repeat the component's id one stays.
+    """
+    def id_key(name: str) -> Column:
+        return F.coalesce(F.concat(F.lit("i"), F.col(name).cast("string")), F.lit("n"))
+
+    chosen = _resolved(documents, percent, width).filter("kept")
+    chosen = chosen.groupBy("doc_id", "root").agg(F.min("text_key").alias("text_key"))
+    chosen = chosen.select(id_key("doc_id").alias("id_key"), F.coalesce("text_key", F.lit(0)).alias("text_key")).distinct()
+    row = F.struct(*[documents[c] for c in documents.columns]).alias("row")
+    rows = documents.select(
+        id_key("doc_id").alias("id_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), row
     )
+    return rows.join(chosen, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]).select("row.*")

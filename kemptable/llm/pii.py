@@ -164,12 +164,12 @@ def personal_spans(
     terms that disclose an entity of the same document, as ``generalised`` or
     ``removed``. Null texts are empty and hold nothing. Counts run over all rows,
     repeated ones too, but a term needs two different contexts. Documents without
-    entities are never touched; the text is null for them unless ``keep_text``.
+    entities are never touched; ``text`` is null for them unless ``keep_text``.
     An empty table gives no rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    found = documents.select(F.struct(*[documents[c] for c in keep]).alias("kept"), text.alias("text"))
-    found = found.withColumn("spans", base_spans(F.col("text")))
+    found = documents.select(F.struct(*[documents[c] for c in keep]).alias("kept"), "text")
+    found = found.withColumn("spans", base_spans(text))
     if not keep_text:
         found = found.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
     base = cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))

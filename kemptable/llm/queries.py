@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from .decontaminate import contamination, contamination_digest
-from .langid import languages
+from .langid import language_digest
 from .license_texts import known_texts
 from .licenses import COPYRIGHT_LINE, GAPS, SPELLINGS, license_scan
 from .mixing import mixed_sources
@@ -95,7 +95,7 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 @query()
 def op1_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the labelled ones."""
-    return languages(table(spark, folder, "documents"))
+    return language_digest(table(spark, folder, "documents"))
 
 
 @query("""
@@ -187,7 +187,8 @@ from placed
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Mix the sources of all documents; labels give the quality weights."""
     weights = quality_weights(table(spark, folder, "labels"))
-    return mixed_sources(table(spark, folder, "documents"), weights)
+    mixed = mixed_sources(table(spark, folder, "documents"), weights)
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("""
