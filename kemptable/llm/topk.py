@@ -92,7 +92,7 @@ def _search(queries, k: int, block_rows: int):
         for ids, rows in _blocks(batches, block_rows):
             for size in np.unique([len(r) for r in rows]):
                 member = np.array([len(r) == size for r in rows])
-                vectors = np.array([r for r in rows if len(r) == size], np.int64).reshape(-1, size)
+                vectors = np.array([r for r in rows if len(r) == size], np.int64).reshape(member.sum(), size)
                 lists = SortedLists(ids[member], vectors)
                 for number, (query_id, query) in enumerate(asked):
                     if len(query) != size:
