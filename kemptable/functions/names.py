@@ -14,52 +14,70 @@ from pyspark.sql import Column, functions as F, types as T
 # underscore, Hangul syllables and compatibility jamo).
 KEPT_IN_NAMES = "A-Za-z0-9._\\-가-힣ㄱ-ㅎㅏ-ㅣ"
 
-# Wrong decodings to undo, and the encodings the bytes may be in.
-WRONG_CODECS = ["cp437", "latin-1"]
-RIGHT_CODECS = ["utf-8", "cp949"]
+# Single-byte codecs whose output may have to be undone.
+CP437, LATIN_1 = "cp437", "latin-1"
 
 
 @F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode composed form."""
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def _hangul_weight(text: str) -> int:
-    """Ten points for each Hangul letter, five off for each replacement mark."""
-    weight = -5 * text.count("�")
-    for char in text:
-        code = ord(char)
-        if 0xAC00 <= code <= 0xD7A3 or 0x1100 <= code <= 0x11FF or 0x3130 <= code <= 0x318F:
-            weight += 10
-    return weight
+def nfc(column: Column) -> Column:
+    """Unicode composed form; ASCII text is composed and never leaves the JVM."""
+    return _where_not_ascii(column, _composed)
 
 
-def _readings(text: str):
-    yield text
-    for wrong in WRONG_CODECS:
-        try:
-            raw = text.encode(wrong)
-        except UnicodeEncodeError:
-            continue
-        for right in RIGHT_CODECS:
-            try:
-                yield raw.decode(right)
-            except UnicodeDecodeError:
-                pass
+def _where_not_ascii(column: Column, repair) -> Column:
+    plain = column.isNull() | ~column.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, column).otherwise(repair(F.when(~plain, column)))
+
+
+def _bytes_of(text: str, codec: str) -> bytes | None:
+    try:
+        return text.encode(codec)
+    except UnicodeEncodeError:
+        return None
+
+
+def _decoded(raw: bytes, codec: str) -> str | None:
+    try:
+        return raw.decode(codec)
+    except UnicodeDecodeError:
+        return None
+
+
+def _all_syllables(text: str) -> bool:
+    """Whether every character beyond ASCII is a Hangul syllable, at least two of them."""
+    wide = [c for c in text if c > "\x7f"]
+    return len(wide) > 1 and all("가" <= c <= "힣" for c in wide)
 
 
 def best_reading(text: str) -> str:
-    """The reading with the most Hangul, the text itself on a tie; NFC."""
-    return unicodedata.normalize("NFC", max(_readings(text), key=_hangul_weight))
+    """Text as it was before a wrong single-byte decoding, where its bytes prove one; NFC.
+
+    Bytes that form valid UTF-8 beyond ASCII hardly ever do so by accident, so
+    they decide first, those of Latin-1 before those of CP437. Almost any bytes
+    are valid CP949, so such a reading must turn all of them into syllables.
+    """
+    if not text.isascii():
+        raw = [r for r in (_bytes_of(text, LATIN_1), _bytes_of(text, CP437)) if r is not None]
+        proven = (d for r in raw if (d := _decoded(r, "utf-8")) is not None)
+        likely = (d for r in reversed(raw) if (d := _decoded(r, "cp949")) is not None and _all_syllables(d))
+        text = next(proven, None) or next(likely, None) or text
+    return unicodedata.normalize("NFC", text)
 
 
 @F.pandas_udf(T.StringType())
-def repair_mojibake(texts: pd.Series) -> pd.Series:
-    """Undo text that was decoded with the wrong single-byte codec."""
+def _repaired(texts: pd.Series) -> pd.Series:
     return texts.map(best_reading, na_action="ignore")
 
 
+def repair_mojibake(column: Column | str) -> Column:
+    """Undo text that was decoded with the wrong single-byte codec."""
+    return _where_not_ascii(F.col(column) if isinstance(column, str) else column, _repaired)
+
+
 def sanitize_filename(column: Column) -> Column:
     """Last path part, composed, with every other character replaced by ``_``."""
     base = F.element_at(F.split(F.regexp_replace(column, r"/+$", ""), "/"), -1)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Fixed value: longest value text before it is cut.
+# Fixed value: longest value text that is shown before it is cut.
 VALUE_LIMIT = 200
 
 # Tokens read as booleans when testing whether text parses.
@@ -44,8 +44,20 @@ DATETIME_FORMATS = [
     "dd/MM/yyyy",
     "dd-MM-yyyy",
     "MM/dd/yyyy HH:mm:ss",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "yyyy-M-d",
+    "M/d/yyyy H:mm",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "d MMM yyyy",
+    "MMM d, yyyy",
+    "d MMMM yyyy",
+    "MMMM d, yyyy",
 ]
 
+MONTHS = "january february march april may june july august september october november december".split()
+
 
 def quoted(name: str) -> str:
     """A column name as an SQL identifier, dots and spaces included."""
@@ -157,11 +169,11 @@ def truncate_text(column: Column, limit: int, marker: str = "…") -> Column:
     return F.when(F.char_length(column) > limit, cut).otherwise(column)
 
 
-def canonical_value(name: str, dtype: T.DataType, limit: int | None = VALUE_LIMIT) -> Column:
-    """Text that identifies a value in counts and distinct lists.
+def canonical_value(name: str, dtype: T.DataType, limit: int | None = None) -> Column:
+    """Text that identifies a value in counts, distinct lists and mappings.
 
-    Values that agree in their first ``limit`` characters count as one value;
-    ``limit=None`` compares whole values.
+    Whole values are compared. With ``limit`` values that agree in so many
+    first characters count as one value.
     """
     text = text_sql(name, dtype)
     if limit is None or not isinstance(dtype, (T.StringType, T.MapType, T.StructType)):
@@ -171,10 +183,15 @@ def canonical_value(name: str, dtype: T.DataType, limit: int | None = VALUE_LIMI
     )
 
 
-def canonical_col(df: DataFrame, name: str, limit: int | None = VALUE_LIMIT) -> Column:
+def canonical_col(df: DataFrame, name: str, limit: int | None = None) -> Column:
     return canonical_value(name, df.schema[name].dataType, limit)
 
 
+def shown_value(column: Column) -> Column:
+    """A value's text as reports show it, cut to a fixed length."""
+    return truncate_text(column, VALUE_LIMIT)
+
+
 def safe_string(column: Column) -> Column:
     """Text with nulls as the empty string."""
     return F.coalesce(column.cast("string"), F.lit(""))
@@ -214,21 +231,38 @@ def to_verdict(column: Column) -> Column:
 
 
 def digit_shape(column: Column) -> Column:
-    """Text with every digit as 9, fractions as ``.9`` and zone offsets as ``Z``.
+    """Text with every digit as 9, fractions as ``.9``, zone offsets as ``Z``, months as ``MMM``.
 
-    Texts too long to be a date, or not beginning with a digit, give null and
+    Texts that begin with neither a digit nor the name of a month give null and
     cost nothing.
     """
     text = strip(column)
-    may_be = (F.char_length(column) <= 64) & (text >= "0") & (text < ":")
+    short = "|".join(m[:3] for m in MONTHS)
+    may_be = ((text >= "0") & (text < ":")) | text.rlike(f"^(?i:{short})")
     shape = F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), r"(?<=:99)\.9{1,6}", ".9")
     shape = F.regexp_replace(shape, r"(?<=:99)(\.9)?(Z|[+-]99:99)$", "$1Z")
+    shape = F.regexp_replace(shape, rf"\b(?i:{short})\b", "MMM")
+    shape = F.regexp_replace(shape, rf"\b(?i:{'|'.join(m for m in MONTHS if len(m) > 3)})\b", "MMMM")
     return F.when(may_be, shape)
 
 
-def format_shape(fmt: str) -> str:
-    """The digit shape that texts of a date-time layout have."""
-    return re.sub("[yMdHms]", "9", fmt.replace("SSSSSS", "9").replace("XXX", "Z").replace("'", ""))
+def format_shapes(fmt: str) -> list[str]:
+    """The digit shapes that texts of a date-time layout may have.
+
+    A field that the layout writes with one letter has one or two digits.
+    """
+    shapes = [""]
+    for part in re.findall(r"'T'|SSSSSS|XXX|M{3,4}|yyyy|MM|dd|HH|mm|ss|[MdHms]|.", fmt):
+        if part in ("'T'", "SSSSSS", "XXX"):
+            ways = {"'T'": ["T"], "SSSSSS": ["9"], "XXX": ["Z"]}[part]
+        elif part in ("MMM", "MMMM"):
+            ways = [part]
+        elif part in "MdHms":
+            ways = ["9", "99"]
+        else:
+            ways = [re.sub("[yMdHms]", "9", part)]
+        shapes = [shape + way for shape in shapes for way in ways]
+    return shapes
 
 
 def to_datetime(column: Column, fmt: str, shape: Column) -> Column:
@@ -237,7 +271,8 @@ def to_datetime(column: Column, fmt: str, shape: Column) -> Column:
     ``shape`` is the text's :func:`digit_shape`, computed once for all layouts;
     it keeps text that cannot match away from the slow parser.
     """
-    return F.when(shape == format_shape(fmt), F.try_to_timestamp(strip(column), F.lit(fmt)))
+    text = F.initcap(strip(column)) if "MMM" in fmt else strip(column)
+    return F.when(shape.isin(format_shapes(fmt)), F.try_to_timestamp(text, F.lit(fmt)))
 
 
 def text_list(column: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import InvalidArgs, choose_columns, other_columns, require_columns
-from ..functions.values import VALUE_LIMIT, canonical_col, canonical_value, ref
+from ..functions.values import canonical_col, canonical_value, ref
 
 DEFAULT_TOP_K = 20
 DEFAULT_RARE_THRESHOLD = 3
@@ -22,7 +22,7 @@ MISSING, LISTED, OTHERS = "0", "1", "2"
 MOST_HEAD_CELLS = 50_000
 
 
-def value_counts(df: DataFrame, column: str, limit: int | None = VALUE_LIMIT) -> DataFrame:
+def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """(value, cnt) for the present values of one column."""
     (name,) = require_columns(df, [column])
     return (
@@ -36,13 +36,13 @@ def value_counts(df: DataFrame, column: str, limit: int | None = VALUE_LIMIT) ->
 def value_counts_many(
     df: DataFrame,
     columns: Sequence[str],
-    limit: int | None = VALUE_LIMIT,
+    limit: int | None = None,
     keep_missing: bool = False,
     ceilings: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """(column_name, value, cnt, listed) for several columns from one scan.
 
-    Values are cut before they are shuffled. With ``keep_missing`` the rows
+    Values are counted before they are shuffled. With ``keep_missing`` the rows
     without a value are counted under a null value. ``ceilings`` gives columns
     of which only the values up to a bound are wanted one by one: all larger
     ones are counted together, as a null value that is not ``listed``, and so
@@ -71,7 +71,7 @@ def value_counts_many(
     )
 
 
-def smallest_ceilings(df: DataFrame, columns: Sequence[str], n: int, limit: int | None = VALUE_LIMIT) -> dict[str, str]:
+def smallest_ceilings(df: DataFrame, columns: Sequence[str], n: int, limit: int | None = None) -> dict[str, str]:
     """Per column a bound below which its ``n`` smallest values surely lie.
 
     The n-th smallest value of any few rows is such a bound. The rows read here
@@ -92,7 +92,7 @@ def unique_values(
     column: str,
     max_unique: int | None = None,
     max_values_return: int | None = None,
-    limit: int | None = VALUE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Distinct present values in ascending order."""
     values = value_counts(df, column, limit).select("value").orderBy("value")
@@ -100,13 +100,15 @@ def unique_values(
     return values.limit(min(cuts)) if cuts else values
 
 
-def unique_count(df: DataFrame, column: str, rsd: float | None = None) -> DataFrame:
+def unique_count(
+    df: DataFrame, column: str, rsd: float | None = None, limit: int | None = None
+) -> DataFrame:
     """One row: rows scanned, distinct values, missing rows.
 
     ``rsd`` switches to a sketch of fixed size with that relative error.
     """
     (name,) = require_columns(df, [column])
-    value = canonical_col(df, name)
+    value = canonical_col(df, name, limit)
     if rsd:
         distinct = F.approx_count_distinct(value, rsd)
         return df.agg(
@@ -127,9 +129,10 @@ def rare_values(
     column: str,
     rare_threshold: int = DEFAULT_RARE_THRESHOLD,
     max_values_return: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Values seen at most ``rare_threshold`` times, rarest first."""
-    rare = value_counts(df, column).filter(F.col("cnt") <= rare_threshold).orderBy("cnt", "value")
+    rare = value_counts(df, column, limit).filter(F.col("cnt") <= rare_threshold).orderBy("cnt", "value")
     return rare.limit(max_values_return) if max_values_return else rare
 
 
@@ -142,9 +145,11 @@ def top_k_or_default(top_k: object) -> int:
     return number if number > 0 else DEFAULT_TOP_K
 
 
-def value_counts_topk(df: DataFrame, column: str, top_k: int = DEFAULT_TOP_K) -> DataFrame:
+def value_counts_topk(
+    df: DataFrame, column: str, top_k: int = DEFAULT_TOP_K, limit: int | None = None
+) -> DataFrame:
     """The most frequent values with their share of the present rows."""
-    counted = value_counts(df, column)
+    counted = value_counts(df, column, limit)
     total = counted.agg(F.sum("cnt")).scalar()
     top = counted.orderBy(F.desc("cnt"), "value").limit(top_k_or_default(top_k))
     return top.select("value", "cnt", F.round(F.col("cnt") / total, 6).alias("ratio"))
@@ -166,7 +171,7 @@ def smallest_n_per_column(counted: DataFrame, n: int) -> DataFrame:
 
 
 def categorical_summary(
-    df: DataFrame, columns: Sequence[str] | None = None, top: int = 3, max_columns: int = 20
+    df: DataFrame, columns: Sequence[str] | None = None, top: int = 3, max_columns: int | None = None
 ) -> DataFrame:
     """Distinct count and the most frequent values of the non-numeric columns."""
     names = choose_columns(df, columns) if columns else other_columns(df, max_columns)

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.values import ref
+from ..session import cut_lineage
 
 # A lookup table is broadcast only up to this many rows and bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-# Beyond that, keys with this many rows are spread over several partitions.
+# Beyond that, the rows of a key are spread over a partition for each so many.
 HOT_KEY_ROWS = 1_000_000
-HOT_KEYS = 256
-SALTS = 64
+# Rows without a key match nothing; they are spread over this many places.
+NULL_SALTS = 1 << 20
+# A key counts as hot only if it has this share of the rows, so there are at
+# most as many hot keys as this share goes into one: a bound for their broadcast.
+HOT_SHARE = 1e-5
 
 
 def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -39,31 +43,25 @@ def lookup_join(
 ) -> DataFrame:
     """Left join on ``key`` with a table that holds each key once.
 
-    A small table is broadcast. Otherwise the keys with very many rows are
-    counted first and only those are salted: their rows go to several
-    partitions and their one lookup row is repeated for each salt.
+    A small table is broadcast. Otherwise the rows per key are counted, and a
+    key with very many is salted by its own number of rows: its rows go to so
+    many partitions and its one lookup row is repeated for each. Rows without a
+    key are spread as well.
     """
     if fits_broadcast(table, broadcast_rows):
         return df.join(F.broadcast(table), key, "left")
-    hot = [
-        row["k"]
-        for row in df.select(ref(key).alias("k"))
-        .filter("k is not null")
-        .groupBy("k")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .filter(F.col("cnt") >= hot_rows)
-        .orderBy(F.desc("cnt"))
-        .limit(HOT_KEYS)
-        .collect()
-    ]
-    if not hot:
-        return df.join(table, key, "left")
-    is_hot = ref(key).isin(hot)
+    counts = df.select(ref(key).alias("k")).filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = cut_lineage(counts.filter(F.col("cnt") >= hot_rows))
+    least = max(hot_rows, HOT_SHARE * (counts.agg(F.sum("cnt")).first()[0] or 0))
+    salts = F.ceil(F.col("cnt") / F.lit(least)).cast("int")
+    hot = F.broadcast(counts.filter(F.col("cnt") >= least).select(F.col("k").alias("_hot"), salts.alias("_salts")))
     # The salt depends on the row and its partition alone, so a task that runs
     # again sends each row to the same place.
     hashable = [ref(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(SALTS)).cast("int")
-    left = df.withColumn("_salt", F.when(is_hot, spread).otherwise(0))
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    right = table.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    spread = F.xxhash64(F.spark_partition_id(), *hashable)
+    every = F.when(ref(key).isNull(), F.lit(NULL_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = df.join(hot, ref(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(spread, every).cast("int"))
+    right = table.join(hot, ref(key) == F.col("_hot"), "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    joined = left.drop("_hot", "_salts").join(right.drop("_hot", "_salts"), [key, "_salt"], "left")
+    return joined.drop("_salt")

@@ -1,7 +1,7 @@
 """Numeric summaries: moments in one pass, exact quantiles without one big task.
 
 Spark's ``percentile`` keeps every distinct value of a column in a single task.
-On big tables each quantile is therefore bracketed by a fixed-size sketch taken
+Here each quantile is bracketed by a fixed-size sketch taken
 along with the moments. A second pass counts the rows outside the brackets and
 the values inside; the counts show that a bracket holds its rank, which makes
 the answer exact.
@@ -18,10 +18,8 @@ from ..functions.columns import EmptyData, numeric_columns, require_columns
 from ..functions.values import any_of, number_col
 from ..session import cut_lineage
 
-# Up to this many values, over all columns asked for, one task reads them directly.
-SMALL = 3_000_000
-# Distinct values inside the brackets that one task sorts.
-SORT_VALUES = 1_000_000
+# Distinct values inside the brackets that one task sorts, about.
+PIECE_VALUES = 1_000_000
 # Relative rank error of the sketch is about 1 / SKETCH_ACCURACY; brackets are
 # this much wider on either side, and widened further should a check fail.
 SKETCH_ACCURACY = 10_000
@@ -46,12 +44,12 @@ SUMMARY_SCHEMA = T.StructType([
 ])
 
 
-def moments(df: DataFrame, columns: Sequence[str], points: Sequence[float] = ()) -> dict[str, dict]:
+def moments(df: DataFrame, columns: Sequence[str], points: Mapping[str, Sequence[float]] | None = None) -> dict[str, dict]:
     """Count, missing, mean, sample deviation, minimum and maximum per column.
 
     One aggregation over the table; the collected row is as wide as the schema
     and holds nothing that grows with the data. ``points`` adds the brackets of
-    these quantiles, for :func:`quantiles`.
+    these quantiles per column, for :func:`quantiles`.
     """
     if not columns:
         return {}
@@ -62,8 +60,8 @@ def moments(df: DataFrame, columns: Sequence[str], points: Sequence[float] = ())
             F.expr(f"{function}(v{i}) as {label}{i}")
             for label, function in [("n", "count"), ("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")]
         ]
-        if points:
-            aggregates.append(sketch(F.col(f"v{i}"), points).alias(f"cuts{i}"))
+        if points and points.get(name):
+            aggregates.append(sketch(F.col(f"v{i}"), points[name]).alias(f"cuts{i}"))
     row = values.agg(*aggregates).first()
     return {
         name: {
@@ -73,7 +71,7 @@ def moments(df: DataFrame, columns: Sequence[str], points: Sequence[float] = ())
             "std": row[f"std{i}"],
             "min": row[f"min{i}"],
             "max": row[f"max{i}"],
-            "cuts": row[f"cuts{i}"] if points else None,
+            "cuts": row[f"cuts{i}"] if points and points.get(name) else None,
         }
         for i, name in enumerate(columns)
     }
@@ -89,13 +87,13 @@ def quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
     known: Mapping[str, dict] | None = None,
-    small: int = SMALL,
     accuracy: int | None = None,
-    sort_values: int = SORT_VALUES,
+    piece_values: int = PIECE_VALUES,
 ) -> dict[tuple[str, float], float | None]:
     """Quantiles with linear interpolation, exact unless ``accuracy`` is given.
 
-    ``known`` may carry the result of :func:`moments` for the same columns.
+    ``known`` may carry the result of :func:`moments` for the same columns and
+    points. The moments and one more pass give the answer.
     With ``accuracy`` the answer is ``percentile_approx`` in a single pass.
     """
     columns = [c for c in wanted if wanted[c]]
@@ -107,14 +105,7 @@ def quantiles(
             for i, c in enumerate(columns)
         ]).first()
         return _by_point(wanted, {c: row[f"q{i}"] for i, c in enumerate(columns)})
-    known = known or moments(df, columns)
-    if sum(known[c]["count"] for c in columns) <= small:
-        # The counts prove that the values fit one task.
-        row = df.agg(*[
-            F.percentile(number_col(df, c), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ]).first()
-        return _by_point(wanted, {c: row[f"q{i}"] for i, c in enumerate(columns)})
+    known = known or moments(df, columns, wanted)
     ranks = {
         (c, rank)
         for c in columns if known[c]["count"]
@@ -133,7 +124,7 @@ def quantiles(
         # group reads its own columns only.
         for first in range(0, len(open_columns), COLUMN_GROUP):
             brackets = {c: _merge(cuts[c]) for c in open_columns[first : first + COLUMN_GROUP]}
-            found.update(_read_ranks(df, brackets, ranks - set(found), sort_values))
+            found.update(_read_ranks(df, brackets, ranks - set(found), piece_values))
         slack, cuts = slack * WIDEN, dict.fromkeys(columns)  # only for ranks a bracket missed
     result: dict[tuple[str, float], float | None] = {}
     for name in columns:
@@ -171,7 +162,7 @@ def _merge(cuts: Sequence[float]) -> list[tuple[float, float]]:
 
 
 def _read_ranks(
-    df: DataFrame, brackets: Mapping[str, list], ranks: set[tuple[str, int]], sort_values: int
+    df: DataFrame, brackets: Mapping[str, list], ranks: set[tuple[str, int]], piece_values: int
 ) -> dict[tuple[str, int], float]:
     """The values at those ranks that lie inside a bracket; one pass over the data.
 
@@ -211,33 +202,28 @@ def _read_ranks(
             start += rows
     if sought:
         held = sum(totals[key][1] for key in sought)
-        found.update(_select(counted, sought, max(1, math.ceil(held / sort_values))))
+        found.update(_select(counted, sought, max(1, math.ceil(held / piece_values))))
     return found
 
 
 def _select(counted: DataFrame, sought: Mapping, pieces: int) -> dict[tuple[str, int], float]:
     """The values at given places of regions, from counts by value.
 
-    With several pieces the values are range-partitioned first and the sizes of
-    the pieces tell which one holds a place, so no task sorts a whole region.
+    The values are range-partitioned first and the sizes of the pieces tell
+    which one holds a place, so no task sorts a whole region.
     """
     mine = counted.filter(any_of([(F.col("slot") == s) & (F.col("region") == r) for s, r in sought]))
     before: dict[tuple, int] = {}
-    if pieces > 1:
-        mine = cut_lineage(
-            mine.repartitionByRange(pieces, "slot", "region", "v").withColumn("piece", F.spark_partition_id())
-        )
-        sizes = mine.groupBy("slot", "region", "piece").agg(F.sum("cnt").alias("rows")).collect()  # pieces + regions
-        start: dict[tuple, int] = {}
-        for r in sorted(sizes, key=lambda r: r["piece"]):
-            key = (r["slot"], r["region"])
-            before[(*key, r["piece"])] = start.get(key, 0)
-            start[key] = start.get(key, 0) + r["rows"]
-        ends = {k: b + next(r["rows"] for r in sizes if (r["slot"], r["region"], r["piece"]) == k) for k, b in before.items()}
-    else:
-        mine = mine.withColumn("piece", F.lit(0))
-        before = {(*key, 0): 0 for key in sought}
-        ends = {key: math.inf for key in before}
+    mine = cut_lineage(
+        mine.repartitionByRange(pieces, "slot", "region", "v").withColumn("piece", F.spark_partition_id())
+    )
+    sizes = mine.groupBy("slot", "region", "piece").agg(F.sum("cnt").alias("rows")).collect()  # pieces + regions
+    start: dict[tuple, int] = {}
+    ends: dict[tuple, int] = {}
+    for r in sorted(sizes, key=lambda r: r["piece"]):
+        key = (r["slot"], r["region"])
+        before[(*key, r["piece"])] = start.get(key, 0)
+        start[key] = ends[(*key, r["piece"])] = start.get(key, 0) + r["rows"]
     picks = {
         (slot, region, piece, place - first): target
         for (slot, region, piece), first in before.items()
@@ -266,19 +252,14 @@ def _select(counted: DataFrame, sought: Mapping, pieces: int) -> dict[tuple[str,
     }
 
 
-def summary_stats(
-    df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None, small: int = SMALL
-) -> DataFrame:
+def summary_stats(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """One row per numeric column; text columns that are named are coerced."""
     names = require_columns(df, columns) if columns else numeric_columns(df)
     if not names:
         raise EmptyData("the table has no numeric column")
-    # Counting rows reads no column of a file; big tables get their sketch
-    # along with the moments.
-    big = accuracy is None and df.count() * len(names) > small
-    known = moments(df, names, QUARTILES if big else ())
-    cuts = quantiles(df, {c: QUARTILES for c in names}, known=known, small=small, accuracy=accuracy)
-    return summary_rows(df, names, known, cuts)
+    points = {c: QUARTILES for c in names}
+    known = moments(df, names, None if accuracy else points)
+    return summary_rows(df, names, known, quantiles(df, points, known=known, accuracy=accuracy))
 
 
 def summary_rows(df: DataFrame, names: Sequence[str], known: Mapping[str, dict], cuts: Mapping) -> DataFrame:

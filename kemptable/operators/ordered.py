@@ -1,7 +1,7 @@
 """Operators that compare a row with the one before it, per key.
 
-A window over a key puts all its rows into one task. On big inputs the order
-axis is therefore cut into segments of similar size; each (key, segment) is
+A window over a key puts all its rows into one task. The order axis is
+therefore cut into segments of similar size; each (key, segment) is
 sorted on its own, and one carry row per segment brings in the last value and
 the row count of the segments before it.
 """
@@ -15,13 +15,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import require_columns
-from ..functions.values import ref
+from ..functions.values import present_col, ref
 from ..session import cut_lineage
 
-# Inputs up to this many rows use one plain window; longer ones are cut into
-# segments of about this many rows.
+# The order axis is cut into segments of about this many rows.
 SEGMENT_ROWS = 2_000_000
-MOST_SEGMENTS = 4096
 
 
 def order_position(df: DataFrame, name: str) -> Column:
@@ -44,11 +42,10 @@ def order_position(df: DataFrame, name: str) -> Column:
 
 def _segmented(df: DataFrame, first: str, rows: int, segment_rows: int) -> DataFrame:
     """Add ``_segment``: equal-depth buckets of the order axis."""
-    pieces = min(MOST_SEGMENTS, math.ceil(rows / segment_rows))
+    pieces = max(1, math.ceil(rows / segment_rows))
     placed = df.withColumn("_position", order_position(df, first))
-    cuts = placed.agg(
-        F.percentile_approx("_position", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts")
-    ).first()["cuts"]
+    points = [i / pieces for i in range(1, pieces)] or [0.0]
+    cuts = placed.agg(F.percentile_approx("_position", points, 10 * pieces).alias("cuts")).first()["cuts"] or []
     inner = sorted({c for c in cuts if math.isfinite(c)})
     if not inner:
         return placed.drop("_position").withColumn("_segment", F.lit(0.0))
@@ -72,13 +69,7 @@ def with_previous(
     """
     require_columns(df, [*keys, *order, *values])
     kept = F.struct(*[ref(v).alias(v) for v in values])
-    rows = df.count()
-    if rows <= segment_rows:
-        window = Window.partitionBy(*[ref(k) for k in keys]).orderBy(*[ref(o) for o in order])
-        return df.withColumn("step", F.row_number().over(window).cast("long")).withColumn(
-            "prev", F.lag(kept).over(window)
-        )
-    cut = _segmented(df, order[0], rows, segment_rows)
+    cut = _segmented(df, order[0], df.count(), segment_rows)
     key_columns = [ref(k) for k in keys]
     ends = cut.groupBy(*key_columns, F.col("_segment")).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -145,7 +136,7 @@ def distinct_ranks(df: DataFrame, column: str, pieces: int | None = None) -> Dat
     (name,) = require_columns(df, [column])
     pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    values = df.select(ref(name).alias("value")).filter("value is not null").distinct()
+    values = df.select(present_col(df, name).alias("value")).filter("value is not null").distinct()
     placed = cut_lineage(
         values.repartitionByRange(pieces, "value")
         .sortWithinPartitions("value")

@@ -44,7 +44,7 @@ def _present_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.agg(F.expr("count(1) as rows"), *counts)
 
 
-def missing_report(df: DataFrame, top: int | None = 20, columns: Sequence[str] | None = None) -> DataFrame:
+def missing_report(df: DataFrame, top: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Columns that miss values, most missing first."""
     names = choose_columns(df, columns)
     report = long_rows(_present_counts(df, names), [

@@ -21,6 +21,8 @@ FLAG_PARTS = ["missing", "empty", "placeholder", "fallback"]
 INFO_PARTS = ["before", "after", "raw", "input", "original", "orig"]
 # Fixed value: metric name ending for the number of unmapped values.
 MAPPING_GAP = "missing_mapping_count"
+# Fixed value: metric name part of a list of unmapped values.
+MAPPING_LIST = "missing_mapping"
 
 # Stages of the verdict, in the order they are checked.
 STAGES = [
@@ -144,10 +146,21 @@ def metrics_from_names(named: DataFrame, name: str = "name", value: str = "value
 
 
 def metrics_from_json(reports: DataFrame, column: str = "metrics", by: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Long metric rows from a JSON object of metrics; booleans are no metrics."""
+    """Long metric rows from a JSON object of metrics; booleans are no metrics.
+
+    A list of unmapped values counts as the number of its entries.
+    """
     flat = reports.select(
         *[ref(k) for k in by], F.explode(F.from_json(ref(column), "map<string,string>")).alias("name", "value")
     ).filter(~F.lower("value").isin("true", "false"))
+    entries = F.size(F.from_json("value", "array<string>"))
+    listed = F.lower("name").contains(MAPPING_LIST) & F.startswith(F.ltrim("value"), F.lit("["))
+    counted = F.regexp_replace("name", f"(?i)_?{MAPPING_LIST}.*$", f"_{MAPPING_GAP}")
+    flat = flat.select(
+        *[ref(k) for k in by],
+        F.when(listed, counted).otherwise(F.col("name")).alias("name"),
+        F.when(listed, entries.cast("string")).otherwise(F.col("value")).alias("value"),
+    )
     return metrics_from_names(flat, by=by)
 
 

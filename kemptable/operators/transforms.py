@@ -12,6 +12,7 @@ from ..functions.values import (
     canonical_col,
     canonical_value,
     digit_shape,
+    is_number_type,
     number_col,
     present_col,
     ref,
@@ -55,10 +56,9 @@ def fill_missing(df: DataFrame, rules: Mapping[str, object], accuracy: int | Non
     """Fill missing values: ``mean``, ``median``, ``mode`` or ``("const", v)`` per column."""
     names = dict(zip(require_columns(df, list(rules)), rules.values()))
     averaged = [c for c, rule in names.items() if rule in ("mean", "median")]
-    known = moments(df, averaged)
-    middles = quantiles(
-        df, {c: [0.5] for c in averaged if names[c] == "median"}, known=known, accuracy=accuracy
-    )
+    points = {c: [0.5] for c in averaged if names[c] == "median"}
+    known = moments(df, averaged, points)
+    middles = quantiles(df, points, known=known, accuracy=accuracy)
     fillers: dict[str, object] = {}
     for name, rule in names.items():
         if rule == "mean":
@@ -92,14 +92,15 @@ def remove_outliers(
 ) -> DataFrame:
     """Drop, or clip, the values beyond the quantiles; rows without a value go.
 
-    With ``clip`` missing values stay missing.
+    Text is compared as a number; what is no number counts as missing. With
+    ``clip`` missing values stay missing.
     """
     (name,) = require_columns(df, [column])
     points = [q for q in (lower_quantile, upper_quantile) if q is not None]
     limits = quantiles(df, {name: points}, accuracy=accuracy)
     low = limits.get((name, lower_quantile))
     high = limits.get((name, upper_quantile))
-    value = present_col(df, name)
+    value = present_col(df, name) if is_number_type(df.schema[name].dataType) else number_col(df, name)
     if clip:
         clipped = value
         if low is not None:
@@ -107,6 +108,11 @@ def remove_outliers(
         if high is not None:
             clipped = F.when(value > high, F.lit(high)).otherwise(clipped)
         return df.withColumn(name, clipped)
+    if not is_number_type(df.schema[name].dataType):
+        kept = df.filter(value.isNotNull())
+        kept = kept.filter(value >= low) if low is not None else kept
+        return kept.filter(value <= high) if high is not None else kept
+    # Plain comparisons of the column reach the files.
     kept = df
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
         kept = kept.filter(~F.isnan(ref(name)))
@@ -221,15 +227,21 @@ def safe_strings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def mapping_table(df: DataFrame, mapping: DataFrame | Mapping) -> DataFrame:
-    """(key, mapped) with each key once; a table gives its first two columns."""
+    """(key, mapped) with each key once; a table gives its first two columns.
+
+    A key that is listed with different values raises.
+    """
     if isinstance(mapping, DataFrame):
         key, value = mapping.schema.fields[:2]
-        return (
+        table = (
             mapping.select(canonical_value(key.name, key.dataType).alias("key"), ref(value.name).alias("mapped"))
             .filter("key is not null")
-            .groupBy("key")
-            .agg(F.max("mapped").alias("mapped"))
+            .distinct()
         )
+        twice = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("key").limit(5).collect()
+        if twice:
+            raise InvalidArgs(f"keys with several values: {[r['key'] for r in twice]}")
+        return table
     if not mapping:
         raise InvalidArgs("the mapping is empty")
     rows = [("" if k is None else str(k), v) for k, v in mapping.items()]

@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (
@@ -35,7 +37,7 @@ from ..operators.counts import (
     value_counts_many,
     value_counts_topk,
 )
-from ..operators.numeric import QUARTILES, SMALL, quantiles, sketch, summary_stats
+from ..operators.numeric import QUARTILES, quantiles, sketch, summary_stats
 from ..operators.profile import (
     DEFAULT_SAMPLES,
     PARSERS,
@@ -123,6 +125,11 @@ def _columns_of(df: DataFrame, request: Request) -> list[str]:
     name, args = request.name, request.args
     if name not in PROFILERS:
         raise InvalidArgs(f"unknown profile operator; known: {sorted(PROFILERS)}")
+    for key in WHOLE_NUMBERS & set(args):
+        try:
+            args[key] = int(args[key])
+        except (TypeError, ValueError):
+            raise InvalidArgs(f"{key} is not a whole number: {args[key]!r}") from None
     if name == "encoding_audit":
         if not args.get("path"):
             raise InvalidArgs("path is needed")
@@ -136,7 +143,7 @@ def _columns_of(df: DataFrame, request: Request) -> list[str]:
     if name in ("column_profile", "missing_report"):
         return choose_columns(df, args.get("columns"), args.get("max_columns"))
     if name == "categorical_summary":
-        return choose_columns(df, args["columns"]) if args.get("columns") else other_columns(df, 20)
+        return choose_columns(df, args["columns"]) if args.get("columns") else other_columns(df)
     if not args.get("column"):
         raise InvalidArgs("column is needed")
     if name == "mapping_coverage" and not args.get("mapping_keys"):
@@ -146,6 +153,8 @@ def _columns_of(df: DataFrame, request: Request) -> list[str]:
     return require_columns(df, [normalize_name(args["column"])])
 
 
+# Arguments that must be whole numbers. An unusable top_k means the default.
+WHOLE_NUMBERS = {"rare_threshold", "max_values_return", "max_columns", "samples", "top"}
 COUNT_BASED = {"unique_values", "rare_values", "value_counts_topk", "mapping_coverage", "categorical_summary"}
 
 
@@ -155,12 +164,19 @@ def _needs_counts(request: Request) -> bool:
     return request.name in COUNT_BASED
 
 
-def profile_plan(df: DataFrame, requests: Sequence[Mapping], small: int = SMALL) -> DataFrame:
+def profile_plan(df: DataFrame, requests: Sequence[Mapping]) -> DataFrame:
     """Run all requests; one report row per metric, errors as rows of their own."""
     planned = plan_requests(df, requests)
+    audits = {}
+    for request in planned:
+        if request.error is None and request.name == "encoding_audit":
+            try:
+                audits[request.request_id] = encoding_audit(df.sparkSession, request.args["path"])
+            except (AnalysisException, OSError, ValueError) as problem:
+                request.error = f"{type(problem).__name__}: {str(problem).splitlines()[0]}"
     working = [r for r in planned if r.error is None]
     counting = [r for r in working if _needs_counts(r)]
-    facts = _one_pass(df, [r for r in working if r not in counting], small)
+    facts = _one_pass(df, [r for r in working if r not in counting])
     rows = [(r.request_id, r.name, r.args_json, None, None, r.error) for r in planned if r.error]
     for request in working:
         if request not in counting and request.name != "encoding_audit":
@@ -178,7 +194,7 @@ def profile_plan(df: DataFrame, requests: Sequence[Mapping], small: int = SMALL)
             counted = cut_lineage(counted)  # every request below starts from it
         parts += [_label(r, _count_metrics(df, r, counted)) for r in counting]
     parts += [
-        _label(r, _long(encoding_audit(df.sparkSession, r.args["path"]), "path", ["encoding", "has_bom", "n_bytes"]))
+        _label(r, _long(audits[r.request_id], "path", ["encoding", "has_bom", "n_bytes"]))
         for r in working
         if r.name == "encoding_audit"
     ]
@@ -203,25 +219,20 @@ def _label(request: Request, metrics: DataFrame) -> DataFrame:
 # --- everything that has a fixed size: one aggregation ---------------------
 
 
-def _one_pass(df: DataFrame, requests: Sequence[Request], small: int) -> dict:
+def _one_pass(df: DataFrame, requests: Sequence[Request]) -> dict:
     """Counts, moments, quantiles and parse rates of all requests together."""
     stats = sorted({c for r in requests if r.name == "summary_stats" for c in r.columns})
     counts = sorted({c for r in requests if r.name in ("missing_report", "column_profile") for c in r.columns})
     parsed = sorted({c for r in requests if r.name == "parseability" for c in r.columns})
     if not (stats or counts or parsed):
         return {}
-    # Counting rows reads no column; it tells whether quantiles fit one task.
-    direct = bool(stats) and df.count() * len(stats) <= small
     inputs: list[Column] = []
     aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(stats):
         inputs.append(number_col(df, name).alias(f"v{i}"))
         v = F.col(f"v{i}")
         aggregates += [f(v).alias(f"{label}{i}") for label, f in _MOMENTS.items()]
-        if direct:
-            aggregates.append(F.percentile(v, F.array(*map(F.lit, QUARTILES))).alias(f"q{i}"))
-        else:
-            aggregates.append(sketch(v, QUARTILES).alias(f"q{i}"))
+        aggregates.append(sketch(v, QUARTILES).alias(f"q{i}"))
     for i, name in enumerate(counts):
         inputs.append(present_col(df, name).isNotNull().alias(f"here{i}"))
         aggregates.append(F.count_if(F.col(f"here{i}")).alias(f"here{i}"))
@@ -233,11 +244,9 @@ def _one_pass(df: DataFrame, requests: Sequence[Request], small: int) -> dict:
     for i, name in enumerate(stats):
         facts["stats", name] = {label: row[f"{label}{i}"] for label in _MOMENTS}
         facts["stats", name]["missing"] = row["rows"] - row[f"count{i}"]
-        if direct:
-            facts["quartiles", name] = row[f"q{i}"] or [None] * 3
-    if stats and not direct:
+    if stats:
         known = {c: facts["stats", c] | {"cuts": row[f"q{i}"]} for i, c in enumerate(stats)}
-        cuts = quantiles(df, {c: QUARTILES for c in stats}, known=known, small=small)
+        cuts = quantiles(df, {c: QUARTILES for c in stats}, known=known)
         for name in stats:
             facts["quartiles", name] = [cuts[(name, p)] for p in QUARTILES]
     for i, name in enumerate(counts):
@@ -253,7 +262,10 @@ _MOMENTS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min,
 
 
 def _share(part: int, whole: int, digits: int) -> float:
-    return round(part / whole, digits) if whole else 0.0
+    """Rounded half up, as the rates of the single operators are."""
+    if not whole:
+        return 0.0
+    return float(Decimal(repr(part / whole)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
 def _fixed_metrics(request: Request, facts: Mapping):
@@ -277,7 +289,7 @@ def _fixed_metrics(request: Request, facts: Mapping):
     elif request.name == "missing_report":
         yield "rows_scanned", facts["rows"]
         missing = sorted(((facts["missing", c], c) for c in request.columns), key=lambda x: (-x[0], x[1]))
-        for n, c in [x for x in missing if x[0] > 0][: request.args.get("top", 20)]:
+        for n, c in [x for x in missing if x[0] > 0][: request.args.get("top")]:
             yield f"{c}.missing", n
             yield f"{c}.missing_rate", _share(n, facts["rows"], 6)
     elif request.name == "column_profile":

@@ -12,6 +12,7 @@ from ..sources.arrow import read_arrow
 from ..sources.sinks import publish, write_table
 from ..sources.storage import open_filesystem
 from ..sources.tables import read_table
+from ..sources.text import rejected_lines
 from .registry import query
 
 ORDERS_SQL = "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders"
@@ -29,6 +30,55 @@ def scan_csv_orders(t):
     return read_table(t.spark, written(t, "csv"))
 
 
+@query("select doc_id, text || chr(10) || 'a \"b\", c' as text, source from documents")
+def scan_csv_documents(t):
+    """Texts with line breaks, quotes and separators."""
+    text = F.concat("text", F.lit('\na "b", c'))
+    path = write_table(t.documents.select("doc_id", text.alias("text"), "source"), scratch_path(t.spark, "csv"), "csv")
+    return read_table(t.spark, path)
+
+
+@query(ORDERS_SQL)
+def scan_csv_permuted(t):
+    """Files of one folder with their columns in another order."""
+    path = scratch_path(t.spark, "permuted")
+    for half, fields in enumerate((ORDER_FIELDS, ORDER_FIELDS[::-1])):
+        part = t.orders.filter(F.col("o_orderkey") % 2 == half).select(*fields)
+        part.write.mode("append").option("header", True).csv(path)
+    return read_table(t.spark, path, fmt="csv").select(*ORDER_FIELDS)
+
+
+@query("select o_orderkey || ',x,y' as line from orders where o_orderkey % 3 = 0")
+def rejected_order_lines(t):
+    """Lines with a field too many."""
+    path = scratch_path(t.spark, "bad")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.lit("x"), F.when(F.col("o_orderkey") % 3 == 0, "y"))
+    t.orders.select(line.alias("k,v")).write.option("header", True).option("sep", "\x01").csv(path)
+    return rejected_lines(t.spark, path)
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+def scan_json_array_orders(t):
+    """Documents over several lines whose first row is longer than a sample."""
+    path = scratch_path(t.spark, "arrays")
+    row = F.to_json(F.struct(*ORDER_FIELDS, F.repeat(F.lit("x"), F.lit(5000)).alias("filler")))
+    files = t.orders.groupBy((F.col("o_orderkey") % 5).alias("file")).agg(F.collect_list(row).alias("rows"))
+    files.select(F.concat(F.lit("["), F.array_join("rows", ",\n"), F.lit("]")).alias("value")).repartition(5, "file").write.option(
+        "maxRecordsPerFile", 1
+    ).text(path)
+    return read_table(t.spark, path, fmt="json").select(*ORDER_FIELDS)
+
+
+@query(ORDERS_SQL)
+def scan_mixed_folder(t):
+    """Two appended writes and a stray file of another format: all rows of the preferred one."""
+    path = scratch_path(t.spark, "mixed")
+    for half in (0, 1):
+        t.orders.filter(F.col("o_orderkey") % 2 == half).select(*ORDER_FIELDS).write.mode("append").parquet(path)
+    t.orders.limit(3).select("o_orderkey").coalesce(1).write.mode("append").option("header", True).csv(path)
+    return read_table(t.spark, path)
+
+
 @query(ORDERS_SQL)
 def scan_tsv_orders(t):
     return read_table(t.spark, written(t, "tsv"))

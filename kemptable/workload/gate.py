@@ -191,6 +191,19 @@ def metrics_from_reports(t):
     return quality.metrics_from_json(report, by=["user_id"])
 
 
+@query(
+    "select distinct user_id, 'city' as column_name, 'missing_mapping_count' as metric, 2.0::double as value from events "
+    "where user_id % 2 = 0"
+)
+def listed_mapping_gaps(t):
+    """Unmapped values that a report lists are counted and caught."""
+    gaps = F.when(F.col("user_id") % 2 == 0, '{"city_missing_mapping": ["Oslo", "Bern"], "rows": 5}').otherwise(
+        '{"city_missing_mapping": [], "rows": 5}'
+    )
+    reports = t.events.select("user_id").distinct().withColumn("metrics", gaps)
+    return quality.mapping_gaps(quality.metrics_from_json(reports, by=["user_id"]), by=["user_id"])
+
+
 @query(
     "select distinct user_id, case c when 1 then 'Cabin' when 2 then 'Age' else 'Fare' end as column_name, c = 1 as allowed, "
     "case when c = 2 then cast(user_id as double) end as threshold, c = 3 as ph_required, false as ph_optional "

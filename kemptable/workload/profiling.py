@@ -1,6 +1,8 @@
 """Profile queries: values, numbers, parse rates, shared plans."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import flatten_struct, normalize_columns
 from ..functions.values import (
@@ -8,6 +10,7 @@ from ..functions.values import (
     extension,
     file_name,
     parent_name,
+    shown_value,
     text_list,
     to_number,
     to_verdict,
@@ -15,7 +18,7 @@ from ..functions.values import (
 )
 from ..operators import counts, numeric, profile
 from ..plans.profile_plan import profile_plan
-from ..sources.tables import preview, sample_head
+from ..sources.tables import preview, preview_text, sample_head
 from .registry import query
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -47,16 +50,43 @@ def unique_event_type(t):
     return counts.unique_values(t.events_nulled, "event_type")
 
 
-@query(f"select distinct {CUT.format('text')} as value from documents where text is not null")
+@query(f"select {CUT.format('text')} as value from (select distinct text from documents where text is not null)")
 def unique_text_values(t):
-    """Texts count as one value when their first 200 characters agree."""
-    return counts.unique_values(t.documents, "text")
+    """Distinct whole texts, cut where they are shown."""
+    return counts.unique_values(t.documents, "text").select(shown_value(F.col("value")).alias("value"))
 
 
 @query("select distinct text as value from documents where text is not null")
 def unique_text_whole(t):
-    """The same on whole texts."""
-    return counts.unique_values(t.documents, "text", limit=None)
+    """The same, uncut."""
+    return counts.unique_values(t.documents, "text")
+
+
+TEXT_COUNTS = "(select text as value, count(*) as cnt from documents where text is not null group by 1)"
+
+
+@query(f"select value, cnt from {TEXT_COUNTS} where cnt <= 3")
+def rare_texts(t):
+    return counts.rare_values(t.documents, "text").select("value", "cnt")
+
+
+@query(
+    f"select value, cnt, round(cnt / cast((select sum(cnt) from {TEXT_COUNTS}) as double), 6) as ratio "
+    f"from {TEXT_COUNTS} order by cnt desc, value limit 20"
+)
+def topk_texts(t):
+    return counts.value_counts_topk(t.documents, "text")
+
+
+@query(
+    "with d as (select distinct repeat('x', 200) || text as value from documents where text is not null), "
+    "b as (select distinct repeat('x', 200) || text as value from documents where doc_id % 2 = 0 and text is not null) "
+    "select value, case when value in (select value from b) then 'ok' else 'missing' end as status from d"
+)
+def mapping_coverage_long_keys(t):
+    """Keys that share their first 200 characters are still keys of their own."""
+    long = t.documents.select("doc_id", F.concat(F.repeat(F.lit("x"), F.lit(200)), "text").alias("value"))
+    return counts.mapping_coverage(long, "value", long.filter("doc_id % 2 = 0").select("value"))
 
 
 @query(
@@ -113,8 +143,10 @@ def summary_lineitem(t):
 
 @query(summary_sql(LINE_NUMBERS, "lineitem"))
 def summary_lineitem_brackets(t):
-    """The same numbers by the path big tables take: sketch, count, select."""
-    table = numeric.summary_stats(t.lineitem, LINE_NUMBERS, small=1000)
+    """The same numbers with moments and brackets taken one after the other."""
+    known = numeric.moments(t.lineitem, LINE_NUMBERS)
+    cuts = numeric.quantiles(t.lineitem, dict.fromkeys(LINE_NUMBERS, numeric.QUARTILES), known=known, piece_values=1000)
+    table = numeric.summary_rows(t.lineitem, LINE_NUMBERS, known, cuts)
     return rounded(table, ["mean", "q1", "median", "q3"])
 
 
@@ -412,6 +444,52 @@ def container_placeholders(t):
     return nested.select(*[canonical_col(nested, c).alias(c) for c in nested.columns])
 
 
+# Column -> (layout that Spark writes, layout that DuckDB reads); every fourth value is no date.
+LAYOUTS = {
+    "us": ("M/d/yyyy", "%m/%d/%Y"),
+    "iso_fraction": ("yyyy-MM-dd'T'HH:mm:ss.SSS", "%Y-%m-%dT%H:%M:%S.%g"),
+    "iso_zone": ("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "%Y-%m-%dT%H:%M:%S.%gZ"),
+    "named": ("d MMM yyyy", "%d %b %Y"),
+    "long_named": ("MMMM d, yyyy", "%B %d, %Y"),
+}
+_WRITTEN = {
+    "us": "%-m/%-d/%Y", "iso_fraction": "%Y-%m-%dT%H:%M:%S.%g", "iso_zone": "%Y-%m-%dT%H:%M:%S.%gZ", "named": "%-d %b %Y",
+    "long_named": "%B %-d, %Y",
+}
+
+
+@query(" union all ".join(
+    f"select '{name}' as column_name, round(count(try_strptime(case when o_orderkey % 4 = 0 then 'no date' else "
+    f"strftime(o_orderdate, '{_WRITTEN[name]}') end, '{read}')) / cast(count(*) as double), 4) as datetime_rate from orders"
+    for name, (_, read) in LAYOUTS.items()
+))
+def parse_date_layouts(t):
+    """One-digit fields, fractions, zones and names of months."""
+    broken = F.col("o_orderkey") % 4 == 0
+    texts = t.orders.select(*[
+        F.when(broken, "no date").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), layout)).alias(name)
+        for name, (layout, _) in LAYOUTS.items()
+    ])
+    found = [profile.parseability(texts, name, ["datetime"]) for name in LAYOUTS]
+    return reduce(DataFrame.unionByName, found).select("column_name", "datetime_rate")
+
+
+@query("select count(*) as n, count(*) as found from (select * from embeddings limit 20)")
+def previewed_rows_are_in_the_table(t):
+    """Every previewed row occurs in the table with all its columns."""
+    shown = preview(t.embeddings, 20)
+    whole = preview_text(t.embeddings).distinct()
+    met = shown.join(whole.withColumn("there", F.lit(True)), shown.columns, "left")
+    return met.agg(F.count(F.lit(1)).alias("n"), F.count("there").alias("found"))
+
+
+@query("select count(*) as n, count(*) as found from (select * from orders limit 100)")
+def sampled_rows_are_in_the_table(t):
+    shown = sample_head(t.orders, path="orders.parquet")
+    met = shown.join(t.orders.distinct().withColumn("there", F.lit(True)), shown.columns, "left")
+    return met.agg(F.count(F.lit(1)).alias("n"), F.count("there").alias("found"))
+
+
 @query()
 def preview_embeddings(t):
     return preview(t.embeddings, 20)

@@ -1,7 +1,5 @@
 """Streaming queries over the events file; each runs until its input is used up."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -14,15 +12,20 @@ def event_stream(t):
 
 
 def finished(stream, mode: str):
-    """Run a stateful stream to its end and read its result table."""
-    name = f"result_{uuid.uuid4().hex}"
+    """Run a stateful stream to its end and read its result, which its last batch holds whole."""
+    output, batches = scratch_path(stream.sparkSession, "result"), []
+
+    def write(table, number):
+        table.write.mode("overwrite").parquet(f"{output}/{number}")
+        batches.append(number)
+
     run = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
+        stream.writeStream.foreachBatch(write).outputMode(mode)
         .option("checkpointLocation", scratch_path(stream.sparkSession, "stream"))
         .trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{output}/{max(batches)}")
 
 
 def drained(writer) -> None:

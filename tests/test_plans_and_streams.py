@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from kemptable.operators import counts, ordered, profile
+from kemptable.operators.numeric import summary_stats
+from kemptable.operators.profile import parseability
 from kemptable.operators.quality import quality_policy
 from kemptable.plans.profile_plan import plan_requests, profile_plan
 from kemptable.streaming import operators as S
@@ -49,16 +51,33 @@ def test_report(spark, lineitem):
     assert json.loads(samples["l_linestatus.samples"]) == ["F", "O"]
 
 
-def test_big_tables_take_the_bracket_path_with_the_same_result(lineitem):
-    requests = [{"name": "summary_stats", "args": {"columns": ["l_quantity", "l_extendedprice"]}}]
-    direct = rows(profile_plan(lineitem, requests).select("metric", "value"))
-    bracketed = rows(profile_plan(lineitem, requests, small=100).select("metric", "value"))
-    assert {m for m, _ in direct} == {m for m, _ in bracketed}
-    for (m, a), (_, b) in zip(direct, bracketed):
-        assert float(a) == pytest.approx(float(b)), m
+def test_a_plan_gives_the_numbers_of_the_single_operator(lineitem):
+    columns = ["l_quantity", "l_extendedprice"]
+    report = profile_plan(lineitem, [{"name": "summary_stats", "args": {"columns": columns}}])
+    got = {r["metric"]: float(r["value"]) for r in report.collect() if r["metric"] != "rows_scanned"}
+    for r in summary_stats(lineitem, columns).collect():
+        for metric, column in (("count", "cnt"), ("mean", "mean"), ("q1", "q1"), ("median", "median"), ("max", "max_value")):
+            assert got[f"{r['column_name']}.{metric}"] == pytest.approx(float(r[column]))
 
 
-def test_ten_requests_read_the_data_twice(spark, folder):
+def test_rates_are_rounded_half_up(spark):
+    df = spark.createDataFrame([(x,) for x in ["7"] + ["a"] * 31], "v string")
+    report = profile_plan(df, [{"name": "parseability", "args": {"column": "v"}}]).collect()
+    rate = next(r["value"] for r in report if r["metric"] == "numeric_rate")
+    assert float(rate) == parseability(df, "v").first()["numeric_rate"] == 0.0313
+
+
+def test_a_bad_request_is_a_row_of_its_own(lineitem, folder):
+    report = profile_plan(lineitem, [
+        {"name": "rare_values", "args": {"column": "l_returnflag", "rare_threshold": "x"}},
+        {"name": "detect_encoding", "args": {"path": f"{folder}/absent"}},
+        {"name": "unique_values", "args": {"column": "l_returnflag"}},
+    ]).collect()
+    assert {r["request_id"] for r in report if r["error"]} == {1, 2}
+    assert {r["value"] for r in report if r["metric"] == "value"} == {"A", "N", "R"}
+
+
+def test_ten_requests_read_the_data_three_times(spark, folder):
     """The rows that scans put out, counted by Spark itself."""
     lineitem = spark.read.parquet(f"{SMALL}/lineitem.parquet")
     total, seen = lineitem.count(), spark.sparkContext.accumulator(0)
@@ -70,7 +89,7 @@ def test_ten_requests_read_the_data_twice(spark, folder):
 
     watched = lineitem.mapInArrow(count_rows, lineitem.schema)
     profile_plan(watched, [r for r in TEN_REQUESTS if r["name"] != "column_profile"]).collect()
-    # One pass of each kind, and one to count rows, which reads no column of a file.
+    # Counts, moments and sketches; the brackets of the quantiles; the values.
     assert seen.value == 3 * total
 
 

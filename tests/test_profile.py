@@ -107,8 +107,7 @@ def test_bracketed_quantiles_are_exact(spark, shape):
     df = table(spark, values, "double")
     points = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     want = {("v", p): pytest.approx(float(np.quantile(values, p)), rel=1e-12) for p in points}
-    assert numeric.quantiles(df, {"v": points}, small=100) == want
-    assert numeric.quantiles(df, {"v": points}, small=100, sort_values=3) == want
+    assert numeric.quantiles(df, {"v": points}, piece_values=3) == want
     assert numeric.quantiles(df, {"v": points}) == want
 
 
@@ -117,7 +116,7 @@ def test_a_bracket_that_misses_its_rank_is_widened(spark):
     df = table(spark, values, "double")
     known = numeric.moments(df, ["v"])
     known["v"]["cuts"] = [10.0, 20.0]  # nowhere near the median
-    assert numeric.quantiles(df, {"v": [0.5]}, known=known, small=10) == {("v", 0.5): 499.5}
+    assert numeric.quantiles(df, {"v": [0.5]}, known=known) == {("v", 0.5): 499.5}
 
 
 def test_big_summaries_read_the_data_twice(spark):
@@ -130,8 +129,8 @@ def test_big_summaries_read_the_data_twice(spark):
 
     df = spark.range(5000).select((F.col("id") * 1.5).alias("a"), F.rand(3).alias("b"))
     watched = df.mapInArrow(count_rows, df.schema)
-    numeric.summary_stats(watched, small=100).collect()
-    assert seen.value == 3 * 5000  # and once to count rows, free on files
+    numeric.summary_stats(watched).collect()
+    assert seen.value == 2 * 5000
 
 
 def test_profile_samples_are_the_smallest_values(spark):

@@ -41,9 +41,11 @@ def test_text_of_other_types(spark):
     assert texts(spark, moments, T.TimestampNTZType()) == [str(m) for m in moments]
 
 
-def test_long_text_is_cut_after_200_characters(spark):
-    got = texts(spark, ["x" * 200, "가" * 201, ""], T.StringType())
-    assert got == ["x" * 200, "가" * 200 + "…", ""]
+def test_long_text_is_whole_but_cut_where_it_is_shown(spark):
+    long = ["x" * 200, "가" * 201, ""]
+    assert texts(spark, long, T.StringType()) == long
+    shown = spark.createDataFrame([(t,) for t in long], "v string").select(V.shown_value(F.col("v")))
+    assert [r[0] for r in shown.collect()] == ["x" * 200, "가" * 200 + "…", ""]
 
 
 @pytest.mark.parametrize("text, number", [
