@@ -1,6 +1,8 @@
 """Quality gate queries. Metrics come from whole tables, policies are given."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.names import repair_mojibake, sanitize_filename
 from ..operators import quality
@@ -191,6 +193,48 @@ def metrics_from_reports(t):
     return quality.metrics_from_json(report, by=["user_id"])
 
 
+# What is wrong with a user's run, by the remainder of the id; all eight stages occur.
+STAGE_CASES = [
+    ("missing_report", ""), ("missing_ok_issues", ""), ("missing_metrics", ""), ("missing_requirements", ""),
+    ("requirements", "1: REQ-1=fail"), ("placeholder_metrics", "1: Age"), ("missing_mapping", "1: city_missing_mapping_count"),
+    ("silent_miss", "1: Age_missing"),
+]
+
+
+@query(
+    "select distinct user_id, user_id % 9 = 8 as ok, case user_id % 9 "
+    + " ".join(f"when {i} then '{stage}'" for i, (stage, _) in enumerate(STAGE_CASES))
+    + " end as failed_stage, case user_id % 9 "
+    + " ".join(f"when {i} then '{detail}'" for i, (_, detail) in enumerate(STAGE_CASES))
+    + " end as detail from events"
+)
+def quality_verdict_stages(t):
+    """Verdicts with their details, from runs that fail at every stage in turn."""
+    runs = t.events.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("rows"))
+    case = F.col("user_id") % 9
+    reports = runs.select(
+        "user_id", (case != 0).alias("has_report"), F.when(case != 1, "ok").alias("ok"), F.lit("none").alias("issues")
+    )
+
+    def metric(column, name, value, *cases):
+        chosen = runs.filter(case.isin(*cases))
+        return chosen.select("user_id", F.lit(column).alias("column_name"), F.lit(name).alias("metric"), value.alias("value"))
+
+    # Users of the cases 5, 6 and 7 miss values; 6 and 7 say how they filled them.
+    parts = [
+        metric("", "rows", F.col("rows"), 0, 1, 3, 4, 5, 6, 7, 8),
+        metric("Age", "missing", F.when(case == 7, F.col("rows")).otherwise(0.0), 5, 6, 7, 8),
+        metric("Age", "placeholder", F.lit(0.0), 6, 7, 8),
+        metric("city", "missing_mapping_count", F.col("rows"), 6),
+    ]
+    required = runs.filter(case != 2).select("user_id", F.lit("REQ-1").alias("id"))
+    reported = runs.filter(~case.isin(2, 3)).select(
+        "user_id", F.lit("REQ-1").alias("id"), F.when(case == 4, "no").otherwise("pass").alias("ok_raw")
+    )
+    metrics = reduce(DataFrame.unionByName, parts)
+    return quality.quality_verdict(reports, metrics, None, required, reported, by=["user_id"])
+
+
 @query(
     "select distinct user_id, 'city' as column_name, 'missing_mapping_count' as metric, 2.0::double as value from events "
     "where user_id % 2 = 0"
