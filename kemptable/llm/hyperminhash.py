@@ -14,7 +14,7 @@ from .common import SPACES, mixed
 
 REGISTERS = 128
 MANTISSA = 10
-BANDS, BAND_ROWS = 40, 6
+BANDS, BAND_ROWS = 48, 8
 # Bits of a value behind those that choose the register.
 VALUE_BITS = 57
 # Constant of the expected chance collisions of a HyperMinHash sketch.

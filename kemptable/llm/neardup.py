@@ -6,7 +6,8 @@
    with the first one by the corrected estimate; where some are unlike the
    first, all classes of the band are compared.
 3. Classes connected by estimates form groups. Within a group, links are
-   confirmed on the sets, read anew from one document of each class.
+   confirmed on the sets, read anew from one document of each class. A bit
+   array of fixed size tells most other documents apart, so texts never move.
 4. Confirmed links give the components.
 
 Bands and groups that are too large for one task are cut into blocks, and every
@@ -41,6 +42,9 @@ BAND_BLOCK = 4096
 GROUP_BLOCK = 1 << 20
 # Text bytes sketched at once.
 SKETCH_BYTES = 1 << 20
+# Bits (as a power of two) of the array that marks the documents to be read
+# again: 8 MB. Where very many are marked, more others pass and are dropped later.
+MARK_BITS = 26
 
 
 def _sketch(width: int):
@@ -60,26 +64,41 @@ def _sketch(width: int):
                         pa.array([r.tobytes() if ok else None for r, ok in zip(registers, some, strict=True)], pa.binary()),
                         pa.array([b.view(np.int64) if ok else [] for b, ok in zip(bands, some, strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "text_key", "n_shingles", "node", "registers", "bands"],
+                    ["doc_id", "text_key", "n_shingles", "key", "registers", "bands"],
                 )
 
     return run
 
 
-def _sets(width: int):
-    """node, group, place and shingles of the documents that stand for their class."""
+def _marks(keys: DataFrame) -> np.ndarray:
+    """Bit array of the values ``mark``; its words are gathered, whose number is fixed."""
+    placed = keys.select(F.pmod("mark", F.lit(1 << MARK_BITS)).alias("place"))
+    bits = F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")
+    words = placed.groupBy(F.expr("place div 64").alias("word")).agg(bits).collect()
+    marks = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    for row in words:
+        marks[row["word"]] = row["bits"]
+    return marks.view(np.uint64)
+
+
+def _sets(width: int, sent):
+    """doc_id, text_key and shingles of the documents that are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
         for batch in batches:
-            for first, texts in text_chunks(text_bytes(batch.column("text")), SKETCH_BYTES):
+            place = batch.column("mark").to_numpy() % (1 << MARK_BITS)
+            marked = marks[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) == 1
+            rows = batch.filter(pa.array(marked))
+            for first, texts in text_chunks(text_bytes(rows.column("text")), SKETCH_BYTES):
                 sets = shingle_sets(texts, width)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("node").slice(first, len(texts)),
-                        batch.column("group").slice(first, len(texts)),
+                        rows.column("doc_id").slice(first, len(texts)),
+                        rows.column("text_key").slice(first, len(texts)),
                         pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["node", "group", "shingles"],
+                    ["doc_id", "text_key", "shingles"],
                 )
 
     return run
@@ -172,10 +191,10 @@ def _in_units(rows: DataFrame, key: str, blocks: Column, connect) -> DataFrame:
         rows.withColumn("blocks", blocks.cast("int"))
         .withColumn("mine", mine)
         .withColumn("pair", F.explode(pairs))
-        .withColumn("unit", F.concat_ws(":", F.hex(key), "pair.i", "pair.j"))
+        .withColumn("unit", F.concat_ws(":", key, "pair.i", "pair.j"))
         .drop("blocks", "mine", "pair", key)
     )
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(connect), "a binary, b binary")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(connect), "a long, b long")
 
 
 def _candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +211,7 @@ def _candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
         )
 
     compared = pairs.join(side("b"), "b").join(side("a"), "a")
-    compared = cut_lineage(compared.mapInArrow(_compare_pairs(least), "a binary, b binary, similar boolean"))
+    compared = cut_lineage(compared.mapInArrow(_compare_pairs(least), "a long, b long, similar boolean"))
     # Bands in which a class is unlike the first one: its likeness to the others is open.
     unlike = compared.filter(~F.col("similar")).select(F.col("a").alias("first"), F.col("b").alias("node"))
     mixed_bands = members.filter("n > 2").join(unlike, ["first", "node"], "left_semi").select("band").distinct()
@@ -208,12 +227,12 @@ def _resolved(documents: DataFrame, percent: int, width: int) -> DataFrame:
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = cut_lineage(rows.mapInArrow(
         _sketch(width),
-        f"doc_id {kind}, text_key long, n_shingles long, node binary, registers binary, bands array<long>",
+        f"doc_id {kind}, text_key long, n_shingles long, key binary, registers binary, bands array<long>",
     ))
-    # Copies are summed up before they move.
+    # Copies are summed up before they move. Classes are numbered once, where they are written.
     nodes = cut_lineage(
-        found.filter("node is not null")
-        .groupBy("node")
+        found.filter("key is not null")
+        .groupBy("key")
         .agg(
             F.min("doc_id").alias("least_id"),
             F.min(F.struct("doc_id", "text_key")).alias("example"),
@@ -221,27 +240,33 @@ def _resolved(documents: DataFrame, percent: int, width: int) -> DataFrame:
             F.first("registers").alias("registers"),
             F.first("bands").alias("bands"),
         )
+        .withColumn("node", F.monotonically_increasing_id())
     )
     groups = components(_candidate_links(nodes, percent)).withColumnRenamed("root", "group")
     wanted = nodes.select("node", "n_shingles", "example").join(groups, "node")
     sizes = wanted.groupBy("group").agg(F.sum("n_shingles").alias("weight"))
     examples = cut_lineage(wanted.join(sizes, "group").select("node", "group", "weight", "example.*"))
-    texts = rows.withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key").join(
-        examples, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    mark = F.xxhash64("doc_id", "text_key").alias("mark")
+    sent = documents.sparkSession.sparkContext.broadcast(_marks(examples.select(mark)))
+    sets = rows.select("doc_id", "text_key", mark, "text").mapInArrow(
+        _sets(width, sent), f"doc_id {kind}, text_key long, shingles array<long>"
+    )
+    # Rows that repeat id and text give the same set; unmarked ones find no class.
+    sets = sets.withColumnsRenamed({"doc_id": "id", "text_key": "same_text"}).join(
+        examples, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("same_text") == F.col("text_key"))
+    )
+    sets = sets.groupBy("node").agg(
+        F.first("group").alias("group"), F.first("weight").alias("weight"), F.first("shingles").alias("shingles")
     )
-    sets = texts.select("node", "group", "text").mapInArrow(_sets(width), "node binary, group binary, shingles array<long>")
-    # Rows that repeat id and text give the same set.
-    sets = sets.groupBy("node").agg(F.first("group").alias("group"), F.first("shingles").alias("shingles"))
-    sets = sets.join(sizes, "group")
     links = _in_units(sets, "group", F.ceil(F.col("weight") / GROUP_BLOCK), _connect_sets(percent))
     roots = components(links)
 
-    placed = nodes.select("node", "least_id").join(roots, "node", "left")
+    placed = nodes.select("key", "node", "least_id").join(roots, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = placed.join(ids, "root").select("node", "root", "component_id")
-    known = found.select("doc_id", "text_key", "n_shingles", "node").join(classes, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    classes = placed.join(ids, "root").select("key", "root", "component_id")
+    known = found.select("doc_id", "text_key", "n_shingles", "key").join(classes, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.col("doc_id").eqNullSafe(component).alias("kept")
     return known.select("doc_id", "text_key", "n_shingles", "root", component.alias("component_id"), kept)
 
@@ -259,9 +284,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3) ->
     are documents of their own. An empty table gives no rows; other columns are
     not read.
 
-    A link is missed only if no band of the sketches agrees, less than once in
-    100,000 pairs that are just similar enough. Groups of near copies are not
-    expanded into pairs.
+    A link is missed only if no band of the sketches agrees, which happens to
+    about one in 50,000 pairs that are just similar enough. Groups of near
+    copies are not expanded into pairs.
     """
     return _resolved(documents, percent, width).select("doc_id", "n_shingles", "component_id", "kept")
 
