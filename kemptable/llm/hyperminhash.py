@@ -14,7 +14,9 @@ from .common import SPACES, mixed
 
 REGISTERS = 128
 MANTISSA = 10
-BANDS, BAND_ROWS = 48, 8
+BANDS = 48
+# Share of pairs just similar enough that may miss all bands, were registers independent.
+MISSED = 1e-6
 # Bits of a value behind those that choose the register.
 VALUE_BITS = 57
 # Constant of the expected chance collisions of a HyperMinHash sketch.
@@ -26,9 +28,7 @@ _BASE = 0x9E3779B97F4A7C55
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 _dice = np.random.default_rng(20)
-# Which registers make up a band, and where an empty register looks for a value.
-BAND_OF = np.concatenate([_dice.permutation(REGISTERS) for _ in range(-(-BANDS * BAND_ROWS // REGISTERS))])
-BAND_OF = BAND_OF[:BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+# Where an empty register looks for a value.
 _OFFSET, _STRIDE = _dice.integers(0, REGISTERS, REGISTERS), 2 * _dice.integers(0, REGISTERS // 2, REGISTERS) + 1
 
 
@@ -119,7 +119,15 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return packed.reshape(len(sets), REGISTERS)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_places(least: float) -> np.ndarray:
+    """Which registers make up each band: as many as still find pairs of similarity ``least``."""
+    rows = max([r for r in range(1, 17) if (1 - least**r) ** BANDS <= MISSED], default=1)
+    dice = np.random.default_rng(21)
+    places = np.concatenate([dice.permutation(REGISTERS) for _ in range(-(-BANDS * rows // REGISTERS))])
+    return places[:BANDS * rows].reshape(BANDS, rows)
+
+
+def band_keys(registers: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Keys of the bands; empty registers borrow from others, always in the same order of places."""
     dense = registers.copy()
     for attempt in range(REGISTERS):
@@ -131,7 +139,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     keys = np.empty((len(registers), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(registers), np.uint64(band + 1))
-        for column in BAND_OF[band]:
+        for column in places[band]:
             key = mixed(key * np.uint64(0x2545F4914F6CDD1D) + dense[:, column].astype(np.uint64) + np.uint64(1))
         keys[:, band] = key
     return keys

@@ -28,6 +28,7 @@ from .components import components
 from .hyperminhash import (
     REGISTERS,
     band_keys,
+    band_places,
     estimate,
     forest,
     may_be_similar,
@@ -47,13 +48,14 @@ SKETCH_BYTES = 1 << 20
 MARK_BITS = 26
 
 
-def _sketch(width: int):
+def _sketch(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = band_places(percent / 100)
         for batch in batches:
             for first, texts in text_chunks(text_bytes(batch.column("text")), SKETCH_BYTES):
                 sets = shingle_sets(texts, width)
                 registers = sketches(sets)
-                keys, bands = set_keys(sets), band_keys(registers)
+                keys, bands = set_keys(sets), band_keys(registers, places)
                 some = [len(s) > 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -226,7 +228,7 @@ def _resolved(documents: DataFrame, percent: int, width: int) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = cut_lineage(rows.mapInArrow(
-        _sketch(width),
+        _sketch(width, percent),
         f"doc_id {kind}, text_key long, n_shingles long, key binary, registers binary, bands array<long>",
     ))
     # Copies are summed up before they move. Classes are numbered once, where they are written.
@@ -271,7 +273,7 @@ def _resolved(documents: DataFrame, percent: int, width: int) -> DataFrame:
     return known.select("doc_id", "text_key", "n_shingles", "root", component.alias("component_id"), kept)
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``documents``.
 
     Two documents are linked if 100 * intersection >= percent * union of their
@@ -291,7 +293,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3) ->
     return _resolved(documents, percent, width).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def distinct_documents(documents: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+def distinct_documents(documents: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of ``documents`` that are kept: one of each component, all its columns as they are.
 
     Of rows that repeat the component's id one stays.

@@ -137,7 +137,7 @@ from sets s join (select x, min(root) as root from reach group by x) r on r.x =
 """)
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that share 85 percent of their three-word shingles."""
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents"), percent=85, width=3)
 
 
 @query()

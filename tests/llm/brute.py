@@ -104,9 +104,9 @@ def shingles(text, width=3):
     return set(zip(*[words[i:] for i in range(width)], strict=False))
 
 
-def near_duplicates(ids, texts, percent=85):
+def near_duplicates(ids, texts, percent=85, width=3):
     """(doc_id, n_shingles, component_id, kept) for documents with distinct ids."""
-    sets = [shingles(t) for t in texts]
+    sets = [shingles(t, width) for t in texts]
     root = list(range(len(ids)))
 
     def find(i):

@@ -52,8 +52,8 @@ def test_languages_within_a_family(spark):
     assert sum(langs[r["doc_id"]] == r["lang_pred"] for r in rows) / len(rows) > 0.95
 
 
-def near(spark, texts, ids=None):
-    found = neardup.near_duplicates(documents(spark, texts, ids=ids)).collect()
+def near(spark, texts, ids=None, percent=85, width=3):
+    found = neardup.near_duplicates(documents(spark, texts, ids=ids), percent, width).collect()
     return sorted(tuple(r) for r in found)
 
 
@@ -79,13 +79,14 @@ def test_near_duplicates_as_all_pairs(spark, seed, monkeypatch):
     ids = list(range(len(texts)))
     random.Random(seed).shuffle(ids)
     assert near(spark, texts, ids) == brute.near_duplicates(ids, texts)
+    if seed == 1:
+        assert near(spark, texts, ids, 80, 5) == brute.near_duplicates(ids, texts, 80, 5)
 
 
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     texts = ["a b c d", "a b c d", "a b c d", None, "e f g", "e f g"]
-    rows = near(spark, texts, [7, 7, 9, 3, None, None]) if False else sorted(
-        (tuple(r) for r in neardup.near_duplicates(documents(spark, texts, ids=[7, 7, 9, 3, None, None])).collect()), key=repr
-    )
+    found = neardup.near_duplicates(documents(spark, texts, ids=[7, 7, 9, 3, None, None]), 85, 3)
+    rows = sorted((tuple(r) for r in found.collect()), key=repr)
     assert rows == sorted([(7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False), (3, 0, 3, True), (None, 1, None, True), (None, 1, None, True)], key=repr)
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
     kept = neardup.distinct_documents(documents(spark, texts[:4], ids=[7, 7, 9, 3]))

@@ -41,7 +41,7 @@ def test_language_stage_keeps_all_texts_with_letters(stages):
 
 def test_duplicate_stage_keeps_one_of_each_group(stages):
     before, after = map(texts, stages["near_duplicates"])
-    kept = [doc for doc, _, _, keep in brute.near_duplicates(list(before), list(before.values())) if keep]
+    kept = [doc for doc, _, _, keep in brute.near_duplicates(list(before), list(before.values()), 80, 5) if keep]
     assert after == {i: before[i] for i in kept}
 
 
