@@ -36,6 +36,8 @@ FAMILIES = {
 }
 # Rows per language that the machines are fitted on, about (chosen by a hash of doc_id).
 SAMPLE_ROWS = 1500
+# Text bytes described at once; its grams take about 40 times as much memory.
+GRAM_BYTES = 1 << 20
 # Hashed features: 2 ** BITS.
 BITS = 14
 UNKNOWN = "und"
@@ -80,7 +82,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    for first, held in text_chunks(text_bytes(column)):
+    for first, held in text_chunks(text_bytes(column), GRAM_BYTES):
         yield first, [h.decode("utf-8", "replace") for h in held]
 
 
