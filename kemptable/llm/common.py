@@ -6,15 +6,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 # Text bytes that a task works on at once inside Python.
 CHUNK_BYTES = 4 << 20
 
+# Documents handed to a Python worker at once.
+BATCH_ROWS = 1000
+
 # White space that ends a word: tab to carriage return, and the space.
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows, unless the session has chosen their size: texts are long."""
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def text_chunks(texts: Iterable[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts of about ``most`` bytes, each with the index of its first text."""
     first, held, size = 0, [], 0
@@ -28,9 +38,11 @@ def text_chunks(texts: Iterable[bytes], most: int = CHUNK_BYTES) -> Iterator[tup
         yield first, held
 
 
-def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text, empty for null."""
-    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+def text_bytes(column: pa.ChunkedArray | pa.Array, rows: int = 64) -> Iterator[bytes]:
+    """UTF-8 bytes of each text, empty for null; a few rows at a time are taken out of the batch."""
+    for first in range(0, len(column), rows):
+        part = column.slice(first, rows).cast(pa.binary())
+        yield from (b"" if x is None else x for x in part.to_pylist())
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

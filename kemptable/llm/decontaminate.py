@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes, text_chunks
+from .common import short_batches, text_bytes, text_chunks
 from .fmindex import FMIndex
 
 # Text bytes in a shard. A document longer than this is a shard of its own.
@@ -211,6 +211,7 @@ def contamination(
     in blocks of about ``phrase_bytes`` of text, one pass each; a task holds one
     shard's index at a time.
     """
+    short_batches(documents.sparkSession)
     rows = documents.select(
         F.struct(*[documents[c] for c in keep]).alias("row"),
         "text",

@@ -20,7 +20,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import text_bytes, text_chunks
+from .common import short_batches, text_bytes, text_chunks
 
 # Families of closely related languages; a language that is not named here is a
 # family of its own. Fixed values.
@@ -36,6 +36,9 @@ FAMILIES = {
 }
 # Rows per language that the machines are fitted on, about (chosen by a hash of doc_id).
 SAMPLE_ROWS = 1500
+# Rounds of the fit, and the tasks that share it: the sample is small, so the
+# time goes into starting tasks.
+ROUNDS, FIT_TASKS = 12, 4
 # Text bytes described at once; its grams take about 40 times as much memory.
 GRAM_BYTES = 1 << 20
 # Hashed features: 2 ** BITS.
@@ -127,12 +130,12 @@ def fit(labelled: DataFrame, key: Column, sample_rows: int = SAMPLE_ROWS) -> Mod
         share = F.when(F.col("lang") == language, min(1.0, sample_rows / n)).otherwise(share)
     sample = rows.filter(draw < share).select("text", "lang")
     sample = sample.mapInArrow(_shares, "lang string, feature array<int>, share array<double>")
-    sample = cut_lineage(sample.select("lang", _vector("feature", "share").alias("features")))
+    sample = cut_lineage(sample.select("lang", _vector("feature", "share").alias("features"))).coalesce(FIT_TASKS)
 
     def separate(positive: Iterable[str], negative: Iterable[str], a: str, b: str) -> Machine:
         sides = sample.filter(F.col("lang").isin(*positive, *negative))
         sides = sides.withColumn("label", F.col("lang").isin(*positive).cast("double"))
-        fitted = LinearSVC(maxIter=25, regParam=1e-3, aggregationDepth=2).fit(sides)
+        fitted = LinearSVC(maxIter=ROUNDS, regParam=1e-3).fit(sides)
         return Machine(fitted.coefficients.toArray().astype(np.float32), float(fitted.intercept), a, b)
 
     between = [separate(families[a], families[b], a, b) for a, b in combinations(sorted(families), 2)]
@@ -223,6 +226,7 @@ def languages(
     texts are of it. Whole texts are read, repeated rows each; an empty table
     gives no rows; other columns are not read.
     """
+    short_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(learned(documents) if model is None else model)
     rows = documents.select(F.struct(*[documents[c] for c in keep]).alias("row"), "text")
     columns = ["row", *(["text"] if keep_text else [])]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import text_bytes, text_chunks
+from .common import short_batches, text_bytes, text_chunks
 from .components import components
 from .hyperminhash import (
     REGISTERS,
@@ -160,14 +160,17 @@ def _by_unit(connect: Callable[[pa.Table], np.ndarray]):
     return run
 
 
-def _connect_sketches(least: float):
+def _connect_sketches(percent: int):
     def connect(table: pa.Table) -> np.ndarray:
         registers = _registers(table.column("registers").combine_chunks())
         sizes = table.column("n_shingles").to_numpy()
 
         def linked(x: int, others: np.ndarray) -> np.ndarray:
-            same = np.broadcast_to(registers[x], (len(others), REGISTERS))
-            return may_be_similar(*estimate(same, registers[others], sizes[x], sizes[others]), least)
+            found = 100 * np.minimum(sizes[x], sizes[others]) >= percent * np.maximum(sizes[x], sizes[others])
+            close = others[found]
+            same = np.broadcast_to(registers[x], (len(close), REGISTERS))
+            found[found] = may_be_similar(*estimate(same, registers[close], sizes[x], sizes[close]), percent / 100)
+            return found
 
         return forest(len(sizes), linked)
 
@@ -202,10 +205,15 @@ def _in_units(rows: DataFrame, key: str, blocks: Column, connect) -> DataFrame:
 def _candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all classes of which a band and the estimate say that they may be similar."""
     least = percent / 100
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    members = cut_lineage(banded.join(shared, "band"))
-    pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.min_by("n_shingles", "node").alias("first_size")
+    )
+    members = cut_lineage(banded.join(shared.filter("n > 1"), "band"))
+    # Sets of too different sizes cannot be similar, whatever they hold.
+    smaller, larger = F.least("n_shingles", "first_size"), F.greatest("n_shingles", "first_size")
+    away, close = F.col("node") != F.col("first"), 100 * smaller >= percent * larger
+    pairs = members.filter(away & close).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
     def side(name: str) -> DataFrame:
         return nodes.select(
@@ -216,15 +224,17 @@ def _candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
     compared = cut_lineage(compared.mapInArrow(_compare_pairs(least), "a long, b long, similar boolean"))
     # Bands in which a class is unlike the first one: its likeness to the others is open.
     unlike = compared.filter(~F.col("similar")).select(F.col("a").alias("first"), F.col("b").alias("node"))
-    mixed_bands = members.filter("n > 2").join(unlike, ["first", "node"], "left_semi").select("band").distinct()
+    mixed_bands = members.filter("n > 2").join(unlike, ["first", "node"], "left_semi").select("band")
+    mixed_bands = mixed_bands.unionByName(members.filter((F.col("n") > 2) & away & ~close).select("band")).distinct()
     rest = members.filter("n > 2").join(mixed_bands, "band", "left_semi").select("band", "n", "node")
     rest = rest.join(nodes.select("node", "registers", "n_shingles"), "node")
-    inner = _in_units(rest, "band", F.ceil(F.col("n") / BAND_BLOCK), _connect_sketches(least)).distinct()
+    inner = _in_units(rest, "band", F.ceil(F.col("n") / BAND_BLOCK), _connect_sketches(percent)).distinct()
     return compared.filter("similar").select("a", "b").unionByName(inner.select("a", "b"))
 
 
 def _resolved(documents: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, text_key, n_shingles, root (of the component), component_id, kept for every row."""
+    short_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = cut_lineage(rows.mapInArrow(

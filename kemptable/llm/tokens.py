@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes, text_chunks
+from .common import short_batches, text_bytes, text_chunks
 
 # Distinct pieces a task remembers; beyond that it forgets them and goes on.
 REMEMBERED = 500_000
@@ -144,6 +144,7 @@ def token_counts(documents: DataFrame, vocabulary: str, limit: int = 2048) -> Da
     by one, so repeated rows, null ids and an empty table need no care; other
     columns are not read. A text is held whole, its distinct pieces once.
     """
+    short_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return (
