@@ -111,7 +111,11 @@ def mixed_sources(
     """
     row = F.struct(*[documents[c] for c in keep]).alias("row")
     size, digest = n_words(F.col("text")).alias("size"), F.md5("text").alias("digest")
-    docs = documents.select(row, "doc_id", "source", size, digest)
+    # Rows are numbered once, where they are written; only their numbers and sizes take part in the joins below.
+    rows = cut_lineage(
+        documents.select(row, "doc_id", "source", size, digest, F.monotonically_increasing_id().alias("place"))
+    )
+    docs = rows.drop("row")
     if quality is None:
         docs = docs.withColumn("weight", F.lit(0.5))
     else:
@@ -123,7 +127,7 @@ def mixed_sources(
     place = (F.lit(1.0) - F.exp(-F.col("key"))) * RANGES
     docs = docs.withColumn("range_1", F.least(F.floor(place), F.lit(RANGES - 1)))
     docs = docs.withColumn("range_2", F.least(F.floor((place - F.col("range_1")) * RANGES), F.lit(RANGES - 1)))
-    docs = cut_lineage(docs.select("row", "source", "source_key", "size", "key", "digest", "range_1", "range_2"))
+    docs = cut_lineage(docs.select("place", "source", "source_key", "size", "key", "digest", "range_1", "range_2"))
 
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
@@ -153,4 +157,5 @@ def mixed_sources(
     until = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     edge = placed.filter(at_edge).withColumn("more", until - F.col("size") / 2 <= F.col("rest"))
     taken = F.col("size") * (F.col("epochs") + F.col("more").cast("long"))
-    return clear.unionByName(edge).select("row", "size", "source_size", "target", taken.alias("taken"))
+    mixed = clear.unionByName(edge).select("place", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("place", "row").join(mixed, "place").drop("place")
