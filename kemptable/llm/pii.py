@@ -1,12 +1,16 @@
 """Sanitising personal data, and the terms that would give it away.
 
 Patterns find the protected entities. Masking them is not enough where a word
-beside them is rare and keeps their company: who reads the word knows the
-entity. How much a term discloses is estimated from the whole corpus as the
-pointwise mutual information of term and entity over the information content of
-the entity, 0 for an independent term and 1 for one that never occurs without
-it. In the documents that hold the entity, terms above one threshold are
-generalised and above a second one removed.
+of the same document keeps their company: who reads the word knows the entity.
+How much a term discloses is estimated from the whole corpus as the pointwise
+mutual information of term and entity over the information content of the
+entity, 0 for an independent term and 1 for one that never occurs without it.
+Single values are rare, so the same is asked of the entity's family (the domain
+of an address, the network, the issuer, the area) and of its kind. Counts are
+smoothed: of k different passages that hold the term beside such an entity, one
+counts for nothing, so a single passage and its copies prove nothing. In the
+documents that hold the entity, terms above one threshold are generalised and
+above a second one removed, wherever in the document they stand.
 """
 
 from __future__ import annotations
@@ -21,10 +25,8 @@ from .spans import MARKED, described, marked_spans, match_spans, merged, n_of, r
 # Shares of an entity's information at which a term is generalised and removed.
 GENERALISED_AT = 0.90
 REMOVED_AT = 0.97
-# Characters on either side of an entity whose whole words are its company.
-WINDOW = 100
-# Documents in which a term must keep an entity's company to count as evidence.
-LEAST_SUPPORT = 3
+# Words on either side of a term that make its passage.
+PASSAGE = 8
 
 
 def _digits(match: Column) -> Column:
@@ -69,83 +71,97 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _entity(span: Column) -> Column:
-    """One name for an entity however it is written."""
-    plain = F.when(span["kind"].isin("card", "phone"), _digits(span["match"])).otherwise(F.lower(span["match"]))
-    return F.concat_ws(":", span["kind"], plain)
+def _units(span: Column) -> Column:
+    """An entity, however it is written, its family and its kind, by name."""
+    kind, digits, lower = span["kind"], _digits(span["match"]), F.lower(span["match"])
+    plain = F.when(kind.isin("card", "phone"), digits).otherwise(lower)
+    family = (
+        F.when(kind == "email", F.substring_index(lower, "@", -1))
+        .when(kind == "ip", F.substring_index(lower, ".", 3))
+        .otherwise(F.substring(digits, 1, 6))
+    )
+    return F.array(F.concat_ws("=", kind, plain), F.concat_ws("~", kind, family), kind)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with as many blanks in place of each entity, so positions stay."""
+    return replaced(text, merged(spans), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+
+
+def _all_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
-
-
-def _company(text: Column, spans: Column, window: int) -> Column:
-    """(entity, term, context) of a document, each pair once."""
-    plain = replaced(text, merged(spans), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
-
-    def near(span: Column) -> Column:
-        begin = F.greatest(span["start"] - window, F.lit(0))
-        left = F.substring(plain, begin + 1, span["start"] - begin)
-        left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        right = F.substring(plain, span["end"] + 1, F.lit(window))
-        right = F.when(F.length(right) == window, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        both = F.concat_ws(" ", left, right)
-        return F.transform(
-            F.array_distinct(_words(both)),
-            lambda w: F.struct(_entity(span).alias("entity"), w.alias("term"), F.xxhash64(both).alias("context")),
-        )
+    return F.array_distinct(F.filter(_all_words(text), lambda w: F.length(w) >= 2))
+
 
-    return F.flatten(F.transform(spans, near))
+def _passages(words: Column) -> Column:
+    """(term, passage) of each place of a term."""
+    def near(word: Column, i: Column) -> Column:
+        begin = F.greatest(i - PASSAGE, F.lit(0))
+        passage = F.slice(words, begin + 1, i - begin + 1 + PASSAGE)
+        return F.struct(word.alias("term"), F.xxhash64(passage).alias("passage"))
+
+    return F.filter(F.transform(words, near), lambda p: F.length(p["term"]) >= 2)
 
 
 def disclosing_terms(
-    base: DataFrame, texts: DataFrame, generalised_at: float, removed_at: float, window: int, least_support: int
+    base: DataFrame, texts: DataFrame, generalised_at: float, removed_at: float
 ) -> tuple[DataFrame, DataFrame]:
-    """Pairs (row, entity, term) of the documents, and the (entity, term, ratio) that disclose.
+    """Pairs (row, unit, term) of the documents, and the (unit, term, ratio) that disclose.
 
     ``base`` has row, text and spans of the documents with entities; ``texts``
-    the text of all documents.
+    the text of all documents. A unit is an entity, a family or a kind. Units of
+    one document and terms that cannot reach the lower threshold with any unit
+    are left out before pairs are made, which changes no ratio that counts.
     """
-    pairs = cut_lineage(
-        base.filter(F.size("spans") > 0)
-        .select("row", F.explode(_company(F.col("text"), F.col("spans"), window)).alias("pair"))
-        .select("row", "pair.*")
+    least = min(generalised_at, removed_at)
+    held = base.filter(F.size("spans") > 0)
+    units = cut_lineage(
+        held.select("row", F.explode(F.array_distinct(F.flatten(F.transform("spans", _units)))).alias("unit"))
     )
-    entities = (
-        base.filter(F.size("spans") > 0)
-        .select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("n_entity"))
-        .filter(F.col("n_entity") >= least_support)
+    n_units = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n_unit")).filter("n_unit > 1")
+    words = held.select("row", _all_words(_blanked(F.col("text"), F.col("spans"))).alias("words"))
+    terms = cut_lineage(
+        words.select("row", F.explode(_passages(F.col("words"))).alias("p"))
+        .groupBy("row", "p.term").agg(F.min("p.passage").alias("passage"))
     )
-    # An entity that occurs twice in a document counts that document once.
-    together = (
-        pairs.groupBy("entity", "term")
-        .agg(
-            F.count(F.lit(1)).alias("n_seen"), F.min("context").alias("least"), F.max("context").alias("greatest"),
-        )
-        # Copies of one context are no evidence.
-        .filter((F.col("n_seen") >= least_support) & (F.col("least") != F.col("greatest")))
-        .select("entity", "term")
+    # Words inside entities are no terms, so they are taken off the counts of whole texts.
+    inside = held.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_raw"))
+    counts = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
+    n_texts = texts.count()
+    total = F.lit(float(n_texts))
+    among = terms.groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_any"), F.min("passage").alias("least"), F.max("passage").alias("greatest")
+    ).filter(F.col("least") != F.col("greatest"))
+    share = float(max(n_texts, 1)) ** (least - 1.0)
+    n_terms = cut_lineage(
+        among.join(counts, "term", "left").join(inside, "term", "left")
+        .withColumn("n_term", F.coalesce("n_all", F.lit(0)) - F.coalesce("n_raw", F.lit(0)) + F.col("n_any"))
+        .filter(F.col("n_any") >= F.col("n_term") * share * (1 - 1e-9))
+        .select("term", "n_term")
     )
-    both = (
-        pairs.join(together, ["entity", "term"], "left_semi")
-        .groupBy("row", "entity", "term").agg(F.lit(1).alias("one"))
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-        .filter(F.col("n_both") >= least_support)
+    kept_units = cut_lineage(units.join(n_units, "unit"))
+    pairs = cut_lineage(
+        terms.join(n_terms, "term").join(kept_units, "row").select("row", "unit", "n_unit", "term", "n_term", "passage")
     )
-    both = cut_lineage(both.join(entities, "entity"))
-    terms = (
-        texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_term"))
+    # Two steps, so that the passages of a very common pair are spread.
+    both = (
+        pairs.groupBy("unit", "term", "passage")
+        .agg(F.count(F.lit(1)).alias("n"), F.first("n_unit").alias("n_unit"), F.first("n_term").alias("n_term"))
+        .groupBy("unit", "term")
+        .agg(
+            F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("k"),
+            F.first("n_unit").alias("n_unit"), F.first("n_term").alias("n_term"),
+        )
+        .filter("k > 1")
     )
-    total = F.lit(float(texts.count()))
-    information = F.log2(total / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
-    ratio = F.when(information > 0, mutual / information).otherwise(0.0)
-    found = both.join(terms, "term").select("entity", "term", ratio.alias("ratio"))
-    return pairs, found.filter(F.col("ratio") >= min(generalised_at, removed_at))
+    prior = F.col("n_unit") / total
+    given = (F.col("n_both") / F.col("n_term") * (F.col("k") - 1) + prior) / F.col("k")
+    ratio = F.when(prior < 1, F.log2(given / prior) / -F.log2(prior)).otherwise(0.0)
+    found = both.select("unit", "term", ratio.alias("ratio"))
+    return pairs.select("row", "unit", "term"), found.filter(F.col("ratio") >= least)
 
 
 def personal_spans(
@@ -154,8 +170,6 @@ def personal_spans(
     keep_text: bool = False,
     generalised_at: float = GENERALISED_AT,
     removed_at: float = REMOVED_AT,
-    window: int = WINDOW,
-    least_support: int = LEAST_SUPPORT,
 ) -> DataFrame:
     """row, text, base, spans for every row of ``documents``.
 
@@ -163,7 +177,7 @@ def personal_spans(
     ``base`` are the sorted spans of the protected entities; ``spans`` adds the
     terms that disclose an entity of the same document, as ``generalised`` or
     ``removed``. Null texts are empty and hold nothing. Counts run over all rows,
-    repeated ones too, but a term needs two different contexts. Documents without
+    repeated ones too, but a term needs two different passages. Documents without
     entities are never touched; ``text`` is null for them unless ``keep_text``.
     An empty table gives no rows; other columns are not read.
     """
@@ -174,10 +188,10 @@ def personal_spans(
         found = found.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
     base = cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
     pairs, disclosing = disclosing_terms(
-        base, documents.select(text.alias("text")), generalised_at, removed_at, window, least_support
+        base, documents.select(text.alias("text")), generalised_at, removed_at
     )
     terms = cut_lineage(
-        pairs.join(disclosing, ["entity", "term"])
+        pairs.join(disclosing, ["unit", "term"])
         .groupBy("row", "term").agg(F.max("ratio").alias("ratio"))
         .groupBy("row")
         .agg(
@@ -191,14 +205,13 @@ def personal_spans(
     def term_spans(kind: str, order: int) -> Column:
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(kind, "|"), F.lit(r")(?!\p{L})"))
         spans = F.transform(
-            match_spans(F.col("text"), pattern),
+            match_spans(_blanked(F.col("text"), F.col("base")), pattern),
             lambda s: F.struct(
                 s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"),
                 F.lit(kind).alias("kind"), s["match"].alias("match"),
             ),
         )
-        free = F.filter(spans, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-        return F.when(F.coalesce(F.size(kind), F.lit(0)) > 0, free).otherwise(none)
+        return F.when(F.coalesce(F.size(kind), F.lit(0)) > 0, spans).otherwise(none)
 
     joined = joined.withColumnRenamed("spans", "base")
     spans = F.array_sort(F.concat("base", term_spans("generalised", len(KINDS)), term_spans("removed", len(KINDS) + 1)))

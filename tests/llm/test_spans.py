@@ -84,6 +84,29 @@ def test_partly_disclosing_terms_are_generalised(spark):
     assert {r["t"].split()[0] for r in rows} == {"[TERM]"}
 
 
+def cleaned(spark, texts):
+    found = personal_spans(documents(spark, texts), keep_text=True)
+    put = F.when(F.size("spans") > 0, sanitised(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return {r["doc_id"]: r["clean"] for r in found.select("row.doc_id", put.alias("clean")).collect()}
+
+
+def test_terms_beside_values_that_occur_once_are_found_by_family(spark):
+    draw = random.Random(15)
+    common = [a + b for a in "bdfgklmnprst" for b in ("an", "or", "et", "ul")]
+
+    def filler(n):
+        return " ".join(draw.choice(common) for _ in range(n))
+
+    texts = [f"{filler(12)} zorblatt {filler(5)} mail p{i}q@corp.example {filler(9)}" for i in range(10)]
+    texts += [f"{filler(12)} mail r{i}@site{i}.example {filler(9)}" for i in range(20)] + [filler(40) for _ in range(1500)]
+    clean = cleaned(spark, texts)
+    assert not [i for i in range(10) if "zorblatt" in clean[i]]
+    assert all(clean[i] == texts[i] for i in range(30, len(texts)))
+    # A word that occurs once proves nothing, nor does a common one.
+    kept = sum(w in clean[i].split() for i in range(30) for w in texts[i].split() if w in common)
+    assert kept == sum(w in common for i in range(30) for w in texts[i].split())
+
+
 def test_random_tokens_are_found_and_words_are_not(spark):
     draw = random.Random(9)
     keys = [base64.b64encode(draw.randbytes(60)).decode() for _ in range(30)]
