@@ -89,7 +89,7 @@ def _blanked(text: Column, spans: Column) -> Column:
 
 
 def _all_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _words(text: Column) -> Column:
@@ -203,7 +203,7 @@ def personal_spans(
     none = F.array().cast(f"array<{MARKED}>")
 
     def term_spans(kind: str, order: int) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(kind, "|"), F.lit(r")(?!\p{L})"))
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(kind, "|"), F.lit(r")(?![\p{L}\p{N}])"))
         spans = F.transform(
             match_spans(_blanked(F.col("text"), F.col("base")), pattern),
             lambda s: F.struct(

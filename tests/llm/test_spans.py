@@ -107,6 +107,20 @@ def test_terms_beside_values_that_occur_once_are_found_by_family(spark):
     assert kept == sum(w in common for i in range(30) for w in texts[i].split())
 
 
+def test_terms_far_from_the_entity_and_with_digits_are_found(spark):
+    draw = random.Random(16)
+    common = [a + b for a in "bdfgklmnprst" for b in ("an", "or", "et", "ul")]
+
+    def filler(n):
+        return " ".join(draw.choice(common) for _ in range(n))
+
+    texts = [f"{filler(9)} Zorblatt {filler(80)} badge B77X12 {filler(80)} jo@corp.example {filler(9)}" for _ in range(12)]
+    texts += [filler(150) for _ in range(800)]
+    clean = cleaned(spark, texts)
+    assert not [i for i in range(12) if "Zorblatt" in clean[i] or "B77X12" in clean[i]]
+    assert all(w in clean[i].split() for i in range(12) for w in texts[i].split() if w in common)
+
+
 def test_random_tokens_are_found_and_words_are_not(spark):
     draw = random.Random(9)
     keys = [base64.b64encode(draw.randbytes(60)).decode() for _ in range(30)]
