@@ -1,17 +1,20 @@
 """Secrets by patterns, and random strings by a battery of tests.
 
-A long token is taken for random where three tests say so with enough
-evidence: its symbols are used evenly (chi-squared over the alphabet that its
-characters suggest), the runs above and below the middle of the alphabet are as
-many as chance gives, and neighbours do not correlate. Each test asks whether
-the departure is smaller than that of ordinary words, so its p-value is small
-for random tokens and the more so the longer they are; the largest of the three
-counts. Among all tokens of one alphabet and similar length the share of false
-findings is held down by the rule of Benjamini and Hochberg.
+A long token is taken for random where it is not an ordinary one and passes for
+random. Ordinary tokens are words and identifiers: a chain of character classes
+with the letter frequencies of words, in two styles. The likelihood of a token as
+an ordinary one over its likelihood as evenly drawn symbols bounds the p-value
+(by Markov's inequality), which gets small at 20 characters already. Three
+tests must not speak against randomness: the symbols are used evenly
+(chi-squared over the alphabet that its characters suggest), the runs above and
+below the middle of the alphabet are as many as chance gives, and neighbours do
+not correlate. Among all tokens of one alphabet and similar length the share of
+false findings is held down by the rule of Benjamini and Hochberg.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -27,6 +30,8 @@ LEAST_TOKEN = 20
 P_STEPS, LAST_STEP = 20, 400
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+# Standard deviations from randomness beyond which a token does not pass for random.
+FAR = 4.0
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % LEAST_TOKEN
 
 
@@ -61,9 +66,40 @@ ENCODINGS = [
 _LOWERED = ("hex", "letters")
 
 
-def normal_share(z: Column) -> Column:
-    """Distribution function of the normal law, by a logistic curve (error below 2e-4)."""
-    return 1 / (1 + F.exp(-(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z)))
+# Ordinary tokens. Letters of words, parts in a thousand over some European languages.
+_LETTERS = dict(
+    a=85, e=120, i=75, o=75, u=35, y=15, b=16, c=32, d=40, f=19, g=21, h=40, j=4, k=12, l=42, m=27, n=70, p=22, q=2, r=63, s=64,
+    t=78, v=13, w=14, x=3, z=5,
+)
+_SEPARATORS = {"_": 0.35, "-": 0.30, "/": 0.30, "+": 0.05}
+# Chances of the next class: lower vowel, lower consonant, upper vowel, upper consonant, digit, separator.
+_MIXED = [
+    [0.14, 0.72, 0.01, 0.03, 0.03, 0.07], [0.54, 0.33, 0.01, 0.03, 0.03, 0.06], [0.10, 0.80, 0.02, 0.04, 0.02, 0.02],
+    [0.70, 0.22, 0.02, 0.03, 0.02, 0.01], [0.03, 0.06, 0.01, 0.04, 0.70, 0.16], [0.20, 0.50, 0.04, 0.11, 0.14, 0.01],
+]
+_CAPITALS = [
+    *_MIXED[:2], [0.01, 0.02, 0.14, 0.70, 0.03, 0.10], [0.01, 0.02, 0.50, 0.34, 0.03, 0.10],
+    [0.01, 0.04, 0.03, 0.06, 0.70, 0.16], [0.02, 0.05, 0.21, 0.55, 0.16, 0.01],
+]
+
+
+def _class(c: str) -> int:
+    if c.isalpha():
+        return 2 * c.isupper() + (c.lower() not in "aeiouy")
+    return 4 if c.isdigit() else 5
+
+
+def _emission(c: str) -> float:
+    """Bits (negative) of a character within its class."""
+    if c.isalpha():
+        return math.log2(_LETTERS[c.lower()] / sum(n for x, n in _LETTERS.items() if _class(x) == _class(c.lower())))
+    return math.log2(0.1) if c.isdigit() else math.log2(_SEPARATORS[c])
+
+
+# By character code: class and bits.
+_CODES = [chr(i) if chr(i).isascii() and (chr(i).isalnum() or chr(i) in _SEPARATORS) else None for i in range(128)]
+_CLASS = [_class(c) if c else 0 for c in _CODES]
+_EMISSION = [_emission(c) if c else 0.0 for c in _CODES]
 
 
 def _sum(values: Column) -> Column:
@@ -82,8 +118,30 @@ def _tested(spans: Column) -> Column:
         name = F.when(body.rlike("^[0-9]*$"), F.lit(None)).otherwise(name)  # plain numbers are no encoding
         return F.struct(
             span["start"].alias("start"), span["end"].alias("end"), name.alias("encoding"), alphabet.alias("alphabet"),
-            F.when(name.isin(*_LOWERED), F.lower(body)).otherwise(body).alias("body"),
+            F.when(name.isin(*_LOWERED), F.lower(body)).otherwise(body).alias("body"), body.alias("written"),
+        )
+
+    def listed(values: list) -> Column:
+        return F.array(*[F.lit(v) for v in values])
+
+    def codes(token: Column) -> Column:
+        return F.transform(F.filter(F.split(token["written"], ""), lambda c: c != ""), lambda c: F.ascii(c) + 1)
+
+    def gain(codes: Column, k: Column) -> Column:
+        """Bits by which even symbols explain a token better than either style of ordinary tokens."""
+        classes = F.transform(codes, lambda c: F.element_at(listed(_CLASS), c))
+        steps = F.zip_with(
+            F.slice(classes, F.lit(1), F.size(classes) - 1), F.slice(classes, F.lit(2), F.size(classes) - 1),
+            lambda a, b: 6 * a + b + 1,
         )
+        words = _sum(F.transform(codes, lambda c: F.element_at(listed(_EMISSION), c))) - math.log2(6)
+
+        def changes(style: list[list[float]]) -> Column:
+            bits = listed([math.log2(x) for row in style for x in row])
+            return _sum(F.transform(steps, lambda i: F.element_at(bits, i)))
+
+        styles = [changes(style) for style in (_MIXED, _CAPITALS)]
+        return -F.size(codes) * F.log2(k) - words - F.greatest(*styles)
 
     def valued(token: Column) -> Column:
         symbols = F.filter(F.split(token["body"], ""), lambda c: c != "")
@@ -92,6 +150,7 @@ def _tested(spans: Column) -> Column:
             token["start"].alias("start"), token["end"].alias("end"), token["encoding"].alias("encoding"),
             F.length(token["alphabet"]).cast("double").alias("k"), F.size(values).cast("double").alias("n"),
             values.alias("values"), (_sum(values) / F.size(values)).alias("mean"),
+            gain(codes(token), F.length(token["alphabet"])).alias("gain"),
         )
 
     def measured(token: Column) -> Column:
@@ -103,7 +162,7 @@ def _tested(spans: Column) -> Column:
         spread = F.transform(values, lambda v: (v - token["mean"]) * (v - token["mean"]))
         return F.struct(
             token["start"].alias("start"), token["end"].alias("end"), token["encoding"].alias("encoding"),
-            k.alias("k"), n.alias("n"),
+            k.alias("k"), n.alias("n"), token["gain"].alias("gain"),
             (k / n * _sum(squares) - n).alias("chi"),
             (_sum(changes) + 1).alias("runs"),
             _sum(F.transform(values, lambda v: (v >= k / 2).cast("double"))).alias("high"),
@@ -112,18 +171,17 @@ def _tested(spans: Column) -> Column:
 
     def judged(token: Column) -> Column:
         n, k = token["n"], token["k"]
-        # Half the unevenness of ordinary words, whose letters repeat with chance 0.065.
-        uneven = n * F.greatest(F.lit(0.4), (F.lit(0.065) * k - 1) / 2)
-        p_chi = normal_share((token["chi"] - (k - 1) - uneven) / F.sqrt(2 * (k - 1 + 2 * uneven)))
+        far_chi = (token["chi"] - (k - 1)) / F.sqrt(2 * (k - 1))
         both = 2 * token["high"] * (n - token["high"])
         spread = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        p_runs = normal_share((F.abs(token["runs"] - both / n - 1) - n / 4) / spread)
-        p_serial = normal_share((F.abs(token["serial"]) - 0.5) * F.sqrt(n))
-        p = F.greatest(p_chi, p_runs, p_serial, F.lit(1e-30))
+        far_runs = F.abs(token["runs"] - both / n - 1) / spread
+        far_serial = F.abs(token["serial"] + 1 / n) * F.sqrt(n)
+        passes = F.greatest(far_chi, far_runs, far_serial) <= FAR
+        step = F.least(F.floor(token["gain"] * (P_STEPS * math.log10(2))), F.lit(LAST_STEP))
         return F.struct(
             token["start"].alias("start"), token["end"].alias("end"),
             F.concat_ws(":", token["encoding"], F.floor(2 * F.log2(n))).alias("stratum"),
-            F.least(F.floor(-P_STEPS * F.log10(p)), F.lit(LAST_STEP)).cast("int").alias("step"),
+            F.when(passes, F.greatest(step, F.lit(0))).otherwise(0).cast("int").alias("step"),
         )
 
     tokens = F.filter(F.transform(spans, coded), lambda t: t["encoding"].isNotNull() & (F.length(t["body"]) >= LEAST_TOKEN))
@@ -138,7 +196,8 @@ def found_secrets(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     rows = rows.withColumn("base", F.array_sort(F.concat(*base)))
     tokens = F.when(F.col("text").rlike("[A-Za-z0-9+/_=-]{%d}" % LEAST_TOKEN), match_spans(F.col("text"), TOKEN))
     tokens = F.coalesce(tokens, F.array().cast("array<struct<start:int,end:int,match:string>>"))
-    return rows.select("row", "base", tokens.alias("tokens")).select("row", "base", _tested(F.col("tokens")).alias("tested"))
+    rows = rows.select("row", "base", tokens.alias("tokens"))
+    return rows.select("row", "base", _tested(F.col("tokens")).alias("tested"))
 
 
 def step_limits(found: DataFrame, false_share: float = FALSE_SHARE) -> dict[str, int]:
@@ -176,8 +235,22 @@ def secret_spans(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), fals
     def free(token: Column) -> Column:
         return ~F.exists("base", lambda b: (token["start"] < b["end"]) & (b["start"] < token["end"]))
 
-    random = F.transform(
+    flagged = F.array_sort(F.transform(
         F.filter("tested", lambda t: (t["step"] >= least(t)) & free(t)),
+        lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("low"), t["end"].alias("end")),
+    ))
+    none = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,low:int,end:int>>").alias("found"))
+
+    def widest(state: Column, t: Column) -> Column:
+        """Pieces of a run that counts itself are left out."""
+        within = t["end"] <= state["upto"]
+        return F.struct(
+            F.greatest(state["upto"], t["end"]).alias("upto"),
+            F.when(within, state["found"]).otherwise(F.concat(state["found"], F.array(t))).alias("found"),
+        )
+
+    random = F.transform(
+        F.aggregate(flagged, none, widest, lambda state: state["found"]),
         lambda t: F.struct(
             t["start"].alias("start"), F.lit(len(KINDS)).alias("order"), t["end"].alias("end"),
             F.lit("random").alias("kind"), F.lit("").alias("match"),

@@ -133,3 +133,34 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     hit = {r["doc_id"] for r in rows if any(s["kind"] == "random" for s in r["spans"])}
     assert len([i for i in hit if i < 60]) >= 50
     assert not [i for i in hit if i >= 60]
+
+
+ORDINARY = ["user", "name", "get", "config", "default", "service", "request", "handler", "update", "value", "index", "order", "image", "page"]
+
+
+def ordinary(draw, n):
+    """An identifier, slug or path of about n characters."""
+    style, parts = draw.randrange(4), []
+    while sum(map(len, parts)) + len(parts) < n:
+        parts.append(draw.choice(ORDINARY) if draw.random() < 0.9 else str(draw.randrange(2030)))
+    if style == 0:
+        return "".join(p.title() for p in parts)
+    return ["_", "-", "/"][style - 1].join(parts)
+
+
+def random_hits(spark, texts):
+    """Found pieces of the texts by document."""
+    rows = secret_spans(documents(spark, texts)).select("row.doc_id", "spans").collect()
+    return {r["doc_id"]: [texts[r["doc_id"]][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "random"] for r in rows}
+
+
+@pytest.mark.parametrize("size", [20, 32, 40])
+def test_rare_keys_are_found(spark, size):
+    """One key in a thousand ordinary tokens."""
+    draw = random.Random(size)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(draw.choice(symbols) for _ in range(size)) for _ in range(10)]
+    texts = [" ".join(ordinary(draw, size) for _ in range(100)) for _ in range(100)] + [f"x {k} y" for k in keys]
+    found = random_hits(spark, texts)
+    assert sum(found[100 + i] == [k] for i, k in enumerate(keys)) >= 9
+    assert sum(len(found[i]) for i in range(100)) <= 1
