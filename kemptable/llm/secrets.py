@@ -32,7 +32,10 @@ P_STEPS, LAST_STEP = 20, 400
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # Standard deviations from randomness beyond which a token does not pass for random.
 FAR = 4.0
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % LEAST_TOKEN
+# A run of token characters; '=' pads its end and begins the next.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:={1,6}+(?![A-Za-z0-9+/_=-]))?+" % LEAST_TOKEN
+# Pieces of a run between separators: words and paths are joined to keys by any of them.
+PIECES = [r"%s{%d,}+=*+" % (piece, LEAST_TOKEN) for piece in ("[^/=]", "[^_=-]", "[^+/=]", "[A-Za-z0-9]")]
 
 
 def _any(match: Column) -> Column:
@@ -188,15 +191,31 @@ def _tested(spans: Column) -> Column:
     return F.transform(F.transform(F.transform(tokens, valued), measured), judged)
 
 
+def _with_pieces(runs: Column) -> Column:
+    """The runs and their long pieces between separators, each once."""
+    def pieces(run: Column) -> Column:
+        inner = F.flatten(F.array(*[match_spans(run["match"], pattern) for pattern in PIECES]))
+        moved = F.transform(
+            inner,
+            lambda s: F.struct(
+                (s["start"] + run["start"]).alias("start"), (s["end"] + run["start"]).alias("end"), s["match"].alias("match")
+            ),
+        )
+        joined = F.array_distinct(F.concat(F.array(run), moved))
+        return F.when(run["match"].rlike("[+/_-]"), joined).otherwise(F.array(run))
+
+    return F.flatten(F.transform(runs, pieces))
+
+
 def found_secrets(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """row, base, tested for every row of ``documents``: pattern spans, and tokens with their test."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.struct(*[documents[c] for c in keep]).alias("row"), text.alias("text"))
     base = [marked_spans(F.col("text"), name, i, pattern, keep_, may(F.col("text"))) for i, (name, pattern, keep_, may) in enumerate(KINDS)]
     rows = rows.withColumn("base", F.array_sort(F.concat(*base)))
-    tokens = F.when(F.col("text").rlike("[A-Za-z0-9+/_=-]{%d}" % LEAST_TOKEN), match_spans(F.col("text"), TOKEN))
+    tokens = F.when(F.col("text").rlike("[A-Za-z0-9+/_-]{%d}" % LEAST_TOKEN), match_spans(F.col("text"), TOKEN))
     tokens = F.coalesce(tokens, F.array().cast("array<struct<start:int,end:int,match:string>>"))
-    rows = rows.select("row", "base", tokens.alias("tokens"))
+    rows = rows.select("row", "base", _with_pieces(tokens).alias("tokens"))
     return rows.select("row", "base", _tested(F.col("tokens")).alias("tested"))
 
 
@@ -221,7 +240,8 @@ def secret_spans(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), fals
 
     ``row`` is a struct of the columns ``keep``, so their names clash with none.
     ``base`` are the sorted spans of the patterns; ``spans`` adds the random
-    tokens that overlap none of them, as ``random``. Null texts are empty.
+    tokens that overlap none of them, as ``random``. A token is a whole run or a
+    piece of one between separators, the longest that counts. Null texts are empty.
     Tokens of all rows count in the control of false findings, repeated ones
     each time. An empty table gives no rows; other columns are not read.
     """

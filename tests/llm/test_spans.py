@@ -164,3 +164,22 @@ def test_rare_keys_are_found(spark, size):
     found = random_hits(spark, texts)
     assert sum(found[100 + i] == [k] for i, k in enumerate(keys)) >= 9
     assert sum(len(found[i]) for i in range(100)) <= 1
+
+
+def test_keys_joined_to_names_paths_and_urls_are_found(spark):
+    draw = random.Random(77)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(draw.choice(symbols) for _ in range(40))
+    coded = base64.b64encode(bytes([251, 239, 255]) + draw.randbytes(28)).decode()  # holds '+' and '/', ends in '='
+    assert "=" in coded and "+" in coded
+    forms = [
+        f"AWS_SECRET_ACCESS_KEY={key}", f"AUTH={key}", f"https://a.example/x?sig={coded}&v=1", f"AUTH={coded}",
+        f"user/config/{key}", f"my-service_live_{key}", f"a-b_c/{key}+more",
+    ]
+    texts = [" ".join(ordinary(draw, 30) for _ in range(100)) for _ in range(20)] + forms
+    found = random_hits(spark, texts)
+    for i, form in enumerate(forms):
+        hidden = coded if coded in form else key
+        assert [h for h in found[20 + i] if hidden in h], (form, found[20 + i])
+    assert found[20] == found[21] == [key] and found[22] == found[23] == [coded]
+    assert not any(found[i] for i in range(20))
