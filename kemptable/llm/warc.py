@@ -28,6 +28,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 LEAST_REVISIT = 100
 # Records in an archive file, so that the reader can hold a file.
 FILE_RECORDS = 4096
+# Why a gzip member stops short.
+CORRUPT, TORN = "broken gzip member", "gzip member without end"
+# Bytes of a damaged gzip member that are unpacked at once.
+UNPACK_BYTES = 1 << 10
 # Payload bytes the reader hands on at once.
 BATCH_BYTES = 8 << 20
 
@@ -149,35 +153,104 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, payload, end
 
 
-def _parse_member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """Records of the gzip member that begins at ``at``, and its end."""
+def _unpack(data: bytes, at: int) -> tuple[bytes, str | None, list[tuple[int, int]], int]:
+    """What comes out of the gzip member at ``at``, why it stops short, and its end.
+
+    A damaged member gives all that comes out before the damage; for those the
+    list has (bytes read, bytes out) on the way.
+    """
     unpack = zlib.decompressobj(wbits=31)
     try:
         plain = unpack.decompress(memoryview(data)[at:])
-    except zlib.error as problem:
-        raise Damaged("broken gzip member") from problem
-    if not unpack.eof:
-        raise Damaged("gzip member without end")
-    end = len(data) - len(unpack.unused_data)
-    records, place = [], 0
-    try:
-        while place < len(plain):
-            headers, payload, place = parse_record(plain, place)
-            records.append((headers, payload))
-    except Damaged as problem:
-        raise Damaged(problem.reason, end) from problem
+        if unpack.eof:
+            return plain, None, [], len(data) - len(unpack.unused_data)
+        return plain, TORN, [(len(data) - at, len(plain))], len(data)
+    except zlib.error:
+        pass
+    # Once more in short steps, the last one byte by byte.
+    unpack, out, n, steps = zlib.decompressobj(wbits=31), [], 0, []
+    for begin in range(at, len(data), UNPACK_BYTES):
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(data[begin:begin + UNPACK_BYTES]))
+        except zlib.error:
+            try:
+                for place in range(begin, len(data)):
+                    out.append(before.decompress(data[place:place + 1]))
+                    n += len(out[-1])
+                    steps.append((place + 1 - at, n))
+            except zlib.error:
+                break
+        n += len(out[-1])
+        steps.append((begin + UNPACK_BYTES - at, n))
+    return b"".join(out), CORRUPT, steps, len(data)
+
+
+def _digests(headers: dict[str, str]) -> list[str]:
+    """The digests that parse_record holds against the bytes of a record."""
+    names = ["warc-block-digest", *(["warc-payload-digest"] if headers.get("warc-type") != "revisit" else [])]
+    return [headers.get(name, "") for name in names]
+
+
+def _frames(data: bytes) -> Iterator[tuple[int, int, str | None, list[tuple[dict[str, str], bytes]]]]:
+    """(start, end, reason, records) of plain records and the gaps between them."""
+    at, gap, reason = 0, None, None
+    while at < len(data):
+        try:
+            headers, payload, end = parse_record(data, at)
+        except Damaged as problem:
+            if gap is None:
+                gap, reason = at, problem.reason
+            at = data.find(VERSION_MARK, problem.end or at + 1)
+            at = len(data) if at < 0 else at
+            continue
+        if gap is not None:
+            yield gap, at, reason, []
+            gap = None
+        yield at, end, None, [(headers, payload)]
+        at = end
+    if gap is not None:
+        yield gap, len(data), reason, []
+
+
+def _parse_member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], list[str], int]:
+    """Records of the gzip member that begins at ``at``, first failed checks of the gaps in it, and its end.
+
+    The end of a damaged member is not known; it is that of its last whole
+    record, as far as that can be told, and the search goes on from there.
+    """
+    plain, broken, steps, end = _unpack(data, at)
+    records, gaps, until = [], [], 0
+    for _, stop, reason, found in _frames(plain):
+        # In a corrupt stream wrong bytes may come out long before the error, so a digest must vouch for a record.
+        if found and broken == CORRUPT and not any(d.startswith("sha256:") for d in _digests(found[0][0])):
+            reason, found = "no digest in a broken gzip member", []
+        records += found
+        if reason is None:
+            until = stop
+        elif not (broken and stop == len(plain)):
+            gaps.append(reason)
     if not records:
-        raise Damaged("empty gzip member", end)
-    return records, end
+        raise Damaged(broken or (gaps[0] if gaps else "empty gzip member"), None if broken else end)
+    if broken:
+        end = max((at + read for read, out in steps if out <= until), default=at + 1)
+    return records, [*gaps, *([broken] if broken else [])], end
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, list[tuple[dict[str, str], bytes]]]]:
-    """(start, end, reason, records): whole records, and gaps, which have a reason and no records."""
+    """(start, end, reason, records): whole records, and gaps, which have a reason and no records.
+
+    Gaps inside a gzip member have the place of the member.
+    """
     at, gap, reason = 0, None, None
     while at < len(data):
+        inside: list[str] = []
         try:
             if data.startswith(GZIP_MARK, at):
-                records, end = _parse_member(data, at)
+                records, inside, end = _parse_member(data, at)
+                if inside and inside[-1] in (CORRUPT, TORN):
+                    marks = [m for m in (data.find(VERSION_MARK, end), data.find(GZIP_MARK, end)) if m >= 0]
+                    end = min(marks, default=len(data))
             else:
                 headers, payload, end = parse_record(data, at)
                 records = [(headers, payload)]
@@ -192,6 +265,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, list[tuple[dict
             yield gap, at, reason, []
             gap = None
         yield at, end, None, records
+        for problem in inside:
+            yield at, end, problem, []
         at = end
     if gap is not None:
         yield gap, len(data), reason, []
@@ -229,7 +304,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Files may hold plain records, gzip members or both. A record has headers
     (names in lower case) and its payload without HTTP headers; ``start`` and
-    ``end`` are its bytes, those of its member where compressed. A gap has the
+    ``end`` are its bytes, those of its member where compressed. Inside a member
+    the search is the same, also in what comes out before a member breaks off;
+    its gaps have the bytes of the member; from a corrupt one only records with
+    a digest are taken. A gap has the
     first failed check as ``gap`` and no headers. Where a record's frame is
     whole but a digest differs, the gap is that record; else the search goes on
     at the next byte. Empty files give no rows. A task holds one file at a

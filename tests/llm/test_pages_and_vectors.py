@@ -63,6 +63,36 @@ def test_salvage_recovers_later_records(packed):
     assert [a for a, *_ in parts[1:]] == [b for _, b, *_ in parts[:-1]]  # nothing is skipped unsaid
 
 
+def test_salvage_inside_a_member():
+    """Many records in one member: a bad digest, a broken header, a torn and a corrupt member."""
+    draw = random.Random(4)
+    bodies = [f"body {i} ".encode() + draw.randbytes(3000) for i in range(40)]
+    whole = [record(b) for b in bodies]
+    bad = [*whole[:10], whole[10].replace(b"body 10", b"BODY 10"), *whole[11:20], whole[20].replace(b"Content-Length", b"Content Length"), *whole[21:]]
+
+    def read(data):
+        parts = list(salvage(data))
+        return [p for _, _, _, found in parts for _, p in found], [(a, b, r) for a, b, r, _ in parts if r]
+
+    member = gzip.compress(b"".join(bad), mtime=0)
+    got, gaps = read(member)
+    assert got == [b for i, b in enumerate(bodies) if i not in (10, 20)]
+    assert gaps == [(0, len(member), "warc-payload-digest differs"), (0, len(member), "no content length")]
+
+    member = gzip.compress(b"".join(whole), mtime=0)
+    torn = member[:len(member) // 2]
+    got, gaps = read(torn)
+    assert got == bodies[:len(got)] and 15 <= len(got) <= 20
+    assert gaps == [(0, len(torn), "gzip member without end")]
+
+    for level in (0, 6):  # stored records are visible in the bytes of a member
+        first = gzip.compress(b"".join(whole[:30]), level, mtime=0)
+        later = b"".join(gzip.compress(r, mtime=0) for r in whole[30:])
+        got, gaps = read(first[:len(first) // 2] + later)  # torn, then other members
+        assert got[-10:] == bodies[30:] and got[:-10] == bodies[:len(got) - 10] and len(got) >= 20
+        assert gaps and gaps[0][0] == 0
+
+
 def test_salvage_of_noise():
     draw = random.Random(1)
     for _ in range(200):
