@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
@@ -73,6 +75,47 @@ TEXTS = {
     "Zlib": _ZLIB,
 }
 
+# Licences whose whole texts are files of the folder license_files.
+FILES = [
+    "Apache-2.0", "Artistic-1.0-Perl", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1",
+    "LGPL-3.0", "MPL-1.1", "MPL-2.0",
+]
+
+# Standard headers, each known as a whole, and in Apache's and Mozilla's the line that names the licence.
+_APACHE_LINE = 'Licensed under the Apache License, Version 2.0 (the "License");'
+_GNU_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version.\n"
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details."
+)
+_GNU_END = "\nYou should have received a copy of the GNU {} along with this program. If not, see <https://www.gnu.org/licenses/>."
+HEADERS = [
+    ("Apache-2.0", _APACHE_LINE),
+    (
+        "Apache-2.0",
+        _APACHE_LINE + " you may not use this file except in compliance with the License. You may obtain a copy of the License at\n"
+        "http://www.apache.org/licenses/LICENSE-2.0\n"
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS '
+        'IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+        "language governing permissions and limitations under the License.",
+    ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    *[
+        (key, _GNU_HEADER.format(name, version, name) + end.format(name))
+        for key, name, version in (
+            ("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3),
+            ("LGPL-3.0", "Lesser General Public License", 3), ("AGPL-3.0", "Affero General Public License", 3),
+        )
+        for end in ("", _GNU_END)
+    ],
+]
+
 # Licence -> names by which notices call it.
 NAMES = {
     "MIT": ["MIT", "MIT License"],
@@ -108,6 +151,8 @@ NOTICES = [
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text) of every whole text and notice."""
+    """(licence, text) of every whole text, header and notice."""
+    folder = resources.files(__package__).joinpath("license_files")
+    whole = [(name, folder.joinpath(f"{name}.txt").read_text("utf-8")) for name in FILES]
     notices = [(key, form.format(name)) for key, names in NAMES.items() for name in names for form in NOTICES]
-    return [*TEXTS.items(), *notices]
+    return [*TEXTS.items(), *whole, *HEADERS, *notices]

@@ -179,6 +179,18 @@ def test_licences(spark):
     assert licenses.license_scan(documents(spark, [])).count() == 0
 
 
+def test_whole_licences_and_headers(spark):
+    known = dict(reversed(licenses.known_texts()))
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    assert all(len(known[name]) > 5000 for name in names)
+    line = 'Licensed under the Apache License, Version 2.0 (the "License");'
+    texts = [known[name].replace("\n", "\r\n  ").upper() for name in names]
+    texts += [known["GPL-3.0"] + " but", f"/* Copyright 2020 Someone\n * {line}\n * you may not use this file */"]
+    rows = {r["doc_id"]: r for r in licenses.license_scan(documents(spark, texts)).collect()}
+    assert [rows[i]["license"] for i in range(len(texts))] == [*names, None, None]
+    assert (rows[len(texts) - 1]["n_notices"], rows[len(texts) - 1]["notices"]) == (1, "Apache-2.0")
+
+
 def test_mixing(spark):
     draw = random.Random(8)
     texts = awkward_texts() + [" ".join(["w"] * draw.randrange(1, 60)) for _ in range(600)]
