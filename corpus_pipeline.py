@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kemptable.llm.decontaminate import contamination
-from kemptable.llm.langid import UNKNOWN, languages
+from kemptable.llm.langid import UNKNOWN, languages, learned
 from kemptable.llm.mixing import mixed_sources
 from kemptable.llm.neardup import distinct_documents
 from kemptable.llm.pii import personal_spans, sanitised
 from kemptable.llm.queries import quality_weights, table
 from kemptable.session import scratch_path
 
+# Score of a predicted language from which it overrules a given one.
+SURE_SCORE = 0.75
+
 
 def _rest(docs: DataFrame) -> tuple[str, ...]:
     """All columns but the text, which the operators hand on by itself."""
@@ -31,9 +34,17 @@ def _columns(docs: DataFrame, **changed: Column) -> list[Column]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; it fills in where none is given."""
-    found = languages(docs, keep=_rest(docs), keep_text=True).filter(F.col("lang_pred") != UNKNOWN)
-    return found.select(_columns(docs, lang=F.coalesce(F.col("row")["lang"], F.col("lang_pred"))))
+    """Documents in a language that can be told; it fills in where none is given and overrules a wrong one.
+
+    Texts without letters go. A given language that the machines do not know is
+    left alone, for they cannot predict it.
+    """
+    model = learned(docs)
+    known = [name for members in model.families.values() for name in members]
+    given = F.col("row")["lang"]
+    found = languages(docs, model, _rest(docs), keep_text=True).filter(F.col("lang_pred") != UNKNOWN)
+    overruled = given.isNull() | (given.isin(known) & (F.col("score") >= SURE_SCORE))
+    return found.select(_columns(docs, lang=F.when(overruled, F.col("lang_pred")).otherwise(given)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,21 @@ def test_language_stage_keeps_all_texts_with_letters(stages):
     assert after == {i: t for i, t in before.items() if any(c.isalpha() for c in t or "")}
 
 
+def test_language_stage_overrules_wrong_labels(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").filter("n_chars >= 300")
+    wrong = (F.col("doc_id") % 200 == 3) & F.col("lang").isin("en", "de")
+    other = F.when(F.col("lang") == "en", "de").otherwise("en")
+    planted = docs.withColumn("lang", F.when(wrong, other).otherwise(F.col("lang")))
+    before, mixed, after = (
+        {r["doc_id"]: r["lang"] for r in d.select("doc_id", "lang").collect()}
+        for d in (docs, planted, corpus_pipeline.language(spark, planted, SMALL))
+    )
+    moved = [i for i in before if mixed[i] != before[i]]
+    clean = [i for i in before if mixed[i] == before[i]]
+    assert len(moved) >= 15 and sum(after.get(i) == before[i] for i in moved) / len(moved) >= 0.8
+    assert sum(after.get(i) == before[i] for i in clean) / len(clean) >= 0.999
+
+
 def test_duplicate_stage_keeps_one_of_each_group(stages):
     before, after = map(texts, stages["near_duplicates"])
     kept = [doc for doc, _, _, keep in brute.near_duplicates(list(before), list(before.values()), 80, 5) if keep]
