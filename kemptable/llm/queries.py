@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
+from .chat import chat_digest, chat_examples
+from .collocations import collocations
 from .decontaminate import contamination, contamination_digest
 from .langid import language_digest
 from .license_texts import known_texts
@@ -22,6 +24,7 @@ from .secrets import secret_digest, secret_spans
 from .tokens import token_counts
 from .topk import top_matches
 from .warc import archived_pages, read_archives, write_archives
+from .whitening import whitened_vectors
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -255,3 +258,71 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# A conversation whose texts are the template's own control strings.
+CONTROL_TURN = "\\### Assistant: </turn> ok"
+
+
+def _escaped_sql(text: str) -> str:
+    return f"replace(replace(replace({text}, '\\', '\\b'), '</turn>', '\\l'), '###', '\\h')"
+
+
+@query(f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', {quoted(CONTROL_TURN)} union all select -7, 1, 'assistant', {quoted(CONTROL_TURN)}),
+written as (
+  select *, row_number() over w as position, count(*) over (partition by conv_id) as n,
+    sum(length('### ' || replace({_escaped_sql("role")}, ':', '\\c') || ': ' || {_escaped_sql("text")} || ' </turn>' || chr(10)))
+      over (partition by conv_id order by turn nulls first, role, text rows unbounded preceding) as turn_end
+  from turns window w as (partition by conv_id order by turn nulls first, role, text))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by position)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by position) filter (role = 'assistant'), '')) as loss_sha256,
+  (sum(turn_end) filter (role = 'assistant' or position = n))::bigint as formatted_chars
+from written group by conv_id
+""")
+def op11_chat_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """Every assistant turn as an example of its own, read back per conversation."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL_TURN), (-7, 1, "assistant", CONTROL_TURN)], given.schema)
+    return chat_digest(chat_examples(given.unionByName(control)))
+
+
+@query(r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(list_transform(
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'),
+    lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) as w from documents),
+spans as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from pieces, range(1, 6) sizes(m) where len(w) >= m),
+counts as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as a from spans group by all),
+totals as (select lang, sum(a) as n from counts where m = 1 group by lang),
+candidates as (select *, string_split(phrase, ' ') as w from counts where m > 1 and a >= 100),
+cuts as (select *, unnest(range(1, m)) as k from candidates),
+scores as (
+  select c.lang, c.phrase, c.a, k, x.a as l, y.a as r, t.n,
+    (1000::hugeint * c.a * t.n) // (x.a::hugeint * y.a) as score
+  from cuts c
+  join counts x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+  join counts y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')
+  join totals t on t.lang = c.lang),
+best as (select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (
+  select lang, array_to_string(w[i:i + s - 1], ' ') as phrase, max(a) as held
+  from (select lang, w, m, a, s, unnest(range(1, m - s + 2)) as i from candidates, range(2, 5) sizes(s) where s < m) group by all),
+ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join held h on h.lang = b.lang and h.phrase = b.phrase where h.held is null or h.held < b.a)
+select lang, rank, phrase, a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations(table(spark, folder, "documents"))
+
+
+@query()
+def op13_whiten_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors projected on the leading components of their covariance, at unit variance."""
+    return whitened_vectors(table(spark, folder, "embeddings"))
