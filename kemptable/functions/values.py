@@ -255,8 +255,10 @@ def format_shapes(fmt: str) -> list[str]:
     for part in re.findall(r"'T'|SSSSSS|XXX|M{3,4}|yyyy|MM|dd|HH|mm|ss|[MdHms]|.", fmt):
         if part in ("'T'", "SSSSSS", "XXX"):
             ways = {"'T'": ["T"], "SSSSSS": ["9"], "XXX": ["Z"]}[part]
-        elif part in ("MMM", "MMMM"):
-            ways = [part]
+        elif part == "MMMM":
+            ways = ["MMMM", "MMM"]  # May is its own short form; the parser refuses the other short ones
+        elif part == "MMM":
+            ways = ["MMM"]
         elif part in "MdHms":
             ways = ["9", "99"]
         else:

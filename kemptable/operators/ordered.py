@@ -1,58 +1,62 @@
 """Operators that compare a row with the one before it, per key.
 
-A window over a key puts all its rows into one task. The order axis is
-therefore cut into segments of similar size; each (key, segment) is
-sorted on its own, and one carry row per segment brings in the last value and
-the row count of the segments before it.
+A window over a key puts all its rows into one task. Here the rows are
+range-partitioned by the key and all order columns, so that the segments are
+alike in size whatever the keys and the ties of the first column. Each
+segment is numbered on its own. A key that goes on from one segment into the
+next is the first key there, so one carry row per segment brings in its last
+value and its row count from the segments before.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import require_columns
 from ..functions.values import present_col, ref
 from ..session import cut_lineage
 
-# The order axis is cut into segments of about this many rows.
-SEGMENT_ROWS = 2_000_000
-
-
-def order_position(df: DataFrame, name: str) -> Column:
-    """A double that never decreases as the column increases; nulls come first."""
-    dtype, column = df.schema[name].dataType, ref(name)
-    if isinstance(dtype, T.TimestampNTZType):
-        column = F.unix_micros(column.cast("timestamp"))
-    elif isinstance(dtype, T.TimestampType):
-        column = F.unix_micros(column)
-    elif isinstance(dtype, T.DateType):
-        column = F.unix_date(column)
-    elif isinstance(dtype, T.BooleanType):
-        column = column.cast("int")
-    elif not isinstance(dtype, T.NumericType):
-        head = F.rpad(F.hex(F.substring(F.encode(column.cast("string"), "UTF-8"), 1, 6)), 12, "0")
-        column = F.conv(head, 16, 10)
-    position = column.cast("double")
-    return F.when(position.isNull(), float("-inf")).when(F.isnan(position), float("inf")).otherwise(position)
-
-
-def _segmented(df: DataFrame, first: str, rows: int, segment_rows: int) -> DataFrame:
-    """Add ``_segment``: equal-depth buckets of the order axis."""
-    pieces = max(1, math.ceil(rows / segment_rows))
-    placed = df.withColumn("_position", order_position(df, first))
-    points = [i / pieces for i in range(1, pieces)] or [0.0]
-    cuts = placed.agg(F.percentile_approx("_position", points, 10 * pieces).alias("cuts")).first()["cuts"] or []
-    inner = sorted({c for c in cuts if math.isfinite(c)})
-    if not inner:
-        return placed.drop("_position").withColumn("_segment", F.lit(0.0))
-    bucketizer = Bucketizer(
-        splits=[float("-inf"), *inner, float("inf")], inputCol="_position", outputCol="_segment"
+
+def _partitions(df: DataFrame, pieces: int | None) -> int:
+    return pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _carries(cut: DataFrame, key: Column, order: Column, kept: Column) -> DataFrame:
+    """(_segment, _first, _offset, _carried): what earlier segments hold of each segment's first key.
+
+    Two rows per segment meet in the window at the end, however many rows or
+    keys the table has.
+    """
+    ends = cut_lineage(
+        cut.groupBy("_segment").agg(
+            F.min(key).alias("_first"), F.max(key).alias("_last"), F.max_by(kept, F.struct(key, order)).alias("_kept")
+        )
+    )
+    is_last = key.eqNullSafe(F.col("_last"))
+    sizes = cut.join(F.broadcast(ends.select("_segment", "_last")), "_segment").filter(is_last)
+    sizes = sizes.groupBy("_segment").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = ends.select("_segment", F.col("_first").alias("_key"), F.lit(0).alias("_end"))
+    lasts = ends.join(sizes, "_segment").select(
+        "_segment", F.col("_last").alias("_key"), F.lit(1).alias("_end"), "_n", F.struct("_kept").alias("_kept")
+    )
+    both = firsts.unionByName(lasts, allowMissingColumns=True)
+    before = Window.partitionBy("_key").orderBy("_segment", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.select(
+        "_segment", F.col("_key").alias("_first"), "_end",
+        F.sum("_n").over(before).alias("_offset"),
+        F.last("_kept", ignorenulls=True).over(before).getField("_kept").alias("_carried"),
+    )
+    return carried.filter((F.col("_end") == 0) & F.col("_offset").isNotNull()).drop("_end")
+
+
+def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """The rows with ``_segment``, the number of their range of (keys, order); written, so that it can not change."""
+    names = [ref(c) for c in dict.fromkeys([*keys, *order])]
+    return cut_lineage(
+        df.repartitionByRange(_partitions(df, pieces), *names).withColumn("_segment", F.spark_partition_id())
     )
-    return bucketizer.transform(placed).drop("_position")
 
 
 def with_previous(
@@ -60,42 +64,35 @@ def with_previous(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    segment_rows: int = SEGMENT_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add ``step`` (1, 2, … per key) and ``prev``, a struct of earlier values.
 
     ``prev`` is null on the first row of a key. ``order`` must be unique within
-    a key for the answer to be the same every time.
+    a key for the answer to be the same every time. The table is read twice,
+    for the bounds of the ``pieces`` segments (as many as shuffle partitions by
+    default) and for its rows, which are written once in their segments.
     """
     require_columns(df, [*keys, *order, *values])
+    pieces = _partitions(df, pieces)
     kept = F.struct(*[ref(v).alias(v) for v in values])
-    cut = _segmented(df, order[0], df.count(), segment_rows)
-    key_columns = [ref(k) for k in keys]
-    ends = cut.groupBy(*key_columns, F.col("_segment")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max_by(kept, F.struct(*[ref(o) for o in order])).alias("_last"),
-    )
-    earlier = Window.partitionBy(*key_columns).orderBy("_segment")
-    carry = ends.select(
-        *key_columns,
-        "_segment",
-        F.lag("_last").over(earlier).alias("_kept"),
-        F.coalesce(
-            F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
-        F.lit(0).alias("_kind"),
+    key = F.struct(*[ref(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    cut = segments(df, keys, order, pieces)
+    carries = _carries(cut, key, F.struct(*[ref(o) for o in order]), kept)
+    # The rows of a segment stay together, and the window needs no other exchange.
+    window = Window.partitionBy("_segment", *[ref(k) for k in keys]).orderBy(*[ref(o) for o in order])
+    placed = cut.repartitionById(pieces, F.col("_segment")).select(
+        *[ref(c) for c in df.columns], "_segment",
+        F.row_number().over(window).alias("_place"), F.lag(kept).over(window).alias("_lag"),
     )
-    marked = cut.withColumn("_kept", kept).withColumn("_kind", F.lit(1))
-    window = Window.partitionBy(*key_columns, F.col("_segment")).orderBy("_kind", *[ref(o) for o in order])
-    joined = marked.unionByName(carry, allowMissingColumns=True)
-    # The carry row is the first of its segment: row numbers are one too high.
-    numbered = joined.select(
+    # One row per segment at most.
+    joined = placed.join(F.broadcast(carries), "_segment", "left")
+    goes_on = F.col("_offset").isNotNull() & key.eqNullSafe(F.col("_first"))
+    return joined.select(
         *[ref(c) for c in df.columns],
-        "_kind",
-        (F.row_number().over(window) - 1 + F.first("_offset").over(window)).alias("step"),
-        F.lag("_kept").over(window).alias("prev"),
+        (F.col("_place") + F.when(goes_on, F.col("_offset")).otherwise(0)).cast("long").alias("step"),
+        F.when(goes_on & (F.col("_place") == 1), F.col("_carried")).otherwise(F.col("_lag")).alias("prev"),
     )
-    return numbered.filter(F.col("_kind") == 1).drop("_kind")
 
 
 def number_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], **options) -> DataFrame:
@@ -134,7 +131,7 @@ def distinct_ranks(df: DataFrame, column: str, pieces: int | None = None) -> Dat
     task runs again.
     """
     (name,) = require_columns(df, [column])
-    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = _partitions(df, pieces)
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     values = df.select(present_col(df, name).alias("value")).filter("value is not null").distinct()
     placed = cut_lineage(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import ref
-from .ordered import SEGMENT_ROWS, with_previous
+from .ordered import with_previous
 
 DEFAULT_TTL_SECONDS = 1800
 
@@ -47,14 +47,14 @@ def trace_report(
     requirements: DataFrame | None = None,
     flags: DataFrame | None = None,
     repeat_node: str = "reflect",
-    segment_rows: int = SEGMENT_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Per run: steps, repeats, verdict changes, first and last time, last verdict.
 
     ``requirements`` (run, id, status) and ``flags`` (run, …) add the number of
     failed requirements and of flagged metrics.
     """
-    marked = with_previous(trace, [run], order, [ok], segment_rows)
+    marked = with_previous(trace, [run], order, [ok], pieces)
     changed = (F.col("step") > 1) & ~ref(ok).eqNullSafe(F.col("prev").getField(ok))
     report = marked.groupBy(ref(run)).agg(
         F.count(F.lit(1)).alias("steps"),

@@ -1,24 +1,27 @@
 """Streaming forms of counts, profiles, change feeds and the quality gate.
 
-Counts and profiles use Spark's own stateful aggregates. Change feeds and the
-gate run per micro-batch with the batch operators, so a key that holds most of
-a batch is split there as it is in batch jobs.
+Counts and profiles use Spark's own stateful aggregates, change feeds keep a
+value per key in the state store, and the gate runs per micro-batch with the
+batch operators.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
-from ..functions.columns import require_columns
+from ..functions.columns import InvalidArgs, require_columns
 from ..functions.values import canonical_col, number_col, ref
-from ..operators.ordered import SEGMENT_ROWS, with_previous
 from ..operators.profile import column_quality_metrics
 from ..operators.quality import quality_flags, quarantine
 from ..session import scratch_path
 
+# Fixed value: the store that keeps state on disk and writes the changed keys of a batch.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(
     spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", files_per_trigger: int | None = None
@@ -87,6 +90,47 @@ def stream_profile(
     )
 
 
+class _Changes(StatefulProcessor):
+    """Keeps the last value of every key, and when it may be forgotten."""
+
+    def __init__(self, names: Sequence[str], order: Sequence[str], value: str, state: T.StructType, expire_ms: int | None):
+        self.n, self.row, self.state, self.expire_ms = len(names), Row(*names), state, expire_ms
+        self.order, self.value = [names.index(c) for c in order], names.index(value)
+
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", self.state)
+
+    def handleInputRows(self, key, rows, timerValues):
+        def place(row):
+            return [(x is not None, x != x, x) for x in (row[i] for i in self.order)]
+
+        def same(a, b):
+            return a == b or (a is not None and a != a and b != b)
+
+        kept = self.last.get()
+        value, until = kept if kept is not None else (None, None)
+        latest = until
+        for row in sorted(rows, key=place):
+            if not same(row[self.value], value):
+                yield self.row(*row[: self.n])
+            value = row[self.value]
+            if self.expire_ms is not None and row[self.n] is not None:
+                latest = max(latest or 0, row[self.n] + self.expire_ms)
+        if latest != until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(latest)
+        if kept is None or latest != until or not same(kept[0], value):
+            self.last.update((value, latest))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_changes_only(
     stream: DataFrame,
     keys: Sequence[str],
@@ -94,47 +138,45 @@ def stream_changes_only(
     value: str,
     output: str,
     state: str | None = None,
-    segment_rows: int = SEGMENT_ROWS,
+    time: str | None = None,
+    delay: str = "1 day",
+    expire: datetime.timedelta | None = None,
 ) -> DataStreamWriter:
-    """Rows whose value differs from the last one of their key, to parquet.
-
-    Each batch is compared within itself and, on the first row of a key, with
-    the last value kept from earlier batches. A batch writes its output to a
-    folder named after it and reads the state of the batch before it, so a batch
-    that runs again replaces its own files. The state is one row per key; three
-    folders hold it in turn. Rows must not arrive out of order across batches. ``state`` belongs to
-    one query. Start the returned writer.
+    """Rows whose value differs from the last one of their key, to parquet files.
+
+    The last value of each key is in Spark's state store (RocksDB), in
+    ``state`` with the offsets: a batch writes the state of its own keys, and
+    only where it changed, and a query that starts again goes on from there.
+    The first row of a key comes out unless its value is null. Rows must not
+    arrive out of order across batches. A key's rows of one batch are sorted in
+    one task, so bound the batches (``files_per_trigger``) as memory asks for.
+    With ``expire`` a key is forgotten when the watermark of ``time`` (``delay``
+    behind the newest row) is that long past its newest row; rows behind the
+    watermark are left out then. Start the returned writer.
     """
-    spark = stream.sparkSession
-    state = state or scratch_path(spark, "state")
-    kept = [*keys, value, "_seen"]
-    schema = T.StructType([*[stream.schema[c] for c in kept[:-1]], T.StructField("_seen", T.LongType())])
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        if batch_id == 0:
-            before = session.createDataFrame([], schema)
-        else:
-            before = session.read.schema(schema).parquet(f"{state}/slot-{(batch_id - 1) % 3}")
-        marked = with_previous(batch, keys, order, [value], segment_rows).persist()
-        first = marked.filter("step = 1")
-        earlier = before.select(*[ref(k).alias(f"_key{i}") for i, k in enumerate(keys)], ref(value).alias("_earlier"))
-        same_key = [ref(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-        known = first.join(earlier, same_key, "left").filter(~ref(value).eqNullSafe(F.col("_earlier")))
-        later = marked.filter((F.col("step") > 1) & ~ref(value).eqNullSafe(F.col("prev").getField(value)))
-        columns = [ref(c) for c in batch.columns]
-        known.select(*columns).unionByName(later.select(*columns)).write.mode("overwrite").parquet(
-            f"{output}/batch={batch_id}"
-        )
-        newest = marked.groupBy(*[ref(k) for k in keys]).agg(
-            F.max_by(ref(value), F.col("step")).alias(value), F.lit(batch_id).cast("long").alias("_seen")
-        )
-        before.unionByName(newest).groupBy(*[ref(k) for k in keys]).agg(
-            F.max_by(ref(value), F.col("_seen")).alias(value), F.max("_seen").alias("_seen")
-        ).write.mode("overwrite").parquet(f"{state}/slot-{batch_id % 3}")
-        marked.unpersist()
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint")
+    spark, names = stream.sparkSession, list(stream.columns)
+    require_columns(stream, [*keys, *order, value])
+    if expire is not None and time is None:
+        raise InvalidArgs("expire needs a time column")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    kept = T.StructType([T.StructField("value", stream.schema[value].dataType), T.StructField("until", T.LongType())])
+    millis = None
+    plain = [f"c{i}" for i in range(len(names))]  # the state function takes no names with dots
+    short = dict(zip(names, plain))
+    rows = stream.toDF(*plain)
+    schema = rows.schema
+    if expire is not None:
+        millis = int(expire.total_seconds() * 1000)
+        at = F.col(short[time]).cast("timestamp")
+        rows = rows.withColumn("millis", F.unix_millis(at)).withColumn("at", at).withWatermark("at", delay)
+    changes = rows.groupBy(*[short[k] for k in keys]).transformWithState(
+        _Changes(plain, [short[o] for o in order], short[value], kept, millis), schema, "Append",
+        "None" if expire is None else "EventTime",
+    )
+    return (
+        changes.toDF(*names).writeStream.format("parquet").option("path", output).outputMode("append")
+        .option("checkpointLocation", f"{state or scratch_path(spark, 'state')}/checkpoint")
+    )
 
 
 def stream_quality_gate(

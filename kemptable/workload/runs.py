@@ -22,7 +22,7 @@ def changes_only_events(t):
 @query(CHANGES_SQL, ("trace",))
 def changes_only_segments(t):
     """The same by the path long inputs take: every key cut along time."""
-    return ordered.changes_only(t.trace, ["run_id"], ["ts", "event_id"], "node", segment_rows=500)
+    return ordered.changes_only(t.trace, ["run_id"], ["ts", "event_id"], "node", pieces=60)
 
 
 @query(STEPS_SQL, ("trace",))
@@ -32,7 +32,7 @@ def numbered_steps(t):
 
 @query(STEPS_SQL, ("trace",))
 def numbered_steps_segments(t):
-    steps = ordered.number_steps(t.trace, ["run_id"], ["ts", "event_id"], segment_rows=500)
+    steps = ordered.number_steps(t.trace, ["run_id"], ["ts", "event_id"], pieces=60)
     return steps.select("run_id", "event_id", "step")
 
 

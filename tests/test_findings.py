@@ -67,7 +67,7 @@ def test_hot_and_missing_keys_keep_every_row(spark, keys):
 def test_many_segments(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 7).alias("v"))
     one = rows(ordered.with_previous(df, ["k"], ["id"], ["v"]).select("k", "id", "step", "prev.v"))
-    many = rows(ordered.with_previous(df, ["k"], ["id"], ["v"], segment_rows=9).select("k", "id", "step", "prev.v"))
+    many = rows(ordered.with_previous(df, ["k"], ["id"], ["v"], pieces=5).select("k", "id", "step", "prev.v"))
     assert one == many and len(one) == 500
 
 

@@ -1,9 +1,9 @@
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from conftest import rows
 from kemptable.operators import quality as Q, runs as R
-from kemptable.operators.ordered import changes_only, number_steps, verdict_transitions, with_previous
+from kemptable.operators.ordered import changes_only, number_steps, segments, verdict_transitions, with_previous
 
 METRICS = [
     ("Cabin", "missing", 12.0), ("Cabin", "empty", 0.0), ("Age", "missing", 3.0), ("Age", "placeholder", 5.0),
@@ -133,12 +133,28 @@ def feed(spark, n=3000):
 def test_segments_give_the_same_answer(spark, order):
     df = feed(spark).withColumn("name", F.format_string("%08d", "t")).withColumn("at", F.timestamp_seconds("t"))
     plain = with_previous(df, ["k"], [order, "id"], ["v"])
-    cut = with_previous(df, ["k"], [order, "id"], ["v"], segment_rows=100)
+    cut = with_previous(df, ["k"], [order, "id"], ["v"], pieces=9)
+    window = Window.partitionBy("k").orderBy(order, "id")
+    want = df.select("id", F.row_number().over(window).alias("step"), F.lag("v").over(window).alias("p"))
+    assert rows(cut.select("id", "step", F.col("prev.v").alias("p"))) == rows(want)
     columns = ["id", "step", F.col("prev.v").alias("p"), F.col("prev").isNull().alias("none")]
     assert rows(cut.select(*columns)) == rows(plain.select(*columns))
     assert sorted(cut.columns) == sorted(plain.columns)
 
 
+def test_one_key_with_one_first_value_is_cut_evenly(spark):
+    """Neither the key nor the first order column can tell the rows apart."""
+    df = spark.range(60_000).select(F.lit("k").alias("k"), F.lit(7).alias("day"), (F.col("id") * 7919 % 60_000).alias("id"), (F.col("id") % 5).alias("v"))
+    sizes = sorted(r["count"] for r in segments(df, ["k"], ["day", "id"], 12).groupBy("_segment").count().collect())
+    assert len(sizes) == 12 and sizes[-1] <= 2 * sizes[6]
+    window = Window.partitionBy("k").orderBy("day", "id")
+    want = df.select("id", F.row_number().over(window).alias("step"), F.lag("v").over(window).alias("p"))
+    got = with_previous(df, ["k"], ["day", "id"], ["v"], pieces=12).select("id", "step", F.col("prev.v").alias("p"))
+    assert rows(got) == rows(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(k#" not in plan and "Exchange hashpartitioning(_segment#" not in plan.split("Window", 1)[1].split("BroadcastExchange")[0]
+
+
 def test_changes_and_transitions(spark):
     given = [("r", 1, True), ("r", 2, True), ("r", 3, False), ("r", 4, None), ("s", 1, None), ("s", 2, False)]
     df = spark.createDataFrame(given, "run_id string, i int, ok boolean")
