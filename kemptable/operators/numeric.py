@@ -77,6 +77,35 @@ def moments(df: DataFrame, columns: Sequence[str], points: Mapping[str, Sequence
     }
 
 
+def _slot(slot: str, v: Column | None = None, s: Column | None = None, g: Column | None = None) -> Column:
+    """A row of the long form: a number, or a text with the number it is kept for."""
+    parts = {"slot": F.lit(slot), "v": v, "s": s, "g": g}
+    kinds = {"slot": "string", "v": "double", "s": "string", "g": "double"}
+    return F.struct(*[(F.lit(None) if c is None else c).cast(kinds[k]).alias(k) for k, c in parts.items()])
+
+
+class ValueCounts:
+    """Values of text columns to be counted in one pass: slot -> (text, number).
+
+    ``counted`` has (slot, s, cnt, least, most): how often each text is there
+    and the range of the numbers beside it.
+    """
+
+    def __init__(self, columns: Mapping[str, tuple[Column, Column | None]]):
+        self.columns, self.counted = dict(columns), None
+
+    def slots(self) -> list[Column]:
+        return [_slot(name, s=text, g=number) for name, (text, number) in self.columns.items()]
+
+    def count(self, df: DataFrame) -> None:
+        """Count now, where no other pass has done it."""
+        if self.counted is None and self.columns:
+            long = df.select(F.inline(F.array(*self.slots()))).filter("s is not null")
+            self.counted = cut_lineage(long.groupBy("slot", "s").agg(
+                F.count(F.lit(1)).alias("cnt"), F.min("g").alias("least"), F.max("g").alias("most")
+            ))
+
+
 def sketch(value: Column, points: Sequence[float], slack: float = SLACK) -> Column:
     """The values a little before and after each quantile, by a sketch."""
     around = [min(1.0, max(0.0, x)) for p in points for x in (p - slack, p + slack)]
@@ -89,12 +118,14 @@ def quantiles(
     known: Mapping[str, dict] | None = None,
     accuracy: int | None = None,
     piece_values: int = PIECE_VALUES,
+    texts: ValueCounts | None = None,
 ) -> dict[tuple[str, float], float | None]:
     """Quantiles with linear interpolation, exact unless ``accuracy`` is given.
 
     ``known`` may carry the result of :func:`moments` for the same columns and
-    points. The moments and one more pass give the answer.
-    With ``accuracy`` the answer is ``percentile_approx`` in a single pass.
+    points. The moments and one more pass give the answer; the same pass counts
+    the values of ``texts``. With ``accuracy`` the answer is
+    ``percentile_approx`` in a single pass.
     """
     columns = [c for c in wanted if wanted[c]]
     if not columns:
@@ -124,7 +155,8 @@ def quantiles(
         # group reads its own columns only.
         for first in range(0, len(open_columns), COLUMN_GROUP):
             brackets = {c: _merge(cuts[c]) for c in open_columns[first : first + COLUMN_GROUP]}
-            found.update(_read_ranks(df, brackets, ranks - set(found), piece_values))
+            found.update(_read_ranks(df, brackets, ranks - set(found), piece_values, texts))
+            texts = None
         slack, cuts = slack * WIDEN, dict.fromkeys(columns)  # only for ranks a bracket missed
     result: dict[tuple[str, float], float | None] = {}
     for name in columns:
@@ -162,7 +194,8 @@ def _merge(cuts: Sequence[float]) -> list[tuple[float, float]]:
 
 
 def _read_ranks(
-    df: DataFrame, brackets: Mapping[str, list], ranks: set[tuple[str, int]], piece_values: int
+    df: DataFrame, brackets: Mapping[str, list], ranks: set[tuple[str, int]], piece_values: int,
+    texts: ValueCounts | None = None,
 ) -> dict[tuple[str, int], float]:
     """The values at those ranks that lie inside a bracket; one pass over the data.
 
@@ -170,17 +203,29 @@ def _read_ranks(
     brackets and are only counted, odd ones are brackets and counted by value.
     """
     columns = list(brackets)
-    wide = df.select(*[number_col(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    long = wide.unpivot([], wide.columns, "slot", "v").filter("v is not null")
+    if texts is None:
+        wide = df.select(*[number_col(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+        long = wide.unpivot([], wide.columns, "slot", "v").filter("v is not null")
+    else:
+        numbers = [_slot(f"c{i}", v=number_col(df, c)) for i, c in enumerate(columns)]
+        long = df.select(F.inline(F.array(*numbers, *texts.slots()))).filter("v is not null or s is not null")
     region = F.lit(None).cast("int")
     for i, name in enumerate(columns):
         place = F.lit(2 * len(brackets[name]))
         for k, (low, high) in reversed(list(enumerate(brackets[name]))):
             place = F.when(F.col("v") < low, 2 * k).when(F.col("v") <= high, 2 * k + 1).otherwise(place)
         region = F.when(F.col("slot") == f"c{i}", place).otherwise(region)
-    placed = long.select("slot", "v", region.alias("region"))
     inside = F.when(F.col("region") % 2 == 1, F.col("v"))
-    counted = cut_lineage(placed.groupBy("slot", "region", inside.alias("v")).agg(F.count(F.lit(1)).alias("cnt")))
+    placed = long.withColumn("region", region)
+    if texts is None:
+        counted = cut_lineage(placed.groupBy("slot", "region", inside.alias("v")).agg(F.count(F.lit(1)).alias("cnt")))
+    else:
+        both = placed.groupBy("slot", "region", inside.alias("v"), "s").agg(
+            F.count(F.lit(1)).alias("cnt"), F.min("g").alias("least"), F.max("g").alias("most")
+        )
+        both = cut_lineage(both)
+        texts.counted = both.filter("region is null")
+        counted = both.filter("region is not null").select("slot", "region", "v", "cnt")
     totals = {
         (r["slot"], r["region"]): (r["rows"], r["distinct"])
         for r in counted.groupBy("slot", "region")

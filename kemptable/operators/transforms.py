@@ -4,6 +4,7 @@ plan as literals, so a cleaned table is one scan and filters reach the files."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -33,6 +34,16 @@ MOST_CATEGORIES = 200
 DATE_PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth}
 
 
+@dataclass
+class Statistics:
+    """What steps may be told instead of finding it: by column, by (column, point) for quantiles."""
+
+    moments: dict[str, dict] = field(default_factory=dict)
+    quantiles: dict[tuple[str, float], float | None] = field(default_factory=dict)
+    modes: dict[str, object] = field(default_factory=dict)
+    categories: dict[str, list[str]] = field(default_factory=dict)
+
+
 class UnmappedValues(ValueError):
     """The column holds values that the mapping does not cover."""
 
@@ -52,21 +63,25 @@ def most_frequent(df: DataFrame, column: str):
     return None if row is None else row["value"]
 
 
-def fill_missing(df: DataFrame, rules: Mapping[str, object], accuracy: int | None = None) -> DataFrame:
+def fill_missing(
+    df: DataFrame, rules: Mapping[str, object], accuracy: int | None = None, known: Statistics | None = None
+) -> DataFrame:
     """Fill missing values: ``mean``, ``median``, ``mode`` or ``("const", v)`` per column."""
     names = dict(zip(require_columns(df, list(rules)), rules.values()))
     averaged = [c for c, rule in names.items() if rule in ("mean", "median")]
     points = {c: [0.5] for c in averaged if names[c] == "median"}
-    known = moments(df, averaged, points)
-    middles = quantiles(df, points, known=known, accuracy=accuracy)
+    told = known or Statistics()
+    found = {**moments(df, [c for c in averaged if c not in told.moments], points), **told.moments}
+    open_points = {c: p for c, p in points.items() if (c, 0.5) not in told.quantiles}
+    middles = {**quantiles(df, open_points, known=found, accuracy=accuracy), **told.quantiles}
     fillers: dict[str, object] = {}
     for name, rule in names.items():
         if rule == "mean":
-            fillers[name] = known[name]["mean"]
+            fillers[name] = found[name]["mean"]
         elif rule == "median":
             fillers[name] = middles[(name, 0.5)]
         elif rule == "mode":
-            fillers[name] = most_frequent(df, name)
+            fillers[name] = told.modes[name] if name in told.modes else most_frequent(df, name)
         elif isinstance(rule, (tuple, list)) and len(rule) == 2 and rule[0] == "const":
             fillers[name] = rule[1]
         else:
@@ -89,6 +104,7 @@ def remove_outliers(
     lower_quantile: float | None = None,
     clip: bool = False,
     accuracy: int | None = None,
+    known: Statistics | None = None,
 ) -> DataFrame:
     """Drop, or clip, the values beyond the quantiles; rows without a value go.
 
@@ -97,7 +113,9 @@ def remove_outliers(
     """
     (name,) = require_columns(df, [column])
     points = [q for q in (lower_quantile, upper_quantile) if q is not None]
-    limits = quantiles(df, {name: points}, accuracy=accuracy)
+    limits = dict(known.quantiles) if known else {}
+    if not all((name, q) in limits for q in points):
+        limits = quantiles(df, {name: points}, accuracy=accuracy)
     low = limits.get((name, lower_quantile))
     high = limits.get((name, upper_quantile))
     value = present_col(df, name) if is_number_type(df.schema[name].dataType) else number_col(df, name)
@@ -124,7 +142,8 @@ def remove_outliers(
 
 
 def one_hot(
-    df: DataFrame, column: str, max_categories: int = MOST_CATEGORIES, keep: bool = True
+    df: DataFrame, column: str, max_categories: int = MOST_CATEGORIES, keep: bool = True,
+    known: Statistics | None = None,
 ) -> DataFrame:
     """One 0/1 column per category, named ``<column>_<value>``.
 
@@ -133,14 +152,16 @@ def one_hot(
     """
     (name,) = require_columns(df, [column])
     text = canonical_col(df, name)
-    found = (
-        df.select(text.alias("value")).filter("value is not null").distinct().limit(max_categories + 1).collect()
-    )
+    if known and name in known.categories:
+        found = known.categories[name]
+    else:
+        values = df.select(text.alias("value")).filter("value is not null").distinct()
+        found = [row["value"] for row in values.limit(max_categories + 1).collect()]
     if len(found) > max_categories:
         raise InvalidArgs(f"{name} has more than {max_categories} categories")
     flags = [
         F.coalesce((text == F.lit(v)).cast("int"), F.lit(0)).alias(f"{name}_{v}")
-        for v in sorted(row["value"] for row in found)
+        for v in sorted(found)
     ]
     kept = [ref(c) for c in df.columns if keep or c != name]
     return df.select(*kept, *flags)
@@ -199,16 +220,19 @@ def cast_failures(df: DataFrame, spec: Mapping[str, str]) -> DataFrame:
     ])
 
 
-def scale(df: DataFrame, columns: Sequence[str], how: str = "standard", suffix: str = "") -> DataFrame:
+def scale(
+    df: DataFrame, columns: Sequence[str], how: str = "standard", suffix: str = "", known: Statistics | None = None
+) -> DataFrame:
     """Standard (mean 0, sample deviation 1) or min-max scaling.
 
     A column without spread becomes 0.0. ``suffix`` keeps the original column.
     """
     names = require_columns(df, columns)
-    known = moments(df, names)
+    told = known.moments if known else {}
+    found = {**moments(df, [c for c in names if c not in told]), **told}
     scaled = {}
     for name in names:
-        m = known[name]
+        m = found[name]
         if how == "standard":
             shift, width = m["mean"], m["std"]
         elif how == "minmax":

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SMALL, rows
 from kemptable.functions.columns import InvalidArgs
 from kemptable.operators import joins, transforms as X
-from kemptable.plans.recipe import run_recipe
+from kemptable.plans.recipe import STEPS, run_recipe
+from kemptable.workload.cleaning import RECIPE
 
 
 def test_fill_rules(spark):
@@ -120,6 +121,54 @@ def test_image_columns(spark):
     assert X.image_column_to_path(df, "raw").columns == ["image"]
 
 
+def by_hand(df, steps):
+    for step in steps:
+        df = STEPS[step["op"]](df, **step["args"])
+    return df
+
+
+RECIPES = [
+    [("rename", {"columns": {"a": "p"}}), ("fill_missing", {"rules": {"b": "mean", "s": "mode"}}), ("remove_outliers", {"column": "p", "upper_quantile": 0.9}), ("one_hot", {"column": "c"}), ("date_parts", {"column": "d"})],
+    [("fill_missing", {"rules": {"a": "median", "b": ("const", 1.5)}}), ("scale", {"columns": ["a", "b"]}), ("scale", {"columns": ["e"], "how": "minmax", "suffix": "_x"})],
+    [("remove_outliers", {"column": "a", "upper_quantile": 0.8, "lower_quantile": 0.1}), ("one_hot", {"column": "c"}), ("fill_missing", {"rules": {"b": "mean"}})],
+    [("remove_outliers", {"column": "a", "upper_quantile": None, "lower_quantile": 0.6}), ("one_hot", {"column": "c", "keep": False}), ("scale", {"columns": ["b"]})],
+    [("remove_outliers", {"column": "t", "upper_quantile": 0.7}), ("one_hot", {"column": "s"}), ("drop_missing_rows", {"columns": ["b"]}), ("scale", {"columns": ["b"]})],
+    [("remove_outliers", {"column": "a", "clip": True}), ("scale", {"columns": ["a"]}), ("one_hot", {"column": "c"}), ("ordinal_encode", {"column": "c"}), ("fill_missing", {"rules": {"c_c0": "mean", "b": "mean"}})],
+    [("fill_missing", {"rules": {"e": "mode"}}), ("null_tokens", {"columns": ["s"]}), ("fill_missing", {"rules": {"s": "mode", "e": "mean"}}), ("select", {"columns": ["e", "s", "b"]}), ("scale", {"columns": [" 'b' "]})],
+    [("safe_strings", {"columns": [" 's' "]}), ("one_hot", {"column": "s"}), ("cast_types", {"spec": {"t": "double"}}), ("scale", {"columns": ["t", "e"]})],
+]
+
+
+@pytest.mark.parametrize("number", range(len(RECIPES)))
+def test_recipes_with_shared_statistics_equal_the_steps_one_by_one(spark, number):
+    made = spark.range(400).select(
+        F.when(F.col("id") % 13 > 0, F.col("id") * 7919 % 400).alias("a"), F.when(F.col("id") % 5 > 0, (F.col("id") % 97) / 3).alias("b"),
+        F.when(F.col("id") * 7919 % 400 > 385, "rare").when(F.col("id") % 13 == 0, "gone").otherwise(F.concat(F.lit("c"), F.col("id") % 3)).alias("c"),
+        F.date_add(F.lit("2024-01-30").cast("date"), (F.col("id") % 90).cast("int")).alias("d"), (F.col("id") % 11).alias("e"),
+        F.when(F.col("id") % 7 > 3, "NA").when(F.col("id") % 7 > 1, "x").when(F.col("id") % 7 > 0, "y").alias("s"), F.format_string("%d.5", F.col("id") % 50).alias("t"),
+    )
+    steps = [{"op": op, "args": args} for op, args in RECIPES[number]]
+    got, _ = run_recipe(made, steps)
+    want = by_hand(made, steps)
+    assert got.columns == want.columns
+    rounded = [F.round(f"`{c}`", 9).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in want.dtypes]
+    assert rows(got.select(*rounded)) == rows(want.select(*rounded))
+
+
+def test_a_recipe_reads_its_table_three_times(spark):
+    """Moments; quantiles with the values beside them; the result."""
+    lineitem, seen = spark.read.parquet(f"{SMALL}/lineitem.parquet"), spark.sparkContext.accumulator(0)
+    total = lineitem.count()
+
+    def count_rows(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    cleaned, _ = run_recipe(lineitem.mapInArrow(count_rows, lineitem.schema), RECIPE)
+    assert 0 < cleaned.count() <= total and seen.value == 3 * total
+
+
 def test_recipe_follows_renames(spark):
     df = spark.createDataFrame([(" 1", "x"), ("bad", None)], [' "n" ', "s"])
     cleaned, metrics = run_recipe(df, [
