@@ -4,5 +4,5 @@ Each query reads whole tables. Views such as ``events_nulled`` are defined once
 as select lists and used by both sides, because the test tables hold no nulls.
 """
 
-from . import cleaning, files, gate, profiling, runs, streams  # noqa: F401
+from . import cleaning, files, gate, profiling, runs, sketches, streams  # noqa: F401
 from .registry import oracle_sql, queries  # noqa: F401
