@@ -117,9 +117,10 @@ def top_values(sketches: DataFrame, by: Sequence[str | Column] = (), k: int = 20
     (0.75 of the bound on either side of a merge), counts are exact.
     """
     groups = [ref(c) if isinstance(c, str) else c for c in by]
-    merged = sketches.groupBy(*groups).agg(
+    # A key even without groups: Spark's combine fails on a partition without rows in a global aggregate.
+    merged = sketches.groupBy(*groups, F.lit(0).alias("_all")).agg(
         F.sum("rows").alias("rows"), F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(tracked)).alias("sketch")
-    )
+    ).drop("_all")
     found = merged.withColumn("top", F.call_function("approx_top_k_estimate", F.col("sketch"), F.lit(k)))
     kept = [c for c in merged.columns if c != "sketch"]
     off = F.ceil(F.col("rows") / F.lit(0.375 * tracked))
