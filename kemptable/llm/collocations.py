@@ -237,16 +237,14 @@ def prefix_counts(texts: DataFrame, cutter, depth: int) -> DataFrame:
     return texts.mapInArrow(count, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
-def same_rows(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of one of each set of equal rows, and how many there are; ``columns`` has an array per column."""
-    code = np.zeros(columns.shape[1], np.int64)
-    for column in columns:
-        values, own = np.unique(column, return_inverse=True)
-        # Codes stay below the number of rows, so the product fits 64 bits.
-        _, first, code, n = np.unique(
-            code * len(values) + own, return_index=True, return_inverse=True, return_counts=True
-        )
-    return first, n
+def merged_rows(columns: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each set of equal rows and the sum of their ``n``; ``columns`` has an array per column."""
+    order = np.lexsort(columns)
+    columns = columns[:, order]
+    new = np.ones(len(n), bool)
+    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    return columns[:, first], np.add.reduceat(n[order], first)
 
 
 def subtree(columns: np.ndarray, depth: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -309,14 +307,32 @@ def frequent_phrases(
     schema = f"group int, depth byte, {', '.join(f'{x} long' for x in names)}, n long"
 
     def deal(batches):
-        for table, prefix, depth in cutter.value.columns(batches):
-            first, n = same_rows(np.vstack([table, depth.astype(np.uint64)]))
-            group = groups.value[prefix[first] >> np.uint64(64 - bits)]
-            columns = [pa.array(row[first].view(np.int64)) for row in table]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group), pa.array(depth[first]), *columns, pa.array(n)], names=["group", "depth", *names, "n"]
+        held, counts, size = [], [], 0
+
+        def table(columns, n):
+            group, depth, *rest = columns
+            return pa.RecordBatch.from_arrays(
+                [pa.array(group.astype(np.int32)), pa.array(depth.astype(np.int8)),
+                 *[pa.array(np.ascontiguousarray(row).view(np.int64)) for row in rest], pa.array(n)],
+                names=["group", "depth", *names, "n"],
             )
 
+        for suffixes, prefix, depth in cutter.value.columns(batches):
+            group = groups.value[prefix >> np.uint64(64 - bits)]
+            rows = np.vstack([group.astype(np.uint64), depth.astype(np.uint64), suffixes])
+            rows, n = merged_rows(rows, np.ones(rows.shape[1], np.int64))
+            held.append(rows)
+            counts.append(n)
+            size += len(n)
+            if size > 4 * HELD_WORDS:
+                rows, n = merged_rows(np.hstack(held), np.concatenate(counts))
+                held, counts, size = [rows], [n], len(n)
+                if size > 2 * HELD_WORDS:
+                    yield table(rows, n)
+                    held, counts, size = [], [], 0
+        if held:
+            yield table(*merged_rows(np.hstack(held), np.concatenate(counts)))
+
     def count(table: pa.Table) -> pa.Table:
         columns = np.vstack([table.column(x).to_numpy() for x in names])
         ids, totals = [], []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kemptable.llm.chat import chat_digest, chat_examples, read_turns
 from kemptable.llm.collocations import (
-    Marks, collocations, frequent_words, marks_of, same_rows, subtree, words_and_ends,
+    Marks, collocations, frequent_words, marks_of, merged_rows, subtree, words_and_ends,
 )
 from kemptable.llm.whitening import Centre, shifted_factor, solved, whitened_vectors
 
@@ -154,9 +154,9 @@ def test_marks_and_subtrees(spark):
     assert marks.has(np.arange(6, 1000, dtype=np.uint64)).sum() == 0
     assert not Marks(np.zeros(8, np.uint8)).has(np.arange(64, dtype=np.uint64)).any()
     rows = np.array([[1, 2, 0, 0, 0], [1, 2, 3, 0, 0], [1, 2, 0, 0, 0], [4, 4, 4, 4, 4]]).T
-    first, n = same_rows(rows)
-    assert sorted(zip(rows[0, first].tolist(), rows[2, first].tolist(), n.tolist())) == [(1, 0, 2), (1, 3, 1), (4, 4, 1)]
-    found = {tuple(p): int(t) for _, ps, ts in subtree(rows[:, first], np.full(3, 2), n, 2) for p, t in zip(ps.T.tolist(), ts)}
+    merged, n = merged_rows(rows, np.ones(4, np.int64))
+    assert sorted(zip(merged[0].tolist(), merged[2].tolist(), n.tolist())) == [(1, 0, 2), (1, 3, 1), (4, 4, 1)]
+    found = {tuple(p): int(t) for _, ps, ts in subtree(merged, np.full(3, 2), n, 2) for p, t in zip(ps.T.tolist(), ts)}
     assert found == {(1, 2): 3}
     assert words_and_ends([b"A b.c", b"d"]) == [b"a", b"b", b".", b"c", b".", b"d", b"."]
 
