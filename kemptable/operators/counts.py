@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import InvalidArgs, choose_columns, other_columns, require_columns
 from ..functions.values import canonical_col, canonical_value, ref
@@ -51,21 +51,27 @@ def value_counts_many(
     names, ceilings = require_columns(df, columns), ceilings or {}
     # Texts are made in a projection of their own: the tags read them twice.
     texts = df.select(*[canonical_col(df, c, limit).alias(f"c{i}") for i, c in enumerate(names)])
-    tags = []
-    for i, name in enumerate(names):
-        value = F.col(f"c{i}")
-        tagged = F.concat(F.lit(LISTED), value)
-        if name in ceilings:
-            tagged = F.when(value > F.lit(ceilings[name]), F.lit(OTHERS)).otherwise(tagged)
-        tags.append((F.coalesce(tagged, F.lit(MISSING)) if keep_missing else tagged).alias(f"c{i}"))
-    wide = texts.select(*tags)
-    pairs = [x for i, c in enumerate(names) for x in (F.lit(f"c{i}"), F.lit(c))]
+    wide = texts.select(*[
+        tagged_value(F.col(f"c{i}"), keep_missing, ceilings.get(c)).alias(f"c{i}") for i, c in enumerate(names)
+    ])
     long = wide.unpivot([], wide.columns, "slot", "tagged").filter(F.col("tagged").isNotNull())
-    counted = long.groupBy("slot", "tagged").agg(F.count(F.lit(1)).alias("cnt"))
-    listed = F.col("tagged").startswith(LISTED)
+    return read_tags(long.groupBy("slot", "tagged").agg(F.count(F.lit(1)).alias("cnt")), names)
+
+
+def tagged_value(value: Column, keep_missing: bool = False, ceiling: str | None = None) -> Column:
+    """A value's text behind a tag that tells it from a missing one and from those above the ceiling."""
+    tagged = F.concat(F.lit(LISTED), value)
+    if ceiling is not None:
+        tagged = F.when(value > F.lit(ceiling), F.lit(OTHERS)).otherwise(tagged)
+    return F.coalesce(tagged, F.lit(MISSING)) if keep_missing else tagged
+
+
+def read_tags(counted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column_name, value, cnt, listed) from counts of tagged values; slot ``c0`` is the first name."""
+    pairs = [x for i, c in enumerate(names) for x in (F.lit(f"c{i}"), F.lit(c))]
     return counted.select(
         F.element_at(F.create_map(*pairs), F.col("slot")).alias("column_name"),
-        F.when(listed, F.expr("substring(tagged, 2)")).alias("value"),
+        F.when(F.col("tagged").startswith(LISTED), F.expr("substring(tagged, 2)")).alias("value"),
         "cnt",
         (F.col("tagged") != OTHERS).alias("listed"),
     )

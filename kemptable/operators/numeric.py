@@ -12,10 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from ..functions.columns import EmptyData, numeric_columns, require_columns
-from ..functions.values import any_of, number_col
+from ..functions.values import any_of, number_col, ref
 from ..session import cut_lineage
 
 # Distinct values inside the brackets that one task sorts, about.
@@ -41,6 +41,9 @@ SUMMARY_SCHEMA = T.StructType([
     T.StructField("median", T.DoubleType()),
     T.StructField("q3", T.DoubleType()),
     T.StructField("max_value", T.DoubleType()),
+    # Whole numbers and decimals as they are: doubles are not exact beyond 2^53.
+    T.StructField("min_exact", T.StringType()),
+    T.StructField("max_exact", T.StringType()),
 ])
 
 
@@ -53,28 +56,44 @@ def moments(df: DataFrame, columns: Sequence[str], points: Mapping[str, Sequence
     """
     if not columns:
         return {}
-    values = df.select(*[number_col(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    aggregates = [F.expr("count(1) as rows")]
+    inputs, aggregates = moment_aggregates(df, columns, points)
+    return read_moments(df, columns, df.select(*inputs).agg(F.count(F.lit(1)).alias("rows"), *aggregates).first())
+
+
+def _is_exact(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.IntegralType, T.DecimalType))
+
+
+def moment_aggregates(
+    df: DataFrame, columns: Sequence[str], points: Mapping[str, Sequence[float]] | None = None
+) -> tuple[list[Column], list[Column]]:
+    """Input columns and aggregates of :func:`moments`, which may stand beside others in one pass."""
+    inputs, aggregates = [], []
     for i, name in enumerate(columns):
+        inputs.append(number_col(df, name).alias(f"v{i}"))
         aggregates += [
             F.expr(f"{function}(v{i}) as {label}{i}")
             for label, function in [("n", "count"), ("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")]
         ]
+        if _is_exact(df, name):
+            inputs.append(ref(name).alias(f"x{i}"))
+            aggregates += [F.expr(f"{f}(x{i}) as exact_{f}{i}") for f in ("min", "max")]
         if points and points.get(name):
             aggregates.append(sketch(F.col(f"v{i}"), points[name]).alias(f"cuts{i}"))
-    row = values.agg(*aggregates).first()
-    return {
-        name: {
-            "count": row[f"n{i}"],
-            "missing": row["rows"] - row[f"n{i}"],
-            "mean": row[f"mean{i}"],
-            "std": row[f"std{i}"],
-            "min": row[f"min{i}"],
-            "max": row[f"max{i}"],
-            "cuts": row[f"cuts{i}"] if points and points.get(name) else None,
+    return inputs, aggregates
+
+
+def read_moments(df: DataFrame, columns: Sequence[str], row: Row) -> dict[str, dict]:
+    """Moments by column from the row of their aggregates and of ``rows``."""
+    found = {}
+    for i, name in enumerate(columns):
+        found[name] = {k: row[f"{k}{i}"] for k in ("mean", "std", "min", "max")} | {
+            "count": row[f"n{i}"], "missing": row["rows"] - row[f"n{i}"],
+            "cuts": row[f"cuts{i}"] if f"cuts{i}" in row else None,
         }
-        for i, name in enumerate(columns)
-    }
+        limits = [row[f"exact_{f}{i}"] if _is_exact(df, name) else None for f in ("min", "max")]
+        found[name]["min_exact"], found[name]["max_exact"] = (None if x is None else str(x) for x in limits)
+    return found
 
 
 def _slot(slot: str, v: Column | None = None, s: Column | None = None, g: Column | None = None) -> Column:
@@ -95,15 +114,19 @@ class ValueCounts:
         self.columns, self.counted = dict(columns), None
 
     def slots(self) -> list[Column]:
-        return [_slot(name, s=text, g=number) for name, (text, number) in self.columns.items()]
+        return [_slot(f"={name}", s=text, g=number) for name, (text, number) in self.columns.items()]
+
+    def take(self, counted: DataFrame) -> None:
+        """Keep the counts of the texts; their slots differ from those of numbers by the first character."""
+        self.counted = counted.withColumn("slot", F.expr("substring(slot, 2)")).select("slot", "s", "cnt", "least", "most")
 
     def count(self, df: DataFrame) -> None:
         """Count now, where no other pass has done it."""
         if self.counted is None and self.columns:
             long = df.select(F.inline(F.array(*self.slots()))).filter("s is not null")
-            self.counted = cut_lineage(long.groupBy("slot", "s").agg(
+            self.take(cut_lineage(long.groupBy("slot", "s").agg(
                 F.count(F.lit(1)).alias("cnt"), F.min("g").alias("least"), F.max("g").alias("most")
-            ))
+            )))
 
 
 def sketch(value: Column, points: Sequence[float], slack: float = SLACK) -> Column:
@@ -224,7 +247,7 @@ def _read_ranks(
             F.count(F.lit(1)).alias("cnt"), F.min("g").alias("least"), F.max("g").alias("most")
         )
         both = cut_lineage(both)
-        texts.counted = both.filter("region is null")
+        texts.take(both.filter("region is null"))
         counted = both.filter("region is not null").select("slot", "region", "v", "cnt")
     totals = {
         (r["slot"], r["region"]): (r["rows"], r["distinct"])
@@ -321,6 +344,8 @@ def summary_rows(df: DataFrame, names: Sequence[str], known: Mapping[str, dict],
             cuts[(c, 0.5)],
             cuts[(c, 0.75)],
             known[c]["max"],
+            known[c]["min_exact"],
+            known[c]["max_exact"],
         )
         for c in names
     ]

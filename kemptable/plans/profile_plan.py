@@ -1,7 +1,8 @@
 """Many profile requests on one table with shared scans.
 
-All counts, moments, parse rates and (on tables of bounded size) quantiles come
-from one aggregation; everything about values comes from one value count table.
+Two passes answer any number of requests: one aggregation for counts, moments,
+parse rates and the brackets of quantiles, one value count table for the values
+of all columns and the numbers inside the brackets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from ..functions.columns import (
     other_columns,
     require_columns,
 )
-from ..functions.values import DATETIME_FORMATS, number_col, present_col, rate
+from ..functions.values import DATETIME_FORMATS, canonical_col, present_col, rate
 from ..operators.counts import (
     categorical_summary,
     mapping_coverage,
@@ -32,12 +33,13 @@ from ..operators.counts import (
     rare_values,
     smallest_ceilings,
     top_k_or_default,
+    read_tags,
+    tagged_value,
     top_n_per_column,
     unique_values,
-    value_counts_many,
     value_counts_topk,
 )
-from ..operators.numeric import QUARTILES, quantiles, sketch, summary_stats
+from ..operators.numeric import QUARTILES, ValueCounts, moment_aggregates, quantiles, read_moments, summary_stats
 from ..operators.profile import (
     DEFAULT_SAMPLES,
     PARSERS,
@@ -48,10 +50,16 @@ from ..operators.profile import (
     parseability,
     profile_from_counts,
 )
-from ..session import cut_lineage
 from ..sources.files import encoding_audit
 
-REPORT_SCHEMA = "request_id long, name string, args_json string, metric string, value string, error string"
+REPORT_SCHEMA = (
+    "request_id long, name string, args_json string, reason string, metric string, value string, error string"
+)
+# The totals that a request's summary carries, where it has them.
+STATS = (
+    "rows_scanned", "time_limited", "row_limited", "truncated", "unique_count", "missing_in_mapping_count",
+    "extra_mapping_keys_count", "rare_count", "sample_size", "columns_profiled", "sample_bytes",
+)
 
 # The profile operators by name, with the arguments a request may set.
 PROFILERS: dict[str, Callable[..., DataFrame]] = {
@@ -94,6 +102,7 @@ class Request:
     name: str
     args: dict
     error: str | None = None
+    reason: str | None = None
     columns: list[str] = field(default_factory=list)
 
     @property
@@ -107,7 +116,8 @@ def plan_requests(df: DataFrame, requests: Sequence[Mapping]) -> list[Request]:
     for number, raw in enumerate(requests, start=1):
         name = OTHER_NAMES.get(raw.get("name"), raw.get("name"))
         args = {k: v for k, v in (raw.get("args") or {}).items() if k in ARGUMENTS.get(name, ()) and v is not None}
-        request = Request(int(raw.get("request_id", number)), str(name), args)
+        reason = raw.get("reason")
+        request = Request(int(raw.get("request_id", number)), str(name), args, None, None if reason is None else str(reason))
         key = (request.name, request.args_json)
         if key in seen:
             continue
@@ -165,7 +175,10 @@ def _needs_counts(request: Request) -> bool:
 
 
 def profile_plan(df: DataFrame, requests: Sequence[Mapping]) -> DataFrame:
-    """Run all requests; one report row per metric, errors as rows of their own."""
+    """Run all requests; one report row per metric, errors as rows of their own.
+
+    The table is read twice; column samples add a look at a few rows.
+    """
     planned = plan_requests(df, requests)
     audits = {}
     for request in planned:
@@ -176,22 +189,19 @@ def profile_plan(df: DataFrame, requests: Sequence[Mapping]) -> DataFrame:
                 request.error = f"{type(problem).__name__}: {str(problem).splitlines()[0]}"
     working = [r for r in planned if r.error is None]
     counting = [r for r in working if _needs_counts(r)]
-    facts = _one_pass(df, [r for r in working if r not in counting])
-    rows = [(r.request_id, r.name, r.args_json, None, None, r.error) for r in planned if r.error]
+    values, names = _values_wanted(df, counting)
+    facts = _one_pass(df, [r for r in working if r not in counting], values)
+    rows = [(r.request_id, r.name, r.args_json, r.reason, None, None, r.error) for r in planned if r.error]
     for request in working:
         if request not in counting and request.name != "encoding_audit":
             for metric, value in _fixed_metrics(request, facts):
-                rows.append((request.request_id, request.name, request.args_json, metric, _text(value), None))
+                rows.append((
+                    request.request_id, request.name, request.args_json, request.reason, metric, _text(value), None
+                ))
     parts = [df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)]
     if counting:
-        names = sorted({c for r in counting for c in r.columns}, key=df.columns.index)
-        in_full = {c for r in counting if r.name in COUNT_BASED for c in r.columns}
-        sampled = [c for c in names if c not in in_full]
-        most = max([int(r.args.get("samples", DEFAULT_SAMPLES)) for r in counting if r.name == "column_profile"] or [0])
-        ceilings = smallest_ceilings(df, sampled, most) if sampled else {}
-        counted = value_counts_many(df, names, keep_missing=True, ceilings=ceilings)
-        if len(counting) > 1:
-            counted = cut_lineage(counted)  # every request below starts from it
+        values.count(df)  # unless the quantiles' pass has done it
+        counted = read_tags(values.counted.withColumnRenamed("s", "tagged"), names)
         parts += [_label(r, _count_metrics(df, r, counted)) for r in counting]
     parts += [
         _label(r, _long(audits[r.request_id], "path", ["encoding", "has_bom", "n_bytes"]))
@@ -201,6 +211,39 @@ def profile_plan(df: DataFrame, requests: Sequence[Mapping]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _values_wanted(df: DataFrame, counting: Sequence[Request]) -> tuple[ValueCounts, list[str]]:
+    """The columns whose values the requests need, tagged; of sampled columns only the smallest ones by name."""
+    names = sorted({c for r in counting for c in r.columns}, key=df.columns.index)
+    in_full = {c for r in counting if r.name in COUNT_BASED for c in r.columns}
+    sampled = [c for c in names if c not in in_full]
+    most = max([int(r.args.get("samples", DEFAULT_SAMPLES)) for r in counting if r.name == "column_profile"] or [0])
+    ceilings = smallest_ceilings(df, sampled, most) if sampled else {}
+    return ValueCounts({
+        f"c{i}": (tagged_value(canonical_col(df, c), True, ceilings.get(c)), None) for i, c in enumerate(names)
+    }), names
+
+
+def plan_summary(report: DataFrame) -> DataFrame:
+    """One row per request of a report: its reason, its totals as JSON (null without any), its error."""
+    total = F.when(F.col("metric").isin(*STATS), F.struct(F.col("metric").alias("key"), "value"))
+    grouped = report.groupBy("request_id", "name", "args_json", "reason").agg(
+        F.count("metric").alias("metrics"), F.collect_list(total).alias("totals"), F.max("error").alias("error")
+    )  # a few totals each
+    stats = F.when(F.size("totals") > 0, F.to_json(F.map_from_entries(F.array_sort("totals"))))
+    return grouped.select("request_id", "name", "args_json", "reason", "metrics", stats.alias("stats"), "error")
+
+
+def profile(df: DataFrame, name: str, **args) -> DataFrame:
+    """One profile operator by its name, as it answers on its own."""
+    (request,) = plan_requests(df, [{"name": name, "args": args}])
+    if request.error:
+        raise InvalidArgs(request.error)
+    operator = PROFILERS[request.name]
+    if request.name == "encoding_audit":
+        return operator(df.sparkSession, **request.args)
+    return operator(df, **request.args)
+
+
 def _text(value) -> str | None:
     return None if value is None else str(value)
 
@@ -210,6 +253,7 @@ def _label(request: Request, metrics: DataFrame) -> DataFrame:
         F.lit(request.request_id).cast("long").alias("request_id"),
         F.lit(request.name).alias("name"),
         F.lit(request.args_json).alias("args_json"),
+        F.lit(request.reason).cast("string").alias("reason"),
         F.col("metric").cast("string").alias("metric"),
         F.col("value").cast("string").alias("value"),
         F.lit(None).cast("string").alias("error"),
@@ -219,8 +263,8 @@ def _label(request: Request, metrics: DataFrame) -> DataFrame:
 # --- everything that has a fixed size: one aggregation ---------------------
 
 
-def _one_pass(df: DataFrame, requests: Sequence[Request]) -> dict:
-    """Counts, moments, quantiles and parse rates of all requests together."""
+def _one_pass(df: DataFrame, requests: Sequence[Request], values: ValueCounts) -> dict:
+    """Counts, moments and parse rates of all requests together; the pass for quantiles also counts the values."""
     stats = sorted({c for r in requests if r.name == "summary_stats" for c in r.columns})
     counts = sorted({c for r in requests if r.name in ("missing_report", "column_profile") for c in r.columns})
     parsed = sorted({c for r in requests if r.name == "parseability" for c in r.columns})
@@ -228,11 +272,9 @@ def _one_pass(df: DataFrame, requests: Sequence[Request]) -> dict:
         return {}
     inputs: list[Column] = []
     aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(stats):
-        inputs.append(number_col(df, name).alias(f"v{i}"))
-        v = F.col(f"v{i}")
-        aggregates += [f(v).alias(f"{label}{i}") for label, f in _MOMENTS.items()]
-        aggregates.append(sketch(v, QUARTILES).alias(f"q{i}"))
+    quartiles = {c: QUARTILES for c in stats}
+    for made, wanted in zip((inputs, aggregates), moment_aggregates(df, stats, quartiles)):
+        made += wanted
     for i, name in enumerate(counts):
         inputs.append(present_col(df, name).isNotNull().alias(f"here{i}"))
         aggregates.append(F.count_if(F.col(f"here{i}")).alias(f"here{i}"))
@@ -241,13 +283,11 @@ def _one_pass(df: DataFrame, requests: Sequence[Request]) -> dict:
         aggregates += parse_hits(df, name, DATETIME_FORMATS, f"_p{i}")
     row = df.select(*inputs).agg(*aggregates).first()
     facts: dict = {"rows": row["rows"], "types": {c: df.schema[c].dataType.simpleString() for c in df.columns}}
-    for i, name in enumerate(stats):
-        facts["stats", name] = {label: row[f"{label}{i}"] for label in _MOMENTS}
-        facts["stats", name]["missing"] = row["rows"] - row[f"count{i}"]
     if stats:
-        known = {c: facts["stats", c] | {"cuts": row[f"q{i}"]} for i, c in enumerate(stats)}
-        cuts = quantiles(df, {c: QUARTILES for c in stats}, known=known)
+        known = read_moments(df, stats, row)
+        cuts = quantiles(df, quartiles, known=known, texts=values if values.columns else None)
         for name in stats:
+            facts["stats", name] = known[name]
             facts["quartiles", name] = [cuts[(name, p)] for p in QUARTILES]
     for i, name in enumerate(counts):
         facts["missing", name] = row["rows"] - row[f"here{i}"]
@@ -258,9 +298,6 @@ def _one_pass(df: DataFrame, requests: Sequence[Request]) -> dict:
     return facts
 
 
-_MOMENTS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-
-
 def _share(part: int, whole: int, digits: int) -> float:
     """Rounded half up, as the rates of the single operators are."""
     if not whole:
@@ -276,8 +313,8 @@ def _fixed_metrics(request: Request, facts: Mapping):
             std = None if stats["std"] is None else round(stats["std"], 6)
             yield from {
                 f"{c}.count": stats["count"], f"{c}.missing": stats["missing"], f"{c}.mean": stats["mean"],
-                f"{c}.std": std, f"{c}.min": stats["min"], f"{c}.q1": q1, f"{c}.median": median,
-                f"{c}.q3": q3, f"{c}.max": stats["max"],
+                f"{c}.std": std, f"{c}.min": stats["min_exact"] or stats["min"], f"{c}.q1": q1, f"{c}.median": median,
+                f"{c}.q3": q3, f"{c}.max": stats["max_exact"] or stats["max"],
             }.items()
     elif request.name == "parseability":
         found = facts["parse", request.columns[0]]
@@ -294,6 +331,7 @@ def _fixed_metrics(request: Request, facts: Mapping):
             yield f"{c}.missing_rate", _share(n, facts["rows"], 6)
     elif request.name == "column_profile":
         yield "rows_scanned", facts["rows"]
+        yield "columns_profiled", len(request.columns)
         for c in request.columns:
             n = facts["missing", c]
             yield f"{c}.dtype", facts["types"][c]

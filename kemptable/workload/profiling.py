@@ -17,7 +17,7 @@ from ..functions.values import (
     truncate_text,
 )
 from ..operators import counts, numeric, profile
-from ..plans.profile_plan import profile_plan
+from ..plans.profile_plan import plan_summary, profile_plan
 from ..sources.tables import preview, preview_text, sample_head
 from .registry import query
 
@@ -133,7 +133,23 @@ def summary_sql(columns, source: str, value: str = "{0}") -> str:
 
 
 def rounded(table, columns):
-    return table.withColumns({c: F.round(c, 6) for c in columns})
+    return table.withColumns({c: F.round(c, 6) for c in columns}).drop("min_exact", "max_exact")
+
+
+BIG = 2**53
+
+
+@query(
+    f"select k as column_name, min_exact, max_exact from (select cast(min(o_orderkey + {BIG}) as varchar) as min_exact, "
+    f"cast(max(o_orderkey + {BIG}) as varchar) as max_exact, 'key' as k from orders union all "
+    "select cast(min(cast(o_totalprice as decimal(20, 4)) * -1) as varchar), "
+    "cast(max(cast(o_totalprice as decimal(20, 4)) * -1) as varchar), 'owed' from orders)"
+)
+def summary_exact_limits(t):
+    """Limits of whole numbers that doubles cannot hold, and of decimals."""
+    owed = (F.col("o_totalprice").cast("decimal(20,4)") * -1).cast("decimal(20,4)").alias("owed")
+    stats = numeric.summary_stats(t.orders.select((F.col("o_orderkey") + BIG).alias("key"), owed))
+    return stats.select("column_name", "min_exact", "max_exact")
 
 
 @query(summary_sql(LINE_NUMBERS, "lineitem"))
@@ -537,6 +553,29 @@ def profile_plan_lineitem(t):
     return profile_plan(t.lineitem, TEN_REQUESTS)
 
 
+@query(
+    "with n as (select count(*) as rows, count(distinct l_returnflag) as flags, "
+    "count(distinct l_linestatus) filter (where l_linestatus not in ('F', 'O', 'X')) as missing, "
+    "count(distinct l_linestatus) as statuses, count(distinct l_linestatus) filter (where l_linestatus in ('F', 'O', 'X')) as met, "
+    "(select count(*) from (select l_linenumber from lineitem group by 1 having count(*) <= 100)) as rare, "
+    "count(l_returnflag) as present from lineitem) "
+    "select x.request_id, x.name, x.reason, x.stats from n cross join lateral (values "
+    "(1, 'unique_values', null, '{\"rows_scanned\":\"' || rows || '\",\"unique_count\":\"' || flags || '\"}'), "
+    "(2, 'rare_values', null, '{\"rare_count\":\"' || rare || '\"}'), "
+    "(3, 'value_counts_topk', 'first asked', null), "
+    "(5, 'mapping_coverage', null, '{\"extra_mapping_keys_count\":\"' || (3 - met) || '\",\"missing_in_mapping_count\":\"' || missing "
+    "|| '\",\"unique_count\":\"' || statuses || '\"}'), "
+    "(6, 'summary_stats', null, '{\"rows_scanned\":\"' || rows || '\"}'), "
+    "(7, 'parseability', null, '{\"sample_size\":\"' || present || '\"}'), (8, 'column_profile', null, null), "
+    "(9, 'missing_report', null, '{\"rows_scanned\":\"' || rows || '\"}'), (10, 'categorical_summary', null, null), "
+    "(11, 'value_counts_topk', null, null)) as x(request_id, name, reason, stats)"
+)
+def profile_plan_summary(t):
+    """One row for each of ten requests, with why it was made and its totals."""
+    requests = [{**r, "reason": "first asked"} if i == 2 else r for i, r in enumerate(TEN_REQUESTS)]
+    return plan_summary(profile_plan(t.lineitem, requests)).select("request_id", "name", "reason", "stats")
+
+
 PLAN_NUMBERS = [
     ("l_quantity", "l_quantity"), ("l_discount", "l_discount"),
 ]

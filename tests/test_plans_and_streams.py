@@ -10,7 +10,7 @@ from kemptable.operators import counts, ordered, profile
 from kemptable.operators.numeric import summary_stats
 from kemptable.operators.profile import parseability
 from kemptable.operators.quality import quality_policy
-from kemptable.plans.profile_plan import plan_requests, profile_plan
+from kemptable.plans.profile_plan import PROFILERS, plan_requests, plan_summary, profile, profile_plan
 from kemptable.streaming import operators as S
 from kemptable.workload.profiling import TEN_REQUESTS
 from kemptable.workload.streams import drained, finished
@@ -79,7 +79,7 @@ def test_a_bad_request_is_a_row_of_its_own(lineitem, folder):
     assert {r["value"] for r in report if r["metric"] == "value"} == {"A", "N", "R"}
 
 
-def test_ten_requests_read_the_data_three_times(spark, folder):
+def test_ten_requests_read_the_data_twice(spark, folder):
     """The rows that scans put out, counted by Spark itself."""
     lineitem = spark.read.parquet(f"{SMALL}/lineitem.parquet")
     total, seen = lineitem.count(), spark.sparkContext.accumulator(0)
@@ -91,8 +91,33 @@ def test_ten_requests_read_the_data_three_times(spark, folder):
 
     watched = lineitem.mapInArrow(count_rows, lineitem.schema)
     profile_plan(watched, [r for r in TEN_REQUESTS if r["name"] != "column_profile"]).collect()
-    # Counts, moments and sketches; the brackets of the quantiles; the values.
-    assert seen.value == 3 * total
+    # Counts, moments and sketches; the values and the brackets of the quantiles.
+    assert seen.value == 2 * total
+
+
+def test_a_registered_operator_answers_as_in_a_plan(spark, lineitem, folder):
+    (folder / "a.csv").write_text("a,b\n1,2\n")
+    requests = [r for r in TEN_REQUESTS if r["args"].get("column") != "no_such_column"] + [{"name": "encoding_audit", "args": {"path": f"{folder}"}}]
+    report = profile_plan(lineitem, requests).collect()
+    for r in requests:
+        assert profile(lineitem, r["name"], **r["args"]).count() >= 0
+    assert {r["name"] for r in requests} == set(PROFILERS)
+    top = profile(lineitem, "value_counts_topk", column="l_shipdate", top_k=5).collect()
+    assert sorted(json.loads(r["value"])["cnt"] for r in report if r["metric"] == "top_value") == sorted(r["cnt"] for r in top)
+    with pytest.raises(InvalidArgs):
+        profile(lineitem, "unique_values")
+
+
+def test_reasons_and_totals_of_requests(spark, lineitem):
+    report = profile_plan(lineitem, [
+        {"name": "summary_stats", "args": {"column": "l_orderkey"}, "reason": "why not"}, {"name": "no_such_tool", "reason": 3},
+    ])
+    found = {r["name"]: r for r in plan_summary(report).collect()}
+    assert found["summary_stats"]["reason"] == "why not" and json.loads(found["summary_stats"]["stats"]) == {"rows_scanned": str(lineitem.count())}
+    assert found["no_such_tool"]["reason"] == "3" and found["no_such_tool"]["stats"] is None and found["no_such_tool"]["error"].startswith("InvalidArgs")
+    big = spark.createDataFrame([(2**53 + 1,), (2**62 + 3,), (None,)], "k long")
+    values = {r["metric"]: r["value"] for r in profile_plan(big, [{"name": "summary_stats", "args": {}}]).collect()}
+    assert (values["k.min"], values["k.max"]) == (str(2**53 + 1), str(2**62 + 3))
 
 
 def test_stream_counts_equal_batch(spark):
