@@ -74,6 +74,10 @@ class Marks:
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
 
+    def has_one(self, number: int) -> bool:
+        place = number & (len(self.bits) * 8 - 1)
+        return self.bits.item(place >> 3) >> (place & 7) & 1 == 1
+
     def has(self, numbers: np.ndarray) -> np.ndarray:
         place = numbers.astype(np.uint64) & self.mask
         return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -109,7 +113,7 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> int:
         number = xxhash.xxh3_64_intdigest(self.head + word, self.seed) or 1
-        if self.marks is not None and not self.marks.has(np.array([number], np.uint64))[0]:
+        if self.marks is not None and not self.marks.has_one(number):
             number = 0
         self[word] = number
         return number
