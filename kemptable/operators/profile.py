@@ -196,9 +196,21 @@ def column_quality_metrics(
     ``by`` splits the metrics by key columns; the counts are combined on the
     map side, so a key that holds most rows is no hot spot.
     """
-    names = require_columns(df, columns)
-    placeholders = placeholders or {}
-    aggregates, rows = [], []
+    aggregates, labels = quality_counts(df, columns, placeholders)
+    rows = [
+        {"column_name": sql_string(c), "metric": sql_string(metric), "value": f"cast({label} as double)"}
+        for label, (c, metric) in labels.items()
+    ]
+    wide = df.groupBy(*[ref(k) for k in by]).agg(*aggregates) if by else df.agg(*aggregates)
+    return long_rows(wide, rows, by)
+
+
+def quality_counts(
+    df: DataFrame, columns: Sequence[str], placeholders: Mapping[str, Sequence] | None = None
+) -> tuple[list[Column], dict[str, tuple[str, str]]]:
+    """The aggregates of :func:`column_quality_metrics`, and (column, metric) by their names."""
+    names, placeholders = require_columns(df, columns), placeholders or {}
+    aggregates, labels = [], {}
     for i, c in enumerate(names):
         text = text_sql(c, df.schema[c].dataType)
         tests = {"missing": f"({present_sql(df, c)}) is null", "empty": f"coalesce(({strip_sql(text)}) = '', false)"}
@@ -207,11 +219,8 @@ def column_quality_metrics(
             tests["placeholder"] = f"coalesce(({text}) in ({given}), false)" if given else "false"
         for metric, test in tests.items():
             aggregates.append(F.expr(f"count_if({test}) as {metric}{i}"))
-            rows.append({
-                "column_name": sql_string(c), "metric": sql_string(metric), "value": f"cast({metric}{i} as double)"
-            })
-    wide = df.groupBy(*[ref(k) for k in by]).agg(*aggregates) if by else df.agg(*aggregates)
-    return long_rows(wide, rows, by)
+            labels[f"{metric}{i}"] = (c, metric)
+    return aggregates, labels
 
 
 def describe_all(df: DataFrame, max_columns: int | None = None) -> DataFrame:

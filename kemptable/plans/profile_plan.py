@@ -238,10 +238,14 @@ def profile(df: DataFrame, name: str, **args) -> DataFrame:
     (request,) = plan_requests(df, [{"name": name, "args": args}])
     if request.error:
         raise InvalidArgs(request.error)
-    operator = PROFILERS[request.name]
+    operator, args = PROFILERS[request.name], dict(request.args)
+    if request.name == "summary_stats":
+        args = {"columns": request.columns}
+    elif request.name == "mapping_coverage":
+        args = {"column": args["column"], "keys": args["mapping_keys"]}  # every key and value, with its status
     if request.name == "encoding_audit":
-        return operator(df.sparkSession, **request.args)
-    return operator(df, **request.args)
+        return operator(df.sparkSession, **args)
+    return operator(df, **args)
 
 
 def _text(value) -> str | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import zipfile
 from collections.abc import Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -107,18 +108,39 @@ def label_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("label").agg(F.count(F.lit(1)).alias("images"))
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _decodes(lines: pd.Series) -> pd.Series:
-    """For each codec whether the bytes are valid in it; nulls are passed over."""
+def _byte_class(values: Sequence[int]) -> str:
+    """A pattern class of bytes that were read as Latin-1 characters, as ranges."""
+    ranges: list[list[int]] = []
+    for v in values:
+        if ranges and v == ranges[-1][1] + 1:
+            ranges[-1][1] = v
+        else:
+            ranges.append([v, v])
+    return "[" + "".join(f"\\x{{{x:02x}}}-\\x{{{y:02x}}}" for x, y in ranges) + "]"
 
-    def valid(raw, codec):
-        try:
-            bytes(raw).decode(codec)
-            return True
-        except UnicodeDecodeError:
-            return False
 
-    return lines.map(lambda raw: [valid(raw, codec) for codec in CODECS], na_action="ignore")
+def _decodes(codec: str, raw: bytes) -> bool:
+    try:
+        return len(raw.decode(codec)) == 1
+    except UnicodeDecodeError:
+        return False
+
+
+@cache
+def valid_bytes(codec: str) -> str:
+    """A pattern of the whole texts that are valid in a codec of one- and two-byte characters.
+
+    Made from the codec itself: which bytes stand alone, and which second bytes
+    may follow which first ones. It never goes back, since a byte is either.
+    """
+    alone = [b for b in range(256) if _decodes(codec, bytes([b]))]
+    leads: dict[tuple[int, ...], list[int]] = {}
+    for lead in range(256):
+        seconds = tuple(s for s in range(256) if lead not in alone and _decodes(codec, bytes([lead, s])))
+        if seconds:
+            leads.setdefault(seconds, []).append(lead)
+    pairs = [_byte_class(lead) + _byte_class(seconds) for seconds, lead in leads.items()]
+    return "^(?:" + "|".join([_byte_class(alone) + "++", *pairs]) + ")*+\\z"
 
 
 def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
@@ -126,8 +148,8 @@ def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | N
 
     Files are read as lines, so a huge file is split over many tasks: a line
     break never falls inside a character of these encodings, and a file is
-    valid in one when every line is. Only the bytes of lines that are not UTF-8
-    are handed to Python. The line reader drops a byte order mark; the three bytes missing
+    valid in one when every line is, also those that are UTF-8 by themselves.
+    Lines that are not plain ASCII are tested by patterns over their bytes. The line reader drops a byte order mark; the three bytes missing
     from the total give it away. Empty files are not listed by Spark.
     """
     roots = [path] if isinstance(path, str) else list(path)
@@ -142,21 +164,28 @@ def encoding_audit(spark: SparkSession, path: str | Sequence[str], glob: str | N
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("n_bytes"),
             F.octet_length("value").alias("size"),
-            F.when(~F.is_valid_utf8("value"), F.col("value").cast("binary")).alias("odd"),
+            F.is_valid_utf8("value").alias("utf8"),
+            # Null for plain ASCII, which is valid in all of them.
+            F.when(
+                ~(F.is_valid_utf8("value") & (F.octet_length("value") == F.length("value"))),
+                F.decode(F.col("value").cast("binary"), "ISO-8859-1"),
+            ).alias("bytes"),
         )
     )
+    # Every byte is a character of Latin-1.
+    tests = [F.lit(True) if c == "latin-1" else F.coalesce(F.col("bytes").rlike(valid_bytes(c)), F.lit(True)) for c in CODECS]
     files = (
-        lines.select("path", "n_bytes", "size", _decodes("odd").alias("ok"))
-        .groupBy("path", "n_bytes")
+        lines.groupBy("path", "n_bytes")
         .agg(
             F.count(F.lit(1)).alias("lines"),
             F.sum("size").alias("bytes"),
-            *[F.bool_and(F.col("ok")[i]).alias(f"ok{i}") for i in range(len(CODECS))],
+            F.bool_and("utf8").alias("utf8"),
+            *[F.bool_and(test).alias(f"ok{i}") for i, test in enumerate(tests)],
         )
     )
     # One separator per line, except after a last line without one.
     has_bom = F.col("n_bytes") - F.col("bytes") - F.col("lines") >= 2
-    guess = F.when(F.col("ok0").isNull(), F.when(has_bom, "utf-8-sig").otherwise("utf-8"))
+    guess = F.when(F.col("utf8"), F.when(has_bom, "utf-8-sig").otherwise("utf-8"))
     for i, codec in enumerate(CODECS):
         guess = guess.when(F.col(f"ok{i}"), codec)
     return files.select("path", guess.otherwise("unknown").alias("encoding"), has_bom.alias("has_bom"), "n_bytes")

@@ -11,11 +11,11 @@ import datetime
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 
 from ..functions.columns import InvalidArgs, require_columns
 from ..functions.values import canonical_col, number_col, ref
-from ..operators.profile import column_quality_metrics
+from ..operators.profile import column_quality_metrics, quality_counts
 from ..operators.quality import quality_flags, quarantine
 from ..session import scratch_path
 
@@ -179,6 +179,37 @@ def stream_changes_only(
     )
 
 
+def observed_quality(
+    stream: DataFrame, columns: Sequence[str], name: str = "quality", placeholders: Mapping[str, Sequence] | None = None
+) -> DataFrame:
+    """The stream itself; every batch counts missing, empty and placeholder cells while its rows pass by.
+
+    No second pass is made. :func:`observed_metrics` reads the counts of a
+    query's batches.
+    """
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"), *quality_counts(stream, columns, placeholders)[0])
+
+
+def observed_metrics(
+    query: StreamingQuery, stream: DataFrame, columns: Sequence[str], name: str = "quality",
+    placeholders: Mapping[str, Sequence] | None = None,
+) -> DataFrame:
+    """(batch, column_name, metric, value) of the batches that the query still reports on, for the quality gate.
+
+    Spark keeps the progress of the last batches
+    (``spark.sql.streaming.numRecentProgressUpdates``). If a task of a batch
+    ran again, its rows may be counted twice: these are metrics to watch a
+    stream by, and the sinks' own tables are to be published by.
+    """
+    labels, found = quality_counts(stream, columns, placeholders)[1], []
+    for progress in query.recentProgress:
+        row = progress["observedMetrics"].get(name)
+        if row is not None and progress["numInputRows"]:
+            found += [(progress["batchId"], c, m, float(row[label])) for label, (c, m) in labels.items()]
+    schema = "batch long, column_name string, metric string, value double"
+    return stream.sparkSession.createDataFrame(found, schema)
+
+
 def stream_quality_gate(
     stream: DataFrame,
     rules: Mapping[str, Column],

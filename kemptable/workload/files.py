@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from ..operators.transforms import image_column_to_path
 from ..session import scratch_path
 from ..sources import files, sniff
 from ..sources.arrow import read_arrow
 from ..sources.sinks import publish, write_table
 from ..sources.storage import open_filesystem
-from ..sources.tables import read_table
+from ..sources.tables import read_table, row_limited
 from ..sources.text import rejected_lines
 from .registry import query
 
@@ -164,3 +165,40 @@ def expanded_archives(t):
         F.decode("content", "UTF-8").alias("text"),
         "is_safe",
     )
+
+
+@query(
+    "select ext, cast(count(distinct o_orderstatus) as bigint) as files, is_table, true as has_bytes from orders, "
+    "(values ('csv', true), ('parquet', true)) as f(ext, is_table) group by ext, is_table"
+)
+def catalog_of_partitions(t):
+    """The inventory of a folder with one file for each order status and format."""
+    root = scratch_path(t.spark, "catalog")
+    for fmt in ("csv", "parquet"):
+        by_status = t.orders.select(*ORDER_FIELDS).repartition("o_orderstatus")
+        by_status.write.option("header", True).partitionBy("o_orderstatus").format(fmt).save(f"{root}/{fmt}")
+    totals = files.catalog_totals(files.file_catalog(t.spark, root))
+    return totals.select("ext", "files", "is_table", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query(ORDERS_SQL)
+def scan_partitioned_mixed_folder(t):
+    """A data set in partition folders beside a file of another format."""
+    path = scratch_path(t.spark, "partitioned")
+    t.orders.select(*ORDER_FIELDS).write.partitionBy("o_orderstatus", "o_orderpriority").parquet(path)
+    t.orders.limit(3).select("o_orderkey").coalesce(1).write.mode("append").option("header", True).csv(path)
+    return read_table(t.spark, path).select(*ORDER_FIELDS)
+
+
+@query("select (select count(*) from orders) > 100 as over_100, (select count(*) from orders) > 10000000000 as over_all")
+def bounded_scan_orders(t):
+    """Whether bounds cut the table."""
+    low, high = (row_limited(t.orders, n) for n in (100, 2_000_000_000))
+    return low.select(F.col("row_limited").alias("over_100")).join(high.select(F.col("row_limited").alias("over_all")))
+
+
+@query("select page_id, url as image from pages")
+def image_paths_pages(t):
+    """Images as rows of path and bytes: only the path goes on."""
+    images = t.pages.select("page_id", F.struct(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("data")).alias("image"))
+    return image_column_to_path(images, "image")

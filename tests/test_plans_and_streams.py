@@ -9,8 +9,8 @@ from kemptable.functions.columns import InvalidArgs
 from kemptable.operators import counts, ordered, profile
 from kemptable.operators.numeric import summary_stats
 from kemptable.operators.profile import parseability
-from kemptable.operators.quality import quality_policy
-from kemptable.plans.profile_plan import PROFILERS, plan_requests, plan_summary, profile, profile_plan
+from kemptable.operators.quality import quality_flags, quality_policy
+from kemptable.plans.profile_plan import PROFILERS, plan_requests, plan_summary, profile as run_profile, profile_plan
 from kemptable.streaming import operators as S
 from kemptable.workload.profiling import TEN_REQUESTS
 from kemptable.workload.streams import drained, finished
@@ -100,12 +100,12 @@ def test_a_registered_operator_answers_as_in_a_plan(spark, lineitem, folder):
     requests = [r for r in TEN_REQUESTS if r["args"].get("column") != "no_such_column"] + [{"name": "encoding_audit", "args": {"path": f"{folder}"}}]
     report = profile_plan(lineitem, requests).collect()
     for r in requests:
-        assert profile(lineitem, r["name"], **r["args"]).count() >= 0
+        assert run_profile(lineitem, r["name"], **r["args"]).count() >= 0
     assert {r["name"] for r in requests} == set(PROFILERS)
-    top = profile(lineitem, "value_counts_topk", column="l_shipdate", top_k=5).collect()
+    top = run_profile(lineitem, "value_counts_topk", column="l_shipdate", top_k=5).collect()
     assert sorted(json.loads(r["value"])["cnt"] for r in report if r["metric"] == "top_value") == sorted(r["cnt"] for r in top)
     with pytest.raises(InvalidArgs):
-        profile(lineitem, "unique_values")
+        run_profile(lineitem, "unique_values")
 
 
 def test_reasons_and_totals_of_requests(spark, lineitem):
@@ -217,6 +217,21 @@ def test_gate_splits_every_batch(spark, folder):
     assert rows(flagged, "batch", "column_name", "metric") == [(1, "value", "missing")]
 
 
+def test_a_stream_is_watched_while_it_runs(spark, folder):
+    events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("value", F.when(F.col("event_id") % 7 > 0, F.col("value")))
+    pieces = [events.filter("event_id < 300"), events.filter("event_id >= 300")]
+    stream = in_batches(spark, folder, pieces)
+    watched = S.observed_quality(stream, ["value", "event_type"], placeholders={"event_type": ["click"]})
+    run = watched.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = S.observed_metrics(run, stream, ["value", "event_type"], placeholders={"event_type": ["click"]})
+    want = [profile.column_quality_metrics(p, ["value", "event_type"], {"event_type": ["click"]}).collect() for p in pieces]
+    assert rows(found) == sorted(((b, *tuple(r)) for b, m in enumerate(want) for r in m), key=repr)
+    policy = quality_policy(spark, missing_thresholds={"value": 50})
+    flagged = quality_flags(found.filter("batch = 1").drop("batch"), policy)
+    assert ("value", "missing") in rows(flagged, "column_name", "metric")
+
+
 def test_profile_of_a_stream_column_matches_batch_metrics(spark):
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     assert profile.column_quality_metrics(events, ["value"]).filter("value > 0").count() == 0

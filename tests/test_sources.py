@@ -106,6 +106,29 @@ def test_encodings(spark, folder):
     }
 
 
+def test_a_file_is_judged_as_a_whole(spark, folder):
+    """Lines of two encodings in one file, and the bytes of every pair against the codecs."""
+    put(folder, "mixed.csv", "한글,1\n".encode() + "한글,2\n".encode("cp949"))
+    put(folder, "euc.csv", "한글,1\n가나\n".encode("euc-kr"))
+    put(folder, "wide.csv", "한글,1\n뷁\n".encode("cp949"))
+    audit = {r["path"].rsplit("/", 1)[1]: r["encoding"] for r in files.encoding_audit(spark, str(folder)).collect()}
+    # 0xED 0x95 begins the first line: no pair of the Korean codecs.
+    assert audit == {"mixed.csv": "latin-1", "euc.csv": "cp949", "wide.csv": "cp949"}
+    pairs = [bytes([a, b]) for a in range(0, 256, 3) for b in range(256) if a not in (10, 13) and b not in (10, 13)]
+    texts = [x for x in pairs + [b"a" + x + b"\xc7\xd1" for x in pairs[::7]]]
+    table = spark.createDataFrame([(bytearray(x),) for x in texts], "raw binary").select("raw", F.decode("raw", "ISO-8859-1").alias("t"))
+    for codec in ("cp949", "euc-kr"):
+        for r in table.select("raw", F.col("t").rlike(files.valid_bytes(codec)).alias("ok")).collect():
+            try:
+                bytes(r["raw"]).decode(codec)
+                valid = True
+            except UnicodeDecodeError:
+                valid = False
+            assert r["ok"] is valid, (codec, r["raw"])
+    long = spark.range(1).select((F.repeat(F.lit("\u00c7\u00d1a"), F.lit(2_000_000))).alias("t"))
+    assert long.select(F.col("t").rlike(files.valid_bytes("cp949"))).first()[0]
+
+
 def test_a_file_cut_over_many_tasks_keeps_one_row(spark, folder):
     put(folder, "big.csv", "가나다라,1\n".encode() * 20000 + "é".encode("latin-1"))
     spark.conf.set("spark.sql.files.maxPartitionBytes", 20000)
