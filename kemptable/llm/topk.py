@@ -6,8 +6,9 @@ from the top where its own component is positive and from the bottom where it
 is negative. What has been read of a vector gives its partial score; the next
 unread value of each list bounds what it may still get. A vector whose upper
 bound falls below the k-th best lower bound is out. Reading stops when few are
-left; those get their final scores. The k-th best score found in earlier blocks
-is where a query starts.
+left; those get their final scores, from the rest of their components. The k-th
+best score found in earlier blocks is where a query starts. All queries of a
+block share its readings: the bounds of many are one matrix product.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ QUERY_ROWS = 4096
 # round. It stops reading a block when no unread vector can qualify and at most
 # this share of the block is left.
 FIRST = 1 / 2
+# Queries whose bounds are worked out together.
+TOGETHER = 64
 STEP = 1 / 8
 LEFT = 1 / 8
 
@@ -43,47 +46,65 @@ class SortedLists:
         self.order = np.stack([order, order[:, ::-1]])
         self.sorted = np.stack([values, values[:, ::-1]])
 
-    def top(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """The block's share of the k best; ``floor`` is a score that k vectors reach elsewhere."""
-        own = self.ids == query_id
-        used = np.flatnonzero(query)
-        if len(used) and len(own) - own.sum() > k:
-            left = self._read(query, used, own, k, floor)
-        else:
-            left = np.flatnonzero(~own)
+    def _read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is read of all lists to a depth, from the top and from the bottom, side by side.
+
+        Values by vector and list (0 where unread), 1 where read, and the last
+        value read of each list. Queries differ in weights and directions only,
+        so one reading serves all of them.
+        """
+        n, width = len(self.ids), len(self.order[0])
+        values, seen = np.zeros((n, 2 * width)), np.zeros((n, 2 * width))
+        for way in (0, 1):
+            column = np.arange(width)[:, None] + (way * width)
+            values[self.order[way][:, :depth], column] = self.sorted[way][:, :depth]
+            seen[self.order[way][:, :depth], column] = 1
+        return values, seen, np.concatenate([self.sorted[way][:, depth - 1] for way in (0, 1)])
+
+    def top(
+        self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's place, ids, scores): the block's share of each query's k best.
+
+        ``floors`` are scores that k vectors reach elsewhere, minus infinity if
+        none are known.
+        """
+        n, left = len(self.ids), np.arange(len(query_ids))
+        # Weights by list: negative ones read from the smallest value, positive ones from the largest.
+        weights = np.concatenate([np.minimum(queries, 0), np.maximum(queries, 0)], axis=1).T.astype(np.float64)
+        last = np.concatenate([self.sorted[way][:, -1] for way in (0, 1)])
+        first = np.concatenate([self.sorted[way][:, 0] for way in (0, 1)])
+        slack = 1e-12 * np.maximum(np.abs(first), np.abs(last)) @ np.abs(weights)
+        depth = max(int(n * FIRST), 1)
+        while len(left):
+            values, seen, frontier = self._read(depth)
+            unsure = []
+            for start in range(0, len(left), TOGETHER):
+                some = left[start : start + TOGETHER]
+                w, room = weights[:, some], slack[some]
+                worst, best = last[:, None] * w, frontier[:, None] * w
+                got, known = values @ w, seen @ np.hstack([worst, best])
+                lower = got + (worst.sum(axis=0) - known[:, : len(some)])
+                upper = got + (best.sum(axis=0) - known[:, len(some) :])
+                own = self.ids[:, None] == query_ids[some][None, :]
+                lower[own] = -np.inf
+                reach = floors[some].copy()
+                if n > k:
+                    reach = np.maximum(reach, np.partition(lower, n - k, axis=0)[n - k] - room)
+                alive = (upper + room >= reach) & ~own
+                sure = (best.sum(axis=0) + room < reach) & (alive.sum(axis=0) <= max(n * LEFT, k)) | (depth == n)
+                for i in np.flatnonzero(sure):
+                    yield (int(some[i]), *self._final(np.flatnonzero(alive[:, i]), queries[some[i]], k, floors[some[i]]))
+                unsure.append(some[~sure])
+            left, depth = np.concatenate(unsure), min(depth + max(int(n * STEP), 1), n)
+
+    def _final(self, left: np.ndarray, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Exact scores of what sequential reading could not rule out."""
         scores = self.vectors[left] @ query
-        if floor is not None:
-            left, scores = left[scores >= floor], scores[scores >= floor]
+        left, scores = left[scores >= floor], scores[scores >= floor]
         best = np.lexsort((self.ids[left], -scores))[:k]
         return self.ids[left][best], scores[best]
 
-    def _read(self, query: np.ndarray, used: np.ndarray, own: np.ndarray, k: int, floor: int | None) -> np.ndarray:
-        """Places of the vectors that sequential reading cannot rule out."""
-        n, weights = len(self.ids), query[used].astype(np.float64)[:, None]
-        way = (weights[:, 0] > 0).astype(np.int64)
-        worst = (self.sorted[way, used, -1] * weights[:, 0]).astype(np.float32)
-        # Bounds are summed in single precision; the slack covers its rounding.
-        slack = 1e-5 * float(np.abs(self.sorted[way, used][:, [0, -1]] * weights).sum())
-        got, seen = np.zeros(n), np.zeros(len(used) * n, np.float32)
-        row = np.arange(len(used))[:, None] * n
-        depth, upto = 0, max(int(n * FIRST), 1)
-        while True:
-            at = self.order[way, used, depth:upto]
-            read = self.sorted[way, used, depth:upto] * weights
-            got += np.bincount(at.ravel(), read.ravel(), n)
-            seen[(at + row).ravel()] = 1
-            frontier = read[:, -1].astype(np.float32)
-            worst_read, frontier_read = np.stack([worst, frontier]) @ seen.reshape(len(used), n)
-            lower = got + (worst.sum() - worst_read)
-            upper = got + (frontier.sum() - frontier_read)
-            reach = np.partition(lower[~own], -k)[-k] - slack
-            if floor is not None:
-                reach = max(reach, floor)
-            alive = (upper + slack >= reach) & ~own
-            if upto == n or (frontier.sum() + slack < reach and alive.sum() <= max(n * LEFT, k)):
-                return np.flatnonzero(alive)
-            depth, upto = upto, min(upto + max(int(n * STEP), 1), n)
-
 
 def _search(queries, k: int, block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +115,17 @@ def _search(queries, k: int, block_rows: int):
                 member = np.array([len(r) == size for r in rows])
                 vectors = np.array([r for r in rows if len(r) == size], np.int64).reshape(member.sum(), size)
                 lists = SortedLists(ids[member], vectors)
-                for number, (query_id, query) in enumerate(asked):
-                    if len(query) != size:
-                        continue
+                numbers = [i for i, (_, query) in enumerate(asked) if len(query) == size]
+                if not numbers:
+                    continue
+                floors = np.array([
+                    best[i][1][k - 1] if i in best and len(best[i][1]) >= k else -np.inf for i in numbers
+                ])
+                query_ids = np.array([asked[i][0] for i in numbers], np.int64)
+                matrix = np.array([asked[i][1] for i in numbers], np.int64).reshape(len(numbers), size)
+                for place, new_ids, new in lists.top(query_ids, matrix, k, floors):
+                    number = numbers[place]
                     old_ids, old = best.get(number, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                    new_ids, new = lists.top(query_id, query, k, int(old[k - 1]) if len(old) >= k else None)
                     all_ids, scores = np.concatenate([old_ids, new_ids]), np.concatenate([old, new])
                     order = np.lexsort((all_ids, -scores))[:k]
                     best[number] = all_ids[order], scores[order]
