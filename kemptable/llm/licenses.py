@@ -29,6 +29,13 @@ SPELLINGS = [
     (r"\bcopyright (owner|owners)\b", "copyright holder"),
     (r"\bcopyright holders\b", "copyright holder"),
 ]
+# What a text must hold for any of the spellings to be there, in their order.
+SIGNS = [
+    "licenc", "sub licens", "dgement",
+    *(f"{stem}is" for stem in "author custom general initial organ recogn util real minim optim character".split()),
+    "analys", "behaviour", "colour", "favour", "honour", "endeavour", "fulfil", "enrol",
+    "non commercial", "non infringement", "non exclusive", "per cent", "https", "copyright owner", "copyright holders",
+]
 
 
 def canonical_line(line: Column) -> Column:
@@ -38,10 +45,18 @@ def canonical_line(line: Column) -> Column:
 
 
 def same_spelling(text: Column) -> Column:
-    """One of the equivalent spellings throughout."""
-    for pattern, replacement in SPELLINGS:
-        text = F.regexp_replace(text, pattern, replacement.replace("{1}", "$1").replace("{2}", "$2"))
-    return text
+    """One of the equivalent spellings throughout; the patterns run only on texts that hold a sign of one."""
+
+    def spelled(t: Column) -> Column:
+        found, put = F.lit(False), t
+        for sign in SIGNS:
+            found = found | t.contains(sign)
+        for pattern, replacement in SPELLINGS:
+            put = F.regexp_replace(put, pattern, replacement.replace("{1}", "$1").replace("{2}", "$2"))
+        return F.when(found, put).otherwise(t)
+
+    # A lambda names the text, so that it is made once however often it is read.
+    return F.element_at(F.transform(F.array(text), spelled), 1)
 
 
 def _canonical_lines(text: Column) -> Column:
@@ -59,15 +74,23 @@ def _digest(text: Column) -> Column:
 
 
 def license_catalogue(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """known_digest, license; the first of the texts with equal digests counts."""
+    """known_digest, license, length of the canonical text; the first of the texts with equal digests counts."""
     rows = [(i, name, text) for i, (name, text) in enumerate(texts or known_texts())]
-    table = spark.createDataFrame(rows, "place int, license string, text string")
+    table = spark.createDataFrame(rows, "place int, license string, text string").coalesce(1)
+    spelled = table.select("place", "license", same_spelling(F.array_join(_canonical_lines(F.col("text")), " ")).alias("t"))
     return (
-        table.groupBy(canonical_digest(F.col("text")).alias("known_digest"))
-        .agg(F.min_by("license", "place").alias("license"))
+        spelled.groupBy(F.sha2(F.col("t").cast("binary"), 256).alias("known_digest"))
+        .agg(F.min_by("license", "place").alias("license"), F.max(F.length("t")).alias("length"))
     )
 
 
+def _line_digest(line: Column, lengths: list[int]) -> Column:
+    """SHA-256 of a canonical line, null if no known text is as long."""
+    return F.element_at(F.transform(F.array(same_spelling(line)), lambda t: F.when(
+        F.length(t).isin(lengths), F.sha2(t.cast("binary"), 256)
+    )), 1)
+
+
 def license_scan(documents: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, text_digest, license, n_notices, notices for every row of ``documents``.
 
@@ -79,15 +102,21 @@ def license_scan(documents: DataFrame, texts: list[tuple[str, str]] | None = Non
     gives no rows; other columns are not read.
 
     The catalogue is a fixed list that the caller gives, so it is broadcast;
-    lines are joined with it and summed up per document before they move.
+    lines are joined with it and summed up per document before they move. A
+    line is hashed only if a known text has its canonical length.
     """
-    known = F.broadcast(license_catalogue(documents.sparkSession, texts))
+    catalogue = license_catalogue(documents.sparkSession, texts).collect()  # a few hundred rows
+    lengths = sorted({r["length"] for r in catalogue})
+    known = documents.sparkSession.createDataFrame(
+        [(r["known_digest"], r["license"]) for r in catalogue], "known_digest string, license string"
+    )
+    known = F.broadcast(known)
     rows = documents.select("doc_id", _canonical_lines(F.col("text")).alias("lines"))
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         _digest(F.array_join("lines", " ")).alias("text_digest"),
-        F.transform("lines", _digest).alias("lines"),
+        F.filter(F.transform("lines", lambda line: _line_digest(line, lengths)), lambda x: x.isNotNull()).alias("lines"),
     )
     whole = rows.join(known, F.col("text_digest") == F.col("known_digest"), "left").drop("known_digest")
     lines = whole.withColumn("line", F.explode_outer("lines")).drop("lines")
