@@ -44,7 +44,6 @@ GRAM_BYTES = 1 << 20
 # Hashed features: 2 ** BITS.
 BITS = 14
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 class Machine(NamedTuple):
@@ -165,7 +164,7 @@ def _duel(machines: list[Machine], names: list[str], margins: list[np.ndarray],
 def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     names = sorted(model.families)
-    lettered = np.array([LETTER.search(t) is not None for t in texts], bool)
+    lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)  # numerals are no letters
     if not names or not lettered.any():
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     number, starts, sizes = grams(texts)

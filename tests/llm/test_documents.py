@@ -26,14 +26,15 @@ def test_held_out_languages(spark):
 
 
 def test_languages_of_awkward_texts(spark):
-    texts = awkward_texts() + ["the house and the street"] * 20 + ["das haus und die straße"] * 20
-    langs = [None] * len(awkward_texts()) + ["en"] * 20 + ["de"] * 20
+    odd = [*awkward_texts(), "½ ² ③ Ⅷ", "12 ١٢ 五½"]
+    texts = odd + ["the house and the street"] * 20 + ["das haus und die straße"] * 20
+    langs = [None] * len(odd) + ["en"] * 20 + ["de"] * 20
     docs = documents(spark, texts, langs=langs)
     rows = {r["doc_id"]: r for r in langid.language_digest(docs).collect()}
     for i, text in enumerate(texts):
         unknown = not any(c.isalpha() for c in text or "")
         assert (rows[i]["lang_pred"] == "und") == unknown
-        if i >= len(awkward_texts()):
+        if i >= len(odd):
             assert rows[i]["lang_pred"] == langs[i]
     assert langid.language_digest(docs.limit(0)).count() == 0
     unlabelled = langid.language_digest(documents(spark, ["some text"], langs=[None])).first()
