@@ -116,7 +116,7 @@ def op2_archive_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Write all pages as WARC records, then read the archives back."""
     path = scratch_path(spark, "warc")
     write_archives(table(spark, folder, "pages"), path)
-    return archived_pages(read_archives(spark, path))
+    return archived_pages(read_archives(spark, path), gaps=False)
 
 
 @query("""

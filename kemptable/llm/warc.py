@@ -26,8 +26,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 
 # Payloads below this many bytes are always written in full.
 LEAST_REVISIT = 100
-# Records in an archive file, so that the reader can hold a file.
-FILE_RECORDS = 4096
+# Bytes that an archive file may have, so that the reader can hold a file. A longer record has a file of its own.
+FILE_BYTES = 256 << 20
+# Bytes beside the html that a record is taken to have: headers, and a url of ordinary length.
+HEAD_BYTES = 4 << 10
 # Why a gzip member stops short.
 CORRUPT, TORN = "broken gzip member", "gzip member without end"
 # Bytes of a damaged gzip member that are unpacked at once.
@@ -49,7 +51,7 @@ def _line(name: str, value: Column) -> Column:
 
 
 def write_archives(
-    pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_records: int = FILE_RECORDS
+    pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES
 ) -> None:
     """Write one record per row of ``pages`` (page_id, url, html) into the folder ``path``.
 
@@ -61,7 +63,10 @@ def write_archives(
     Other columns are not read; an empty table makes an empty archive.
 
     Only (digest, page_id) is grouped. The pages themselves move only if the
-    table of repeated payloads is too large to broadcast.
+    table of repeated payloads is too large to broadcast. Files are cut by
+    records, so records are written by classes of size, each a power of sixteen:
+    as many to a file as fit into ``file_bytes`` if all are the largest of their
+    class. Most tables have one class or two; each is one more reading of the pages.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
@@ -107,9 +112,18 @@ def write_archives(
         F.lit("\r\n"),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", RECORD_END).option(
-        "maxRecordsPerFile", file_records
-    ).text(path)
+    # Class c holds records of up to HEAD_BYTES * 16 ** (c + 1) bytes.
+    whole = F.col("bytes") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD_BYTES
+    size_class = F.greatest(F.ceil(F.log(16.0, whole / HEAD_BYTES)) - 1, F.lit(0)).cast("int")
+    written = rows.select(record.alias("value"), size_class.alias("class"))
+    sizes = pages.select(
+        "url", F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes")
+    ).select(size_class.alias("class")).distinct()
+    for i, c in enumerate(sorted(r["class"] for r in sizes.collect()) or [0]):
+        records = max(1, file_bytes // (HEAD_BYTES * 16 ** (c + 1)))
+        written.filter(F.col("class") == c).select("value").write.mode("append" if i else "errorifexists").option(
+            "lineSep", RECORD_END
+        ).option("maxRecordsPerFile", records).text(path)
 
 
 class Damaged(Exception):
@@ -320,12 +334,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def archived_pages(records: DataFrame, id_type: str = "long") -> DataFrame:
+def archived_pages(records: DataFrame, id_type: str = "long", gaps: bool = True) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record read.
 
     A response's length and digest are those of the payload that was read, a
-    revisit's those its headers carry.
+    revisit's those its headers carry. Gaps give no rows; without ``gaps`` one
+    is an error, as it should be where the archive was just written.
     """
+    if not gaps:
+        place = F.concat_ws(" ", F.lit("gap in"), "path", F.col("start").cast("string"), "gap")
+        records = records.withColumn("gap", F.when(F.col("gap").isNotNull(), F.raise_error(place).cast("string")))
     revisit = F.col("headers")["warc-type"] == "revisit"
     own = F.sha2("payload", 256)
     return records.filter("gap is null").select(

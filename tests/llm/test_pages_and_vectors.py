@@ -28,7 +28,7 @@ def test_round_trip(spark, folder):
         (7, "u", "x" * 200_000), (8, "u", "WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 9), (None, "u", long_), (9, "u", "y" * 100),
         (9, "u", "y" * 100), (10, "u", "y" * 100), (None, "u", "z" * 100), (None, "u", "z" * 100), (11, "u", "\r\n\r\n" * 30),
     ]
-    write_archives(pages(spark, rows), f"{folder}/w", file_records=4)
+    write_archives(pages(spark, rows), f"{folder}/w", file_bytes=4 << 16)
     read = read_archives(spark, f"{folder}/w")
     assert read.filter("gap is not null").count() == 0
     got = sorted((tuple(r) for r in archived_pages(read).collect()), key=repr)
@@ -46,6 +46,29 @@ def test_round_trip(spark, folder):
     assert read_archives(spark, f"{folder}/empty").count() == 0
 
 
+def test_archive_files_are_cut_by_bytes(spark, folder):
+    """Pages of very unlike sizes: no file outgrows its bound, but for a record that does so alone."""
+    draw, most = random.Random(8), 1 << 20
+    sizes = [draw.randrange(3000) for _ in range(200)] + [draw.randrange(60_000, 300_000) for _ in range(40)] + [3 << 20, 5 << 20]
+    rows = [(i, "\x01" * 20 + "u", "".join(draw.choices("abcdef", k=n))) for i, n in enumerate(sizes)]
+    write_archives(pages(spark, rows), f"{folder}/sized", file_bytes=most)
+    files = sorted((p.stat().st_size for p in (folder / "sized").glob("part-*")), reverse=True)
+    assert files[1] > most > files[2] and len(files) < 60
+    read = archived_pages(read_archives(spark, f"{folder}/sized"), gaps=False)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in read.collect()) == list(enumerate(sizes))
+
+
+def test_a_gap_where_none_may_be_is_an_error(spark, folder):
+    write_archives(pages(spark, [(i, "u", "x" * 500 + str(i)) for i in range(4)]).coalesce(1), f"{folder}/torn")
+    part = next(p for p in (folder / "torn").glob("part-*") if p.stat().st_size)
+    (folder / "hurt").mkdir()
+    (folder / "hurt" / "a.warc").write_bytes(part.read_bytes().replace(b"xxxx2", b"xxxy2"))
+    read = read_archives(spark, f"{folder}/hurt")
+    assert archived_pages(read).count() == 3
+    with pytest.raises(Exception, match="gap in"):
+        archived_pages(read, gaps=False).collect()
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage_recovers_later_records(packed):
     bodies = [f"body {i} ".encode() * (i + 1) for i in range(12)]
