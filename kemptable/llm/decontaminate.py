@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.values import ref
 from .common import short_batches, text_bytes, text_chunks
 from .fmindex import FMIndex
 
@@ -213,7 +214,7 @@ def contamination(
     """
     short_batches(documents.sparkSession)
     rows = documents.select(
-        F.struct(*[documents[c] for c in keep]).alias("row"),
+        F.struct(*[ref(c).alias(c) for c in keep]).alias("row"),
         "text",
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<string>").alias("items"),

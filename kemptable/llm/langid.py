@@ -19,6 +19,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.values import ref
 from ..session import cut_lineage
 from .common import short_batches, text_bytes, text_chunks
 
@@ -227,7 +228,7 @@ def languages(
     """
     short_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(learned(documents) if model is None else model)
-    rows = documents.select(F.struct(*[documents[c] for c in keep]).alias("row"), "text")
+    rows = documents.select(F.struct(*[ref(c).alias(c) for c in keep]).alias("row"), "text")
     columns = ["row", *(["text"] if keep_text else [])]
     schema = rows.select(*columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(_label(sent, columns), schema)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.values import ref
 from ..session import cut_lineage
 from .common import n_words
 
@@ -109,7 +110,7 @@ def mixed_sources(
     budget ends counts if at least half of it fits. A table without words gets
     targets of 0. Other columns are not read. Same input, same answer.
     """
-    row = F.struct(*[documents[c] for c in keep]).alias("row")
+    row = F.struct(*[ref(c).alias(c) for c in keep]).alias("row")
     size, digest = n_words(F.col("text")).alias("size"), F.md5("text").alias("digest")
     # Rows are numbered once, where they are written; only their numbers and sizes take part in the joins below.
     rows = cut_lineage(

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.values import ref
 from ..session import cut_lineage
 from .common import short_batches, text_bytes, text_chunks
 from .components import components
@@ -314,7 +315,7 @@ def distinct_documents(documents: DataFrame, percent: int = 80, width: int = 5)
     chosen = _resolved(documents, percent, width).filter("kept")
     chosen = chosen.groupBy("doc_id", "root").agg(F.min("text_key").alias("text_key"))
     chosen = chosen.select(id_key("doc_id").alias("id_key"), F.coalesce("text_key", F.lit(0)).alias("text_key")).distinct()
-    row = F.struct(*[documents[c] for c in documents.columns]).alias("row")
+    row = F.struct(*[ref(c).alias(c) for c in documents.columns]).alias("row")
     rows = documents.select(
         id_key("doc_id").alias("id_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), row
     )

@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.values import ref
 from ..session import cut_lineage
 from .spans import MARKED, described, marked_spans, match_spans, merged, n_of, replaced
 
@@ -182,7 +183,7 @@ def personal_spans(
     An empty table gives no rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    found = documents.select(F.struct(*[documents[c] for c in keep]).alias("kept"), "text")
+    found = documents.select(F.struct(*[ref(c).alias(c) for c in keep]).alias("kept"), "text")
     found = found.withColumn("spans", base_spans(text))
     if not keep_text:
         found = found.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))

@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.values import ref
 from ..session import cut_lineage
 from .spans import MARKED, described, marked_spans, match_spans, n_of
 
@@ -210,7 +211,7 @@ def _with_pieces(runs: Column) -> Column:
 def found_secrets(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """row, base, tested for every row of ``documents``: pattern spans, and tokens with their test."""
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.struct(*[documents[c] for c in keep]).alias("row"), text.alias("text"))
+    rows = documents.select(F.struct(*[ref(c).alias(c) for c in keep]).alias("row"), text.alias("text"))
     base = [marked_spans(F.col("text"), name, i, pattern, keep_, may(F.col("text"))) for i, (name, pattern, keep_, may) in enumerate(KINDS)]
     rows = rows.withColumn("base", F.array_sort(F.concat(*base)))
     tokens = F.when(F.col("text").rlike("[A-Za-z0-9+/_-]{%d}" % LEAST_TOKEN), match_spans(F.col("text"), TOKEN))

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from brute import PERSONAL, SECRETS, awkward_texts, documents, noise, spans
 from kemptable.llm.pii import personal_digest, personal_spans, sanitised
 from kemptable.llm.secrets import secret_digest, secret_spans
+from kemptable.llm.spans import merged, replaced, running
 
 PII_PIECES = [
     "a", "b.c", "@", "x@y.zz", ".com", "_", "%", "-", " ", "  ", "1.2.3.4", "255", "256", ".", "4111 1111 1111 1111", "4111-1111-1111-1111",
@@ -21,6 +24,50 @@ SECRET_PIECES = [
 ]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 9, 1000])
+def test_running_sums_and_maxima(spark, n):
+    draw = random.Random(n)
+    values = [draw.randrange(-50, 50) for _ in range(n)]
+    row = spark.createDataFrame([(values,)], "v array<int>").select(
+        running(F.col("v"), lambda a, b: a + b).alias("sums"), running(F.col("v"), F.greatest).alias("tops")
+    ).first()
+    assert row["sums"] == list(itertools.accumulate(values)) and row["tops"] == list(itertools.accumulate(values, max))
+
+
+def test_spans_merged_and_replaced(spark):
+    draw = random.Random(3)
+    texts = noise(["ab", "é", "\U0001F600", "x", " ", "\n", "y" * 300], 300, 40, 3) + [""]
+    cases = []
+    for text in texts:
+        spans_ = [(a, min(a + 1 + draw.randrange(5), len(text)), draw.choice("pq")) for a in map(draw.randrange, [len(text)] * 8 if text else [])]
+        cases.append((text, sorted(spans_)))
+    table = spark.createDataFrame(cases, "text string, spans array<struct<start:int,end:int,kind:string>>")
+    for row in table.select("text", "spans", merged(F.col("spans")).alias("m"), replaced(F.col("text"), merged(F.col("spans")), lambda s: s["kind"]).alias("put")).collect():
+        want, out, at = [], "", 0
+        for start, end, kind in row["spans"]:
+            if want and start < want[-1][1]:
+                want[-1][1] = max(want[-1][1], end)
+            else:
+                want.append([start, end, kind])
+        for start, end, kind in want:
+            out, at = out + row["text"][at:start] + kind, end
+        assert [list(s) for s in row["m"]] == want and row["put"] == out + row["text"][at:]
+
+
+def test_fifty_thousand_matches_in_a_text(spark):
+    """Positions, sanitising and secrets stay near linear in the matches of one text."""
+    begun = time.time()
+    text = "1.2.3.4 é " * 50_000
+    found = personal_spans(documents(spark, [text]), keep_text=True)
+    row = found.select("base", sanitised(F.col("text"), F.col("spans")).alias("clean")).first()
+    assert [(s["start"], s["end"]) for s in row["base"]] == [(10 * i, 10 * i + 7) for i in range(50_000)]
+    assert row["clean"] == "[IP] é " * 50_000
+    text = "token=abcdefgh é " * 50_000
+    spans_ = secret_spans(documents(spark, [text])).first()["spans"]
+    assert [(s["start"], s["end"]) for s in spans_] == [(17 * i, 17 * i + 14) for i in range(50_000)]
+    assert time.time() - begun < 120
+
+
 def check(found, texts, kinds, names):
     got = {r["doc_id"]: r for r in found.collect()}
     assert len(got) == len(texts)
