@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import ref
 from ..session import cut_lineage
-from .spans import MARKED, described, marked_spans, match_spans, n_of
+from .spans import MARKED, bound, described, marked_spans, match_spans, n_of, running
 
 # Expected share of false findings among the random tokens of a stratum.
 FALSE_SHARE = 0.05
@@ -202,12 +202,51 @@ def _with_pieces(runs: Column) -> Column:
                 (s["start"] + run["start"]).alias("start"), (s["end"] + run["start"]).alias("end"), s["match"].alias("match")
             ),
         )
-        joined = F.array_distinct(F.concat(F.array(run), moved))
+        ordered = F.array_sort(F.concat(F.array(run), moved))
+        joined = bound(ordered, lambda o: F.filter(o, lambda x, i: (i == 0) | (x != F.get(o, i - 1))))
         return F.when(run["match"].rlike("[+/_-]"), joined).otherwise(F.array(run))
 
     return F.flatten(F.transform(runs, pieces))
 
 
+def _free(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap none of the spans ``base``, in order of their start.
+
+    Both are sorted together; the greatest end of the spans up to a token and
+    the least start of those from it on tell whether one overlaps it.
+    """
+    far = F.lit(2**31 - 1)
+
+    def place(x: Column, is_token: bool) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(is_token).alias("token"), x["end"].alias("end"))
+
+    def apart(both: Column) -> Column:
+        ends = running(F.transform(both, lambda x: F.when(x["token"], -1).otherwise(x["end"])), F.greatest)
+        starts = F.transform(both, lambda x: F.when(x["token"], far).otherwise(x["start"]))
+        starts = F.reverse(running(F.reverse(starts), F.least))
+        return bound(F.struct(ends.alias("ends"), starts.alias("starts")), lambda upto: F.filter(
+            both,
+            lambda x, i: x["token"] & (F.get(upto["ends"], i) <= x["start"]) & (F.get(upto["starts"], i) >= x["end"]),
+        ))
+
+    both = F.array_sort(F.concat(
+        F.transform(tokens, lambda t: place(t, True)), F.transform(base, lambda b: place(b, False))
+    ))
+    return F.when(F.size(tokens) > 0, bound(both, apart)).otherwise(F.array().cast("array<struct<start:int,token:boolean,end:int>>"))
+
+
+def _widest(tokens: Column) -> Column:
+    """The tokens without those inside an earlier, longer or equal one."""
+    def outer(t: Column) -> Column:
+        upto = running(F.transform(t, lambda x: x["end"]), F.greatest)
+        return bound(upto, lambda u: F.filter(t, lambda x, i: (i == 0) | (x["end"] > F.get(u, i - 1))))
+
+    ordered = F.array_sort(F.transform(
+        tokens, lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("low"), t["end"].alias("end"))
+    ))
+    return bound(ordered, outer)
+
+
 def found_secrets(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """row, base, tested for every row of ``documents``: pattern spans, and tokens with their test."""
     text = F.coalesce("text", F.lit(""))
@@ -253,25 +292,9 @@ def secret_spans(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), fals
         table = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(LAST_STEP + 1))
         return F.coalesce(F.try_element_at(table, token["stratum"]), F.lit(LAST_STEP + 1))
 
-    def free(token: Column) -> Column:
-        return ~F.exists("base", lambda b: (token["start"] < b["end"]) & (b["start"] < token["end"]))
-
-    flagged = F.array_sort(F.transform(
-        F.filter("tested", lambda t: (t["step"] >= least(t)) & free(t)),
-        lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("low"), t["end"].alias("end")),
-    ))
-    none = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,low:int,end:int>>").alias("found"))
-
-    def widest(state: Column, t: Column) -> Column:
-        """Pieces of a run that counts itself are left out."""
-        within = t["end"] <= state["upto"]
-        return F.struct(
-            F.greatest(state["upto"], t["end"]).alias("upto"),
-            F.when(within, state["found"]).otherwise(F.concat(state["found"], F.array(t))).alias("found"),
-        )
-
+    counted = F.filter("tested", lambda t: t["step"] >= least(t))
     random = F.transform(
-        F.aggregate(flagged, none, widest, lambda state: state["found"]),
+        _widest(_free(counted, F.col("base"))),
         lambda t: F.struct(
             t["start"].alias("start"), F.lit(len(KINDS)).alias("order"), t["end"].alias("end"),
             F.lit("random").alias("kind"), F.lit("").alias("match"),

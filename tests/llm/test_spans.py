@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brute import PERSONAL, SECRETS, awkward_texts, documents, noise, spans
 from kemptable.llm.pii import personal_digest, personal_spans, sanitised
-from kemptable.llm.secrets import secret_digest, secret_spans
+from kemptable.llm.secrets import _free, _widest, secret_digest, secret_spans
 from kemptable.llm.spans import merged, replaced, running
 
 PII_PIECES = [
@@ -54,6 +54,27 @@ def test_spans_merged_and_replaced(spark):
         assert [list(s) for s in row["m"]] == want and row["put"] == out + row["text"][at:]
 
 
+def test_tokens_beside_spans_and_inside_longer_ones(spark):
+    draw = random.Random(12)
+
+    def drawn(n):
+        return [(a, a + 1 + draw.randrange(6)) for a in (draw.randrange(60) for _ in range(draw.randrange(n)))]
+
+    cases = [(drawn(9), sorted(drawn(6))) for _ in range(400)]
+    pairs = "array<struct<start:int,end:int>>"
+    found = spark.createDataFrame(cases, f"tokens {pairs}, base {pairs}").select(
+        "tokens", "base", _free(F.col("tokens"), F.col("base")).alias("free"), _widest(F.col("tokens")).alias("wide")
+    )
+    for row in found.collect():
+        free = [(a, b) for a, b in row["tokens"] if not any(a < d and c < b for c, d in row["base"])]
+        assert sorted((x["start"], x["end"]) for x in row["free"]) == sorted(free)
+        wide = []
+        for a, b in sorted(row["tokens"], key=lambda t: (t[0], -t[1])):
+            if all(b > d for _, d in wide):
+                wide.append((a, b))
+        assert [(x["start"], x["end"]) for x in row["wide"]] == wide
+
+
 def test_fifty_thousand_matches_in_a_text(spark):
     """Positions, sanitising and secrets stay near linear in the matches of one text."""
     begun = time.time()
