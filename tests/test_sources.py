@@ -1,5 +1,6 @@
 import json
 import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.feather as feather
@@ -7,8 +8,9 @@ import pyarrow.ipc as ipc
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SMALL, rows
 from kemptable.functions.columns import EmptyData, InvalidArgs
+from kemptable.session import scratch_path
 from kemptable.sources import files, sniff, storage
 from kemptable.sources.arrow import read_arrow, write_arrow
 from kemptable.sources.sinks import output_format, publish, write_table
@@ -294,3 +296,18 @@ def test_a_nested_parquet_file(spark, folder):
         "d": ["1.50"], "f": [], "n": [],
     }
     assert got["f"]["missing"] == 1 and got["n"]["missing"] == 1
+
+
+def test_json_arrays_grow_in_number(spark, monkeypatch):
+    """The query's arrays are valid, hold all rows, and have no more than so many of them, whatever the table."""
+    from kemptable.workload import files as module, registry
+
+    path = []
+    monkeypatch.setattr(module, "ARRAY_ROWS", 100, raising=False)
+    monkeypatch.setattr(module, "scratch_path", lambda s, label: path.append(scratch_path(s, label)) or path[-1])
+    got = rows(registry.queries()["scan_json_array_orders"](spark, SMALL), "o_orderkey", "o_totalprice")
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    assert got == rows(orders, "o_orderkey", "o_totalprice")
+    arrays = [json.loads(f.read_text()) for f in Path(path[0].removeprefix("file:")).glob("part-*")]
+    assert sorted(r["o_orderkey"] for a in arrays for r in a) == sorted(r["o_orderkey"] for r in orders.collect())
+    assert len(arrays) == -(-orders.count() // 100) and max(map(len, arrays)) < 150
