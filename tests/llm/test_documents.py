@@ -128,6 +128,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_components_join_each_link_a_few_times(spark, monkeypatch):
+    """A group with many links for each node, as bands of near copies give, and chains whose ids go up and down."""
+    n = 400
+    links = [(max(0, i - 1 - 9 * k), i) for i in range(1, n) for k in range(20)]
+    chain = random.Random(6).sample(range(1000, 1200), 200)
+    links += zip(chain[:-1], chain[1:], strict=True)
+    table = spark.createDataFrame(links, "a int, b int").repartition(3)
+    sizes, joined = [], type(table).join
+
+    def counted(self, *args, **named):
+        found = joined(self, *args, **named)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(type(table), "join", counted)
+    got = {r["node"]: r["root"] for r in components(table).collect()}
+    monkeypatch.undo()
+    assert got == {i: 0 for i in range(n)} | {1000 + i: 1000 for i in range(200)}
+    assert sum(sizes) <= 4 * len(links), (sum(sizes), len(links))
+
+
 def test_fm_index_as_plain_search():
     draw = np.random.default_rng(0)
     for _ in range(150):
