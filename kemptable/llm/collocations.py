@@ -6,7 +6,8 @@ prefixes that are more frequent than the budget are extended by a word until
 they fit, the others are packed together. Each group sorts its suffixes, which
 is the tree they form, and reads the count of every phrase from the sum of the
 leaves below it. Only suffixes that can hold a frequent phrase are dealt: those
-whose words, and pairs of neighbours, are frequent themselves.
+whose words, and runs of two and three words, are frequent themselves. These
+short runs are counted whole to know that, so suffixes are of four words or more.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from .common import mixed, short_batches, text_bytes
 
 # Words of a phrase at most, and its occurrences at least.
 LONGEST, LEAST = 5, 100
+# Words of the longest runs that are counted whole; longer phrases are counted in trees of suffixes.
+WHOLE = 3
 # Phrases returned for each language.
 FIRST = 2000
 # Memory budget of a group: suffixes that its prefixes start (about 100 bytes each while they are sorted).
@@ -34,7 +38,7 @@ LEAVES = 1 << 20
 MOST_GROUPS = 1 << 18
 # Ranges of prefix hashes that are packed into groups, at most.
 RANGES = 1 << 20
-# Bits of an array that marks frequent words or pairs: 16 for each, between these bounds (128 KB and 32 MB).
+# Bits of an array that marks frequent words or runs of words: 16 for each, between these bounds (128 KB and 32 MB).
 FEWEST_BITS, MOST_BITS, SLICE_BITS = 20, 28, 20
 # Text and words that a task holds at once.
 CHUNK_BYTES, HELD_WORDS = 8 << 20, 500_000
@@ -182,43 +186,97 @@ def frequent_words(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
 
 
 class Suffixes:
-    """What a task needs to cut suffixes out of texts; ``heavy`` holds, from two words on, the sorted prefixes to extend."""
+    """What a task needs to cut suffixes out of texts.
 
-    def __init__(self, seed: int, words: Marks, pairs: Marks | None = None, heavy: tuple[np.ndarray, ...] = ()):
-        self.seed, self.words, self.pairs, self.heavy = seed, words, pairs, heavy
+    ``runs`` marks the frequent runs of two words, of three and so on, as far as
+    they are known; ``heavy`` holds, from ``WHOLE`` words on, the sorted prefixes to extend.
+    """
 
-    def columns(self, batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per chunk, of the positions that start a pair: word ids (row per depth, 0 behind the end), prefix hash, prefix depth.
+    def __init__(self, seed: int, words: Marks, runs: tuple[Marks, ...] = (), heavy: tuple[np.ndarray, ...] = ()):
+        self.seed, self.words, self.runs, self.heavy = seed, words, runs, heavy
 
-        The prefix is the shortest that is not heavy. That of a suffix that
-        ends with a heavy prefix counts as one word longer, for its parts lie
-        in several groups.
-        """
+    def follows(self, batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per chunk: word ids, and where a run begins that is one word longer than the known ones and made of frequent ones."""
         known: dict[str, WordIds] = {}
         for language, words in _chunks(batches):
             if language not in known:
                 known[language] = WordIds(language, self.seed, self.words)
             ids = known[language].of(words)
-            follows = (ids != 0) & (_later(ids, 1) != 0)
-            prefix = _extended(ids, _later(ids, 1))
-            if self.pairs is not None:
-                follows &= self.pairs.has(prefix)
+            run, follows = ids, ids != 0
+            for d, marks in enumerate(self.runs, 1):
+                run = _extended(run, _later(ids, d))
+                follows = follows & _later(follows, 1) & marks.has(run)
+            yield ids, follows & _later(follows, 1)
+
+    def columns(self, batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per chunk, of the positions that start a suffix: word ids (row per depth, 0 behind the end), prefix hash, prefix depth.
+
+        The prefix is the shortest that is not heavy. That of a suffix that
+        ends with a heavy prefix counts as one word longer, for its parts lie
+        in several groups.
+        """
+        for ids, follows in self.follows(batches):
             start, alive = np.flatnonzero(follows), follows[follows]
             if not len(start):
                 continue
-            table, prefix = [ids[start], _later(ids, 1)[start]], prefix[start]
-            depth = np.full(len(start), 2, np.int8)
-            for d in range(2, LONGEST):
-                alive = alive & _later(follows, d - 1)[start]
+            table = [_later(ids, d)[start] for d in range(WHOLE)]
+            prefix = table[0]
+            for word in table[1:]:
+                prefix = _extended(prefix, word)
+            depth = np.full(len(start), WHOLE, np.int8)
+            for d in range(WHOLE, LONGEST):
+                alive = alive & _later(follows, d - WHOLE)[start]
                 word = np.where(alive, _later(ids, d)[start], np.uint64(0))
                 table.append(word)
-                if d - 2 < len(self.heavy):
-                    extend = (depth == d) & np.isin(prefix, self.heavy[d - 2])
+                if d - WHOLE < len(self.heavy):
+                    extend = (depth == d) & np.isin(prefix, self.heavy[d - WHOLE])
                     prefix = np.where(extend & alive, _extended(prefix, word), prefix)
                     depth[extend] = d + 1
             yield np.vstack(table), prefix, depth
 
 
+def run_counts(texts: DataFrame, cutter, depth: int) -> DataFrame:
+    """(w0, w1, w2, n): the runs of ``depth`` words, two or three, that are made of frequent ones, and their occurrences.
+
+    The third word of two is 0.
+    """
+    names = [f"w{d}" for d in range(WHOLE)]
+
+    def count(batches):
+        held, size = [], 0
+
+        def table():
+            columns, n = merged_rows(np.hstack(held), np.ones(size, np.int64))
+            columns = [pa.array(np.ascontiguousarray(row).view(np.int64)) for row in columns]
+            columns += [pa.array(np.zeros(len(n), np.int64))] * (WHOLE - depth)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=[*names, "n"])
+
+        for ids, follows in cutter.value.follows(batches):
+            held.append(np.vstack([_later(ids, d)[follows] for d in range(depth)]))
+            size += held[-1].shape[1]
+            if size > 8 * HELD_WORDS:
+                yield table()
+                held, size = [], 0
+        if size:
+            yield table()
+
+    schema = f"{', '.join(f'{x} long' for x in names)}, n long"
+    return texts.mapInArrow(count, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def hashed(runs: DataFrame, depth: int) -> DataFrame:
+    """(prefix, n): hashes of counted runs of ``depth`` words."""
+
+    def hashes(batches):
+        for batch in batches:
+            prefix, *later = [batch.column(d).to_numpy().view(np.uint64) for d in range(depth)]
+            for word in later:
+                prefix = _extended(prefix, word)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), batch.column("n")], names=["prefix", "n"])
+
+    return runs.mapInArrow(hashes, "prefix long, n long")
+
+
 def prefix_counts(texts: DataFrame, cutter, depth: int) -> DataFrame:
     """(prefix, n): hashes of the prefixes of ``depth`` words and how many suffixes they start."""
 
@@ -291,22 +349,27 @@ def frequent_phrases(
     send = spark.sparkContext.broadcast
     frequent = words.filter("id <> 0")
     known = marks_of(frequent, "id", frequent.count())
-    pairs = cut_lineage(prefix_counts(texts, send(Suffixes(seed, known)), 2).filter(F.col("n") >= least))
-    size = pairs.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    whole, runs = [], ()
+    for depth in range(2, WHOLE + 1):
+        counted = run_counts(texts, send(Suffixes(seed, known, runs)), depth)
+        counted = cut_lineage(counted.filter(F.col("n") >= least))
+        whole.append(counted.select(F.array(*counted.columns[:depth]).alias("ids"), F.col("n").alias("a")))
+        prefixes = cut_lineage(hashed(counted, depth))
+        size = prefixes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        runs += (marks_of(prefixes, "prefix", size["rows"]),)
     budget = max(leaves, size["n"] // MOST_GROUPS)
-    followed = marks_of(pairs, "prefix", size["rows"])
-    levels, heavy = [pairs], []
-    while len(heavy) < LONGEST - 2:
+    levels, heavy = [prefixes], []
+    while len(heavy) < LONGEST - WHOLE:
         above = levels[-1].filter(F.col("n") > budget).select("prefix").toArrow().column("prefix")
         if not len(above):
             break
         heavy.append(np.sort(above.to_numpy().view(np.uint64)))
-        cutter = send(Suffixes(seed, known, followed, tuple(heavy)))
-        levels.append(cut_lineage(prefix_counts(texts, cutter, len(heavy) + 2)))
+        cutter = send(Suffixes(seed, known, runs, tuple(heavy)))
+        levels.append(cut_lineage(prefix_counts(texts, cutter, len(heavy) + WHOLE)))
     light = [level.filter(F.col("n") <= budget) for level in levels]
     bits = max(1, min(int(math.log2(RANGES)), math.ceil(math.log2(8 * size["n"] / budget + 2))))
     groups = send(_group_of_range(light, bits, budget))
-    cutter = send(Suffixes(seed, known, followed, tuple(heavy)))
+    cutter = send(Suffixes(seed, known, runs, tuple(heavy)))
     names = [f"w{d}" for d in range(LONGEST)]
     schema = f"group int, depth byte, {', '.join(f'{x} long' for x in names)}, n long"
 
@@ -341,13 +404,16 @@ def frequent_phrases(
         columns = np.vstack([table.column(x).to_numpy() for x in names])
         ids, totals = [], []
         for d, phrases, found in subtree(columns, table.column("depth").to_numpy(), table.column("n").to_numpy(), least):
+            if d <= WHOLE:
+                continue
             flat = pa.array(np.ascontiguousarray(phrases.T).ravel())
             ids.append(pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * d), flat))
             totals.append(pa.array(found))
         return pa.table({"ids": pa.chunked_array(ids, pa.list_(pa.int64())), "a": pa.chunked_array(totals, pa.int64())})
 
     dealt = texts.mapInArrow(deal, schema).groupBy("group").applyInArrow(count, "ids array<long>, a long")
-    return dealt.groupBy("ids").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    longer = dealt.groupBy("ids").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    return reduce(DataFrame.unionByName, [*whole, longer])
 
 
 def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
