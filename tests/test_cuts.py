@@ -4,11 +4,15 @@ import csv
 import io
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from kemptable import session
+from kemptable.session import scratch_path
+from kemptable.sources import cuts
 from kemptable.sources.cuts import json_rows, open_field_pattern, pieces, quoted_records
 from kemptable.sources.tables import read_table
 from kemptable.sources.text import read_delimited, rejected_lines
@@ -103,6 +107,38 @@ def test_json_rows_equal_a_parser(spark, folder, small_blocks, form):
     assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, want))
 
 
+def test_json_blocks_come_in_many_batches(spark, folder):
+    """What is open at the end of a batch, and records over several batches and blocks, go on in the next one."""
+    table = values(3) + [{"id": 80, "v": "}" * 900, "w": "{" * 900}, {"id": 81, "v": [{"k": [{}]}] * 60, "w": None}]
+    put(folder, "a.json", json.dumps(table))
+    put(folder, "b.json", "")
+    keys = {"spark.sql.files.maxPartitionBytes": "997", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = [json.loads(r["value"]) for r in json_rows(spark, str(folder)).collect()]
+        assert json_rows(spark, str(folder / "b.json")).collect() == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, table))
+
+
+def test_json_arrays_are_not_kept_again(spark, folder, monkeypatch):
+    """What reading an array leaves on disk is a part of the array: its rows once, compressed, not a copy for each step."""
+    random.seed(5)
+    words = ["".join(random.choices("abcdefghij", k=6)) for _ in range(500)]
+    table = [{"id": i, "t": " ".join(random.choices(words, k=400)), "n": [{"k": i}, {}]} for i in range(800)]
+    path = put(folder, "a.json", "[" + ",\n".join(map(json.dumps, table)) + "]")
+    made = []
+    for module in (cuts, session):  # cut_lineage has its own name for it
+        monkeypatch.setattr(module, "scratch_path", lambda s, label: made.append(scratch_path(s, label)) or made[-1])
+    assert rows(read_table(spark, path).select("id", "t", "n.k")) == sorted(((r["id"], r["t"], [r["id"], None]) for r in table), key=repr)
+    kept = sum(f.stat().st_size for x in made for f in Path(x.removeprefix("file:")).rglob("part-*"))
+    assert 0 < kept < 0.5 * Path(path).stat().st_size
+
+
 def test_one_line_array_reads_by_many_tasks(spark, folder):
     """Longer than the head that the format test reads; elements that are no objects are left out."""
     table = [{"id": i, "s": "}" * (i % 3), "n": {"a": [i]}, "pad": "{" * 4000} for i in range(500)]
